@@ -1,3 +1,5 @@
 """Imports every query module, so that all queries are registered."""
 
+import catalog.profiles  # noqa: F401
+import catalog.repairs  # noqa: F401
 import catalog.rules  # noqa: F401
