@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecare.operators.sizing import durable
 from tablecare.spec import TableSpec
 
 FORMATS = ("csv", "parquet", "json", "orc", "jdbc")
@@ -48,7 +49,11 @@ def scan_baseline(spark: SparkSession, spec: TableSpec) -> DataFrame:
 
 
 def scan_rejects(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
-    """Lines that do not fit the declared schema, with the raw text in ``_corrupt_record``."""
+    """Lines that do not fit the declared schema, with the raw text in ``_corrupt_record``.
+
+    The lines found are written out once: a line is only seen to be bad while every column is
+    parsed, and a caller may go on to ask for the raw text alone.
+    """
     if spec.fmt not in TEXT_FORMATS or spec.schema is None:
         raise ScanError("rejects need a text format and a declared schema")
     wide = T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -57,13 +62,10 @@ def scan_rejects(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
         .options(**spec.options)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        # Every column has to be parsed for a bad one to be noticed.
-        .option("enforceSchema", "true")
         .schema(wide)
         .load(path)
     )
-    parsed = F.struct(*[F.col(f"`{n}`") for n in spec.schema.names]).alias("parsed")
-    return lines.select(parsed, CORRUPT).filter(F.col(CORRUPT).isNotNull()).select("parsed.*", CORRUPT)
+    return durable(lines.filter(F.col(CORRUPT).isNotNull()), "rejects")
 
 
 def list_batches(spark: SparkSession, spec: TableSpec, directory: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablecare.functions.typed import col
+from tablecare.operators.keyflags import flag_by_keys, key_counts, keys_present
 from tablecare.operators.rules import row_check
 from tablecare.operators.validate import REASONS
 from tablecare.spec import Rule, TableSpec, dedupe_rules
@@ -148,9 +149,19 @@ def run_new_files(
 
 def unique_within(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
     """Drop repeats of a key that arrive within ``delay`` of event time; state stays bounded."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    data_type = stream.schema[event_time].dataType
+    # A watermark wants a zoned timestamp; the column gets its own type back afterwards.
+    zoned = stream.withColumn(event_time, col(event_time).cast("timestamp"))
+    kept = zoned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return kept.withColumn(event_time, col(event_time).cast(data_type))
 
 
-def repeats_of_ledger(batch: DataFrame, keys: Sequence[str], ledger: DataFrame) -> DataFrame:
-    """Rows of a batch whose key an earlier batch brought. For repeats at any distance in time."""
-    return batch.join(ledger.select(*[col(k) for k in keys]).distinct(), list(keys), "left_semi")
+def flag_repeats(batch: DataFrame, keys: Sequence[str], ledger: DataFrame, flag: str = "repeated") -> DataFrame:
+    """Mark the rows of a batch whose key an earlier batch brought, at any distance in time.
+
+    The batch is reduced to one row per key before it meets the ledger, and the rows are marked
+    through those keys, so a key that fills a third of the batch unbalances nothing.
+    """
+    known = ledger.select(*[col(k) for k in keys]).distinct()
+    seen = key_counts(batch.filter(keys_present(keys)), keys).join(known, list(keys), "left_semi")
+    return flag_by_keys(batch, keys, seen, flag)
