@@ -43,7 +43,10 @@ def typed_literal(value: Any, data_type: T.DataType) -> Column:
         return F.lit(text).cast(data_type)
     if is_numeric(data_type):
         if isinstance(value, str):
-            value = Decimal(value) if isinstance(data_type, T.DecimalType) else float(value)
+            try:
+                value = Decimal(value) if isinstance(data_type, T.DecimalType) else float(value)
+            except (ValueError, ArithmeticError):
+                raise RuleError(f"'{value}' is no {data_type.simpleString()}") from None
         return F.lit(value)
     return F.lit(value)
 

@@ -221,5 +221,5 @@ def plan_fixes(
                     Fix("keep_first", None, {"key": list(rule.columns), "order": keep},
                         f"only the first row per {rule.column} is kept")
                 )
-        plan[rule.rule_id] = list({f.fix_id: f for f in reversed(options)}.values())[::-1]
+        plan[rule.rule_id] = list(dict.fromkeys(options))
     return plan

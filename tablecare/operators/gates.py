@@ -144,6 +144,8 @@ def check_fixes(
         try:
             out = apply_fix(candidate, fix, transforms)
             problem = schema_loss(candidate.schema, out.schema)
+            if problem is None and fix.action == "custom":
+                problem = trial(candidate, fix, transforms)
         except (FixError, PySparkException) as error:
             out, problem = candidate, f"does not run: {_first_line(error)}"
         if problem is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablecare.functions.masking import mask_structural, pii_columns
 from tablecare.functions.typed import col
 from tablecare.operators.profile import ColumnProfile, profile_columns, profiles_frame
-from tablecare.operators.validate import REASONS, Tables, attribute, validate
+from tablecare.operators.validate import REASONS, Measure, Tables, attribute, measure, measures_frame
 from tablecare.spec import DEFAULT_SAMPLE_ROWS, Rule, TableSpec
 
 # Diagnosis categories.
@@ -118,7 +118,7 @@ def failure_report(
     df: DataFrame,
     rules: Sequence[Rule],
     spec: TableSpec,
-    result: DataFrame | None = None,
+    measures: Sequence[Measure] | None = None,
     flagged: DataFrame | None = None,
     profiles: Sequence[ColumnProfile] | None = None,
     max_rows: int = DEFAULT_SAMPLE_ROWS,
@@ -127,14 +127,17 @@ def failure_report(
 ) -> DataFrame:
     """One row per failed rule with its counts, column profile, masked samples and category.
 
-    Whatever the caller has computed already is reused: ``result`` from ``validate``, ``profiles``,
+    Whatever the caller has computed already is reused: ``measures``, ``profiles``,
     and ``flagged`` from ``attribute`` with the label ``rule_id``. Two rules of one kind on one
     column share their reason text, so samples are matched by rule id.
     """
     spark = df.sparkSession
     names = [f.name for f in spec.fields(df.schema)]
-    result = validate(df, rules, tables) if result is None else result
-    flagged = attribute(df, rules, tables=tables, label="rule_id") if flagged is None else flagged
+    measures = measure(df, rules, tables) if measures is None else measures
+    result = measures_frame(spark, measures)
+    if flagged is None:
+        failed = [m.rule for m in measures if not m.success]
+        flagged = attribute(df, rules, failed, tables, label="rule_id")
     profiles = profile_columns(df, names) if profiles is None else profiles
 
     profile_rows = profiles_frame(spark, profiles)

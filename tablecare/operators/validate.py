@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from dataclasses import fields as dataclass_fields
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,9 @@ REASONS = "dq_reasons"
 
 Tables = Mapping[str, DataFrame]
 
+# Longer value lists become a table to join instead of constants in the plan.
+MAX_INLINE_VALUES = 1000
+
 # Order number and rule of the extra result row that a probing validation adds.
 PROBE = -1
 ROW_COUNT = Rule("row_count_between", (), {"min": 0})
@@ -207,10 +210,26 @@ def _grouped_pass(df: DataFrame, columns: tuple[str, ...], rules: list[tuple[int
     return _unfold(one_row, entries)
 
 
+def needs_reference(rule: Rule) -> bool:
+    """Is this rule judged against another table? Long value lists are treated as one."""
+    return rule.kind == "foreign_key" or (
+        rule.kind == "in_set" and len(rule.params["values"]) > MAX_INLINE_VALUES
+    )
+
+
+def _reference(df: DataFrame, rule: Rule, tables: Tables) -> tuple[DataFrame, Sequence[str]]:
+    if rule.kind == "foreign_key":
+        return _table(tables, rule.params["table"]), rule.params["ref_columns"]
+    data_type = field_of(df.schema, rule.columns[0]).dataType
+    texts = df.sparkSession.createDataFrame([(str(v),) for v in rule.params["values"]], "value string")
+    return texts.select(F.col("value").cast(data_type).alias("value")), ["value"]
+
+
 def _reference_pass(df: DataFrame, order: int, rule: Rule, tables: Tables) -> DataFrame:
-    keys, refs = rule.columns, rule.params["ref_columns"]
+    keys = rule.columns
+    reference, refs = _reference(df, rule, tables)
     known = (
-        _table(tables, rule.params["table"])
+        reference
         .select(*[col(c).alias(f"__r{i}") for i, c in enumerate(refs)])
         .distinct()
         .withColumn("__known", F.lit(True))
@@ -279,7 +298,7 @@ def validate(
                 field_of(df.schema, name)
         if rule.level == "schema":
             schema_only.append((order, rule))
-        elif rule.kind == "foreign_key":
+        elif needs_reference(rule):
             references.append((order, rule))
         elif rule.kind == "unique" or (rule.level == "group" and not rule.params.get("approximate")):
             grouped.setdefault(rule.columns, []).append((order, rule))
@@ -328,6 +347,22 @@ def measures_of(rules: Sequence[Rule], rows: Sequence[Row]) -> list[Measure]:
     return [Measure(rule, *[by_order[i][name] for name in fields]) for i, rule in enumerate(rules)]
 
 
+MEASURE_SCHEMA = (
+    "ord int, rule_id string, rule string, column string, element_count bigint, evaluated_count bigint, "
+    "unexpected_count bigint, unexpected_percent double, observed double, success boolean"
+)
+
+
+def measures_frame(spark: SparkSession, measures: Sequence[Measure]) -> DataFrame:
+    """Measures as result rows again."""
+    rows = [
+        (i, m.rule.rule_id, m.rule.kind, m.rule.column, m.element_count, m.evaluated_count, m.unexpected_count,
+         m.unexpected_percent, m.observed, m.success)
+        for i, m in enumerate(measures)
+    ]
+    return spark.createDataFrame(rows, MEASURE_SCHEMA)
+
+
 def dry_run(df: DataFrame, rule: Rule, tables: Tables | None = None) -> Measure:
     """Evaluate a single rule."""
     return measure(df, [rule], tables)[0]
@@ -364,16 +399,14 @@ def attribute(
 
     flagged, parts = df, []
     for i, rule in enumerate(blamed):
-        if rule.level == "row":
+        if rule.level == "row" and not needs_reference(rule):
             condition = row_check(rule, df.schema, statistics).violation
         else:
             flag = f"__flag{i}"
             if rule.kind == "unique":
                 bad = duplicate_keys(df, rule.columns)
             else:
-                bad = orphan_keys(
-                    df, rule.columns, _table(tables, rule.params["table"]), rule.params["ref_columns"]
-                )
+                bad = orphan_keys(df, rule.columns, *_reference(df, rule, tables))
             flagged = flag_by_keys(flagged, rule.columns, bad, flag, max_broadcast_bytes)
             condition = F.col(flag)
         parts.append(F.when(condition, F.lit(getattr(rule, label))))

@@ -134,7 +134,7 @@ def heal(
     rules = registry.active_rules()
     state = state if state is not None else snapshot(df, rules, tables)
     outcome = LoopOutcome(df, df, state, 0, "clean")
-    flagged = attribute(df, rules, [m.rule for m in state.failures()], tables)
+    flagged = attribute(df, rules, [], tables)
     previous: tuple[DataFrame, tuple[int, int]] | None = None
     tried: set[str] = set()
     proposed_before: set[str] = set()

@@ -16,19 +16,13 @@ from tablecare.operators.gates import Snapshot, snapshot
 from tablecare.operators.profile import profile_columns, profiles_frame
 from tablecare.operators.report import diagnose, evidence, failure_report
 from tablecare.operators.sizing import durable
-from tablecare.operators.validate import Measure, Tables, validate
+from tablecare.operators.validate import Tables, measures_frame, validate
 from tablecare.plans.loop import LoopOutcome, RuleProposer, heal
 from tablecare.plans.registry import Registry
 from tablecare.sources.scan import TEXT_FORMATS, ScanError, latest_batch, scan, scan_baseline
 from tablecare.sources.sinks import append_report, append_run, read_runs, write_clean, write_quarantine
 from tablecare.spec import Fix, RunOptions, TableSpec
 
-MEASURE_SCHEMA = (
-    "ord int, rule_id string, rule string, column string, element_count bigint, evaluated_count bigint, "
-    "unexpected_count bigint, unexpected_percent double, observed double, success boolean"
-)
-
-
 @dataclass
 class RunResult:
     run_id: str
@@ -41,15 +35,6 @@ def new_run_id(name: str) -> str:
     return f"{name}-{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
 
 
-def measures_frame(spark: SparkSession, measures: Sequence[Measure]) -> DataFrame:
-    rows = [
-        (i, m.rule.rule_id, m.rule.kind, m.rule.column, m.element_count, m.evaluated_count, m.unexpected_count,
-         m.unexpected_percent, m.observed, m.success)
-        for i, m in enumerate(measures)
-    ]
-    return spark.createDataFrame(rows, MEASURE_SCHEMA)
-
-
 def run(
     spark: SparkSession,
     spec: TableSpec,
@@ -144,11 +129,11 @@ def run(
 
 
 def _write_failure_reports(spark, df, rules, spec, initial, options, out_root, run_id, tables) -> None:
-    result = measures_frame(spark, list(initial.measures.values()))
-    names = [f.name for f in spec.fields(df.schema)]
-    profiles = profile_columns(df, names)
+    measures = list(initial.measures.values())
+    result = measures_frame(spark, measures)
+    profiles = profile_columns(df, [f.name for f in spec.fields(df.schema)])
     report = failure_report(
-        df, rules, spec, result, None, profiles, options.max_sample_rows, options.mask_pii, tables
+        df, rules, spec, measures, None, profiles, options.max_sample_rows, options.mask_pii, tables
     )
     # Short by construction, and read three times below.
     report = durable(report, "report")

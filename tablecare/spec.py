@@ -258,7 +258,7 @@ class Rule:
 
 def dedupe_rules(rules: Sequence[Rule]) -> list[Rule]:
     """First occurrence of every rule, in order."""
-    return list({r.rule_id: r for r in reversed(rules)}.values())[::-1]
+    return list(dict.fromkeys(rules))
 
 
 # -- rule constructors ---------------------------------------------------------------------
