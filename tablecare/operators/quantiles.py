@@ -38,6 +38,7 @@ class _Search:
     rank: int = 0  # 1-based rank wanted inside the open range
     low: Any = None
     high: Any = None
+    by_magnitude: bool = False  # split by order of magnitude in the next pass
 
     @property
     def whole(self) -> bool:
@@ -55,6 +56,34 @@ class _Search:
         number = value.cast("double")
         return F.when(~F.isnan(number), number)
 
+    def bucket(self, low: Any, high: Any) -> Column:
+        """Number of the bucket a value falls into; never falls as the value grows."""
+        number, count = self.number(), min(MAX_BUCKETS, max(MIN_BUCKETS, math.isqrt(self.size)))
+        if low is None or low == high:
+            inner = F.lit(1)
+        elif self.whole and high - low < 1 << 62:
+            # Whole numbers may lie closer together than doubles can tell apart.
+            step = (high - low) // count + 1
+            inner = F.floor((number - F.lit(low).cast("bigint")) / F.lit(step).cast("bigint"))
+        elif self.by_magnitude:
+            inner = F.coalesce(
+                F.width_bucket(_magnitude(number), _magnitude(F.lit(low)), _magnitude(F.lit(high)), F.lit(count)),
+                F.lit(1),
+            )
+        else:
+            low, high = float(low), float(high)
+            # Halved where the width of the range would be infinite otherwise.
+            scale = 0.5 if math.isinf(high - low) else 1.0
+            inner = F.width_bucket(
+                number.cast("double") * scale, F.lit(low * scale), F.lit(high * scale), F.lit(count)
+            )
+        if self.whole:
+            return inner.cast("bigint")
+        infinite = F.lit(float("inf"))
+        return (
+            F.when(number == infinite, count + 2).when(number == -infinite, -1).otherwise(inner).cast("bigint")
+        )
+
     def open_range(self) -> Column:
         # Compared in the column's own type, so the filter reaches the file statistics.
         if self.low is None:
@@ -126,6 +155,12 @@ def _ceil(x: float) -> int:
     return nearest if abs(x - nearest) < 1e-9 * max(1.0, abs(x)) else -int(-x // 1)
 
 
+def _magnitude(number: Column) -> Column:
+    """Signed order of magnitude: grows with the number, 0 at 0, even for the smallest doubles."""
+    size = F.abs(number.cast("double"))
+    return F.when(size > 0, F.signum(number) * (F.log2(size) + 1100)).otherwise(0.0)
+
+
 def _finite(search: _Search) -> Column:
     number = search.number()
     if search.whole:
@@ -137,27 +172,14 @@ def _narrow(df: DataFrame, active: list[_Search], bounds: dict, found: dict) ->
     """One pass over all open columns; returns those that need another."""
     cells = []
     for i, search in enumerate(active):
-        low, high = bounds[search.column]
         number = search.number()
-        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, math.isqrt(search.size)))
-        if low is None or low == high:
-            bucket = F.lit(1).cast("bigint")
-        else:
-            bucket = F.width_bucket(
-                number.cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(buckets)
-            )
-        if not search.whole:
-            bucket = (
-                F.when(number == F.lit(float("inf")), buckets + 2)
-                .when(number == F.lit(float("-inf")), -1)
-                .otherwise(bucket)
-            )
+        bucket = search.bucket(*bounds[search.column])
         cells.append(
             F.when(
                 search.open_range() & number.isNotNull(),
                 F.struct(
                     F.lit(i).alias("i"),
-                    bucket.cast("bigint").alias("b"),
+                    bucket.alias("b"),
                     (number if search.whole else F.lit(None).cast("bigint")).alias("w"),
                     (F.lit(None).cast("double") if search.whole else number).alias("d"),
                 ),
@@ -186,7 +208,11 @@ def _narrow(df: DataFrame, active: list[_Search], bounds: dict, found: dict) ->
                 if low == high:
                     found[search.column] = low
                 else:
+                    if (low, high) == bounds[search.column] and not search.by_magnitude:
+                        raise RuntimeError(f"cannot split the range {low}..{high} of '{search.column}'")
                     search.rank -= before
+                    # Equal steps achieve little where values span many orders of magnitude.
+                    search.by_magnitude = not search.by_magnitude and 4 * row["n"] > search.size
                     search.size = row["n"]
                     search.low, search.high = low, high
                     bounds[search.column] = (low, high)
