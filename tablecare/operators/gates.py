@@ -43,14 +43,26 @@ class GateResult:
     rows_after: int | None
 
 
-def snapshot(df: DataFrame, rules: Sequence[Rule], tables: Tables | None = None) -> Snapshot:
-    """Measure a suite and, in the same pass, evaluate every column of every row."""
+def snapshot(
+    df: DataFrame, rules: Sequence[Rule], tables: Tables | None = None, evaluate: Sequence[str] = ()
+) -> Snapshot:
+    """Measure a suite and, in the same pass, evaluate the named columns on every row.
+
+    A bare count would not do: columns nobody asks for are never computed.
+    """
     rules = dedupe_rules(rules)
-    rows = validate(df, rules, tables, probe=True).collect()
+    rows = validate(df, rules, tables, probe=evaluate).collect()
     total = next(r["element_count"] for r in rows if r["ord"] == PROBE)
     return Snapshot(total, {m.rule.rule_id: m for m in measures_of(rules, rows)})
 
 
+def rewritten(df: DataFrame, fixes: Sequence[Fix]) -> list[str]:
+    """Columns whose values these repairs compute anew; all, where a repair does not say."""
+    if any(f.action == "custom" for f in fixes):
+        return df.columns
+    return list(dict.fromkeys(f.column for f in fixes if f.column is not None and not f.may_drop_rows))
+
+
 def touches(rule: Rule, fix: Fix) -> bool:
     """May this repair change what this rule measures?
 
@@ -158,7 +170,7 @@ def check_fixes(
 
     moved = [r for r in rules if any(touches(r, fix) for fix, _ in runnable)]
     try:
-        seen = snapshot(candidate, moved, tables)
+        seen = snapshot(candidate, moved, tables, rewritten(candidate, [fix for fix, _ in runnable]))
     except PySparkException as error:
         if len(runnable) > 1:
             # One of them breaks on some row; find out which by taking them one at a time.
