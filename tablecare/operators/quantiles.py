@@ -17,13 +17,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.functions.typed import any_of, col, field_of, is_numeric, is_time
+from tablecare.functions.typed import col, field_of, is_numeric, is_time
 from tablecare.spec import RuleError
 
 # Buckets per pass: about the square root of the rows in question, within these limits.
@@ -169,36 +170,35 @@ def _finite(search: _Search) -> Column:
 
 
 def _narrow(df: DataFrame, active: list[_Search], bounds: dict, found: dict) -> list[_Search]:
-    """One pass over all open columns; returns those that need another."""
-    cells = []
+    """One pass over all open columns; returns those that need another.
+
+    Every column is a branch of its own, so a branch reads one column and its filter on the open
+    range reaches the files.
+    """
+    branches = []
     for i, search in enumerate(active):
-        number = search.number()
-        bucket = search.bucket(*bounds[search.column])
-        cells.append(
-            F.when(
-                search.open_range() & number.isNotNull(),
-                F.struct(
-                    F.lit(i).alias("i"),
-                    bucket.alias("b"),
-                    (number if search.whole else F.lit(None).cast("bigint")).alias("w"),
-                    (F.lit(None).cast("double") if search.whole else number).alias("d"),
-                ),
-            )
+        low, high = ("w0", "w1") if search.whole else ("d0", "d1")
+        kind, other = ("bigint", "double") if search.whole else ("double", "bigint")
+        histogram = (
+            df.filter(search.open_range())
+            .select(search.number().alias("v"), search.bucket(*bounds[search.column]).alias("b"))
+            .filter(F.col("v").isNotNull())
+            .groupBy("b")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias(low), F.max("v").alias(high))
         )
-    histogram = (
-        df.filter(any_of([s.open_range() for s in active]))
-        .select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-        .groupBy("c.i", "c.b")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("c.w").alias("w0"),
-            F.max("c.w").alias("w1"),
-            F.min("c.d").alias("d0"),
-            F.max("c.d").alias("d1"),
+        absent = [name for name in ("w0", "w1", "d0", "d1") if name not in (low, high)]
+        branches.append(
+            histogram.select(
+                F.lit(i).alias("i"),
+                "b",
+                "n",
+                *[F.col(name).cast(kind) for name in (low, high)],
+                *[F.lit(None).cast(other).alias(name) for name in absent],
+            ).select("i", "b", "n", "w0", "w1", "d0", "d1")
         )
-    )
+    histograms = reduce(DataFrame.unionAll, branches)
     # At most ``MAX_BUCKETS`` + 4 short rows per column.
-    rows = sorted(histogram.collect(), key=lambda r: (r["i"], r["b"]))
+    rows = sorted(histograms.collect(), key=lambda r: (r["i"], r["b"]))
     still_open = []
     for i, search in enumerate(active):
         before = 0
