@@ -6,8 +6,8 @@ bad keys is narrow: one row per key. Three regimes, picked from its measured siz
 * nothing bad: a constant, no join;
 * small: broadcast, the wide rows do not move;
 * large: keys heavy enough to unbalance a shuffle are few by arithmetic (each holds at least
-  one ``HOT_KEY_SHARE``-th of the bad rows) and are broadcast; the others are joined by a
-  shuffle in which hot rows and null keys are spread by their input partition.
+  one ``HOT_KEY_SHARE``-th of all rows) and are settled by a broadcast; the others are joined by
+  a shuffle in which settled rows and null keys are spread by their input partition.
 """
 
 from __future__ import annotations
@@ -59,7 +59,6 @@ def flag_by_keys(
     saved = durable(bad, "keys")
     size = saved.agg(
         F.count(F.lit(1)).alias("keys"),
-        F.sum("__n").alias("rows"),
         F.sum(payload_bytes(*keys)).alias("payload"),
     ).first()
     if size["keys"] == 0:
@@ -73,25 +72,43 @@ def flag_by_keys(
             *[col(c) for c in df.columns], F.coalesce("__hit", F.lit(False)).alias(flag)
         )
 
-    hot_from = max(2, -(-size["rows"] // HOT_KEY_SHARE))
-    hot = F.broadcast(saved.filter(F.col("__n") >= hot_from).select(*renamed, F.lit(True).alias("__hot")))
-    settled = F.coalesce(F.col("__hot"), F.lit(False)) | any_of([col(k).isNull() for k in keys])
-    routed = df.join(hot, on, "left").select(
+    return _flag_by_shuffle(df, keys, saved, flag)
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that hold at least one ``HOT_KEY_SHARE``-th of all rows; there are at most that many."""
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    return key_counts(df.filter(keys_present(keys)), keys).filter(F.col("__n") >= max(2, -(-rows // HOT_KEY_SHARE)))
+
+
+def _flag_by_shuffle(df: DataFrame, keys: Sequence[str], bad: DataFrame, flag: str) -> DataFrame:
+    width = range(len(keys))
+    # Heavy keys are settled by a broadcast whether they are bad or not: a good key that fills a
+    # third of the table would unbalance the shuffle just as much.
+    heavy = durable(heavy_keys(df, keys), "heavy").select(*[col(k).alias(f"__b{i}") for i, k in enumerate(keys)])
+    on = all_of([col(k) == F.col(f"__b{i}") for i, k in enumerate(keys)])
+    heavy_bad = durable(bad.join(F.broadcast(heavy), on, "left_semi"), "heavy-bad").select(
+        *[col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__known_bad")
+    )
+    same = all_of([F.col(f"__b{i}") == F.col(f"__h{i}") for i in width])
+    hot = heavy.join(F.broadcast(heavy_bad), same, "left").select(
+        *[F.col(f"__b{i}") for i in width], F.coalesce("__known_bad", F.lit(False)).alias("__hot")
+    )
+    settled = F.col("__hot").isNotNull() | any_of([col(k).isNull() for k in keys])
+    routed = df.join(F.broadcast(hot), on, "left").select(
         *[col(c) for c in df.columns],
-        F.coalesce("__hot", F.lit(False)).alias("__hot"),
+        "__hot",
         *[F.when(~settled, col(k)).alias(f"__j{i}") for i, k in enumerate(keys)],
-        # Rows that are settled already match nothing below; the input partition spreads them.
+        # Settled rows match nothing below; the number of their input partition spreads them.
         F.when(settled, F.spark_partition_id() + 1).otherwise(0).alias("__salt"),
     )
-    cold = saved.filter(F.col("__n") < hot_from).select(
+    cold = bad.select(
         *[col(k).alias(f"__c{i}") for i, k in enumerate(keys)],
         # Always 0, but not a constant the optimizer could fold out of the join key.
         F.least(F.col("__n"), F.lit(0)).cast("int").alias("__csalt"),
         F.lit(True).alias("__cold"),
     )
-    meet = all_of([F.col(f"__j{i}") == F.col(f"__c{i}") for i in range(len(keys))]) & (
-        F.col("__salt") == F.col("__csalt")
-    )
+    meet = all_of([F.col(f"__j{i}") == F.col(f"__c{i}") for i in width]) & (F.col("__salt") == F.col("__csalt"))
     return routed.join(cold, meet, "left").select(
-        *[col(c) for c in df.columns], F.coalesce(F.col("__cold"), F.col("__hot")).alias(flag)
+        *[col(c) for c in df.columns], F.coalesce("__hot", "__cold", F.lit(False)).alias(flag)
     )

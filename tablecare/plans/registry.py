@@ -240,7 +240,7 @@ class Registry:
         """Accept candidates: new version per item, event and log entry. Repeating it changes nothing."""
         ids = [ids] if isinstance(ids, str) else list(dict.fromkeys(ids))
         status = "auto_promoted" if actor.startswith("system:") else "approved"
-        versions = {"rule": self.version("rule"), "fix": self.version("fix")}
+        versions: dict[str, int] = {}
         items: dict[str, list] = {}
         new_rows: dict[str, list[tuple]] = {"rule": [], "fix": []}
         events, log, statuses = [], [], []
@@ -254,6 +254,7 @@ class Registry:
                 raise RegistryError(f"candidate {candidate['candidate_id']} did not pass its gates")
             artifact = candidate["artifact"]
             if artifact not in items:
+                versions[artifact] = self.version(artifact)
                 items[artifact] = list(self.active_rules() if artifact == "rule" else self.active_fixes())
             if artifact == "rule":
                 item = Rule.load(candidate["kind"], candidate["column"], candidate["params"])

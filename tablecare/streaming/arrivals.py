@@ -17,10 +17,13 @@ from tablecare.functions.typed import col
 from tablecare.operators.keyflags import flag_by_keys, key_counts, keys_present
 from tablecare.operators.rules import row_check
 from tablecare.operators.validate import REASONS
+from tablecare.sources.scan import scan
 from tablecare.spec import Rule, TableSpec, dedupe_rules
 
 # The schema of Spark's binary file source.
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+# Files above this are compared by their rows instead of their bytes.
+MAX_CONTENT_BYTES = 256 * 1024 * 1024
 DIGEST_SCHEMA = "table_name string, digest string"
 
 
@@ -58,15 +61,21 @@ def run_per_batch(
 # -- identical content ---------------------------------------------------------------------
 
 
-def file_digests(spark: SparkSession, directory: str, fmt: str, streaming: bool = False) -> DataFrame:
-    """Path and SHA-256 of every landed file.
+def file_digests(spark: SparkSession, paths: str | Sequence[str], fmt: str) -> DataFrame:
+    """Path and SHA-256 of files, each hashed as one value on an executor.
 
-    A file is hashed as one value, so this is for landing folders whose files stay below the
-    2 GB limit of a binary value; ``row_digest`` covers larger ones.
+    A binary value ends at 2 GB; ``row_digest`` covers larger files.
     """
-    reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(BINARY_SCHEMA)
-    files = reader.option("pathGlobFilter", f"*.{fmt}").load(directory)
-    return files.select("path", "modificationTime", F.sha2("content", 256).alias("digest"))
+    files = spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
+    return files.load([paths] if isinstance(paths, str) else list(paths)).select(
+        "path", F.sha2("content", 256).alias("digest")
+    )
+
+
+def landed_files(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
+    """Stream of newly landed files by path and length; contents are not read."""
+    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
+    return files.load(directory).select("path", "length")
 
 
 def row_digest(df: DataFrame) -> DataFrame:
@@ -126,22 +135,30 @@ def run_new_files(
     handle: Callable[[str], None],
     checkpoint: str,
     available_now: bool = True,
+    max_content_bytes: int = MAX_CONTENT_BYTES,
 ) -> StreamingQuery:
     """Call ``handle(path)`` for each landed file with new content.
 
-    A digest is committed only after its file went through, so a failed run is tried again.
-    The driver sees one path per file; the rows are read by the run itself.
+    Files up to ``max_content_bytes`` are told apart by their bytes, larger ones by a digest of
+    their rows. A digest is committed only after its file went through, so a failed run is tried
+    again. The driver sees one path and one digest per file; rows are read by the run itself.
     """
 
     def batch(files: DataFrame, _batch_id: int) -> None:
-        mine = ledger.frame().filter(F.col("table_name") == spec.name)
-        named = files.withColumn("table_name", F.lit(spec.name))
-        fresh = new_content(named, mine, ["table_name"], "digest", "path")
-        for row in fresh.orderBy("path").collect():
-            handle(row["path"])
-            ledger.commit(spec.name, row["digest"])
-
-    return run_per_batch(file_digests(spark, directory, spec.fmt, streaming=True), batch, checkpoint, available_now)
+        sizes = {r["path"]: r["length"] for r in files.collect()}
+        small = sorted(p for p, length in sizes.items() if length <= max_content_bytes)
+        digests = {r["path"]: r["digest"] for r in file_digests(spark, small, spec.fmt).collect()} if small else {}
+        for path in sizes.keys() - digests.keys():
+            digests[path] = row_digest(scan(spark, spec, path)).first()["digest"]
+        mine = ledger.frame().filter((F.col("table_name") == spec.name) & F.col("digest").isin(list(digests.values())))
+        known = {r["digest"] for r in mine.collect()}
+        for path in sorted(digests):
+            if digests[path] not in known:
+                handle(path)
+                ledger.commit(spec.name, digests[path])
+                known.add(digests[path])
+
+    return run_per_batch(landed_files(spark, directory, spec.fmt), batch, checkpoint, available_now)
 
 
 # -- keys across batches -------------------------------------------------------------------

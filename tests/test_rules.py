@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import ORDERS, base, dirty, table
 from tablecare.operators.calibrate import calibrate, suite_frame, suite_from_frame
-from tablecare.operators.keyflags import duplicate_keys, flag_by_keys
+from tablecare.operators.keyflags import duplicate_keys, flag_by_keys, orphan_keys
 from tablecare.operators.rules import row_check
 from tablecare.operators.validate import attribute, dry_run, measure, reason_counts, split, validate, violations
 from tablecare.spec import (
@@ -176,6 +176,19 @@ def test_key_flags_match_a_window_count_in_every_regime(spark, sf_dir, limit):
     assert flagged.filter("dup").count() > 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_reference_flags_with_a_hot_good_key(spark, sf_dir, limit):
+    """The key that fills a third of the rows is a good one; orphans are among the others."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 6 = 1 THEN NULL ELSE l_orderkey END AS a", "l_tax"
+    )
+    known = spark.range(1200).withColumnRenamed("id", "ref")
+    flagged = flag_by_keys(rows, ["a"], orphan_keys(rows, ["a"], known, ["ref"]), "orphan", limit)
+    expected = rows.withColumn("orphan", F.expr("coalesce(a >= 1200, false)"))
+    assert flagged.exceptAll(expected).isEmpty() and expected.exceptAll(flagged).isEmpty()
+    assert flagged.filter("orphan").count() > 0
+
+
 def test_no_bad_keys_need_no_join(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     flagged = flag_by_keys(orders, ["o_orderkey"], duplicate_keys(orders, ["o_orderkey"]), "dup")

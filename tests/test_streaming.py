@@ -30,13 +30,16 @@ def landing(tmp_path):
     return folder
 
 
-def test_identical_content_is_handled_once(spark, landing, tmp_path):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_identical_content_is_handled_once(spark, landing, tmp_path, limit):
+    """By bytes and, for files beyond the limit, by rows."""
     ledger = ContentLedger(spark, str(tmp_path / "out"))
     seen = []
 
     def drain(checkpoint):
         run_new_files(
-            spark, SPEC, str(landing), ledger, lambda p: seen.append(p.rsplit("/", 1)[1]), str(tmp_path / checkpoint)
+            spark, SPEC, str(landing), ledger, lambda p: seen.append(p.rsplit("/", 1)[1]), str(tmp_path / checkpoint),
+            max_content_bytes=limit,
         ).awaitTermination()
 
     drain("first")
