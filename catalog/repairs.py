@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import DIRTY_SQL, ORDER_COLUMNS, ORDERS, base, dirty, query, table
 from catalog.rules import AMOUNT_HIGH, AMOUNT_LOW, FLAGGED_SQL, METHODS, METHODS_SQL, ROW_SQL, SUITE_SQL
-from tablecare.operators.calibrate import calibrate
+from tablecare.operators.calibrate import calibrate, related_rules
 from tablecare.operators.fixes import apply_fix, apply_fixes, plan_fixes, quarantine_where, template_fix
 from tablecare.operators.gates import GateResult, check_fixes, check_rule, import_rules, snapshot
 from tablecare.operators.profile import profile_columns
@@ -388,6 +388,46 @@ def gate_rule_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, passed boolean, flagged string")
 
 
+# Rule proposed per failed calibrated rule: text by its length, the rest by its nulls.
+PROPOSED_KINDS = {
+    "order_id": "length_between",
+    "customer_id": "length_between",
+    "customer_email": "length_between",
+    "payment_method": "length_between",
+    "order_timestamp": "not_null",
+}
+
+
+def proposal_sql(i: int, kind: str, column: str) -> str:
+    proposed = PROPOSED_KINDS.get(column, "" if kind == "not_null" else "not_null")
+    text = proposed == "length_between"
+    return f"""SELECT '{kind}' AS rule, '{column}' AS "column", '{proposed}' AS proposed,
+ {f"(SELECT CAST(min(length({column})) AS BIGINT) FROM base)" if text else "CAST(NULL AS BIGINT)"} AS low,
+ {f"(SELECT CAST(max(length({column})) AS BIGINT) FROM base)" if text else "CAST(NULL AS BIGINT)"} AS high,
+ {"TRUE" if proposed else "FALSE"} AS passed FROM flagged HAVING count(*) FILTER (WHERE v{i}) > 0"""
+
+
+@query(
+    "rule_proposals",
+    f"WITH {FLAGGED_SQL}\n"
+    + "\nUNION ALL\n".join(proposal_sql(i, kind, column) for i, (kind, column, _, _) in enumerate(SUITE_SQL)),
+)
+def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules proposed for the failures of the incoming table, each tried on the baseline."""
+    clean = base(spark, sf)
+    propose = related_rules(clean, ORDERS)
+    rows = []
+    for failure in measure(dirty(spark, sf), calibrate(clean, ORDERS)):
+        if not failure.success:
+            rule = propose(failure)
+            passed = rule is not None and check_rule(clean, rule).passed
+            bounds = (None, None) if rule is None else (rule.params.get("min"), rule.params.get("max"))
+            rows.append((failure.rule.kind, failure.rule.column, rule.kind if rule else "", *bounds, passed))
+    return spark.createDataFrame(
+        rows, "rule string, column string, proposed string, low bigint, high bigint, passed boolean"
+    )
+
+
 # A table of foreign rules, one per order: names in three spellings, parameters right and wrong.
 IMPORT_SQL = """SELECT k, CASE WHEN problem IS NULL THEN rule END AS rule, problem,
  CASE WHEN problem IS NULL AND k % 7 = 0 THEN 'O,F' WHEN problem IS NULL AND k % 7 = 5 THEN 'A,B' END AS "values",

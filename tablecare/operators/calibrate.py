@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.typed import col, is_numeric, is_time
 from tablecare.operators.profile import iso, number
+from tablecare.operators.validate import Measure
 from tablecare.spec import (
     EMAIL_REGEX,
     MAX_CATEGORICAL_VALUES,
@@ -16,6 +19,7 @@ from tablecare.spec import (
     TableSpec,
     between,
     in_set,
+    length_between,
     matches,
     not_null,
     unique,
@@ -96,6 +100,34 @@ def categorical_values(df: DataFrame, columns: list[str]) -> dict[str, list[str]
     return {r["column"]: list(r["values"]) for r in few.collect()}
 
 
+def related_rules(df: DataFrame, spec: TableSpec) -> Callable[[Measure], Rule | None]:
+    """Propose, for a failed rule, another rule that the trusted table supports on the same column.
+
+    Text gets the bounds of its length, any other column without nulls a null rule. One aggregate
+    over the trusted table serves every later proposal; the gate on new rules still applies.
+    """
+    fields = spec.fields(df.schema)
+    measures = [F.count_if(col(f.name).isNull()).alias(f"null:{f.name}") for f in fields]
+    for field in fields:
+        if isinstance(field.dataType, T.StringType):
+            length = F.length(col(field.name))
+            measures += [F.min(length).alias(f"lo:{field.name}"), F.max(length).alias(f"hi:{field.name}")]
+    stats = df.agg(*measures).first().asDict()
+
+    def propose(failure: Measure) -> Rule | None:
+        if len(failure.rule.columns) != 1:
+            return None
+        name = failure.rule.columns[0]
+        options = []
+        if stats.get(f"lo:{name}") is not None:
+            options.append(length_between(name, stats[f"lo:{name}"], stats[f"hi:{name}"]))
+        if stats.get(f"null:{name}") == 0:
+            options.append(not_null(name))
+        return next((rule for rule in options if rule != failure.rule), None)
+
+    return propose
+
+
 def suite_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """A suite in its stored form, one row per rule."""
     rows = [(i, r.rule_id, r.kind, r.column, r.params_json) for i, r in enumerate(rules)]

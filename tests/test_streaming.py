@@ -4,8 +4,10 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from tablecare.operators.validate import attribute
+from tablecare.plans.registry import Registry
 from tablecare.sources.scan import latest_batch, scan
-from tablecare.spec import TableSpec, between, not_null, schema_of
+from tablecare.sources.sinks import read_runs
+from tablecare.spec import RunOptions, TableSpec, between, not_null, schema_of
 from tablecare.streaming.arrivals import (
     ContentLedger,
     arrivals,
@@ -14,6 +16,7 @@ from tablecare.streaming.arrivals import (
     run_per_batch,
     stream_reasons,
 )
+from tablecare.streaming.watch import run_on_arrival
 
 SPEC = TableSpec("landing", ("id",), schema_of([("id", "integer"), ("x", "double")]))
 RULES = [not_null("x"), between("x", 0, 10)]
@@ -54,6 +57,24 @@ def test_identical_content_is_handled_once(spark, landing, tmp_path, limit):
     assert ledger.frame().count() == 3
 
 
+def test_full_pass_per_arrival(spark, landing, tmp_path):
+    out, registry = str(tmp_path / "out"), Registry(spark, str(tmp_path / "registry"))
+    registry.seed(RULES)
+
+    def drain():
+        run_on_arrival(
+            spark, SPEC, registry, out, str(landing), options=RunOptions(repair_not_drop=True)
+        ).awaitTermination()
+
+    drain()
+    drain()
+    runs = {r["source_ref"].rsplit("/", 1)[1]: r for r in read_runs(spark, out).collect()}
+    assert set(runs) == {"a.csv", "b.csv"}
+    assert (runs["a.csv"]["failed_rule_count"], runs["a.csv"]["stop_reason"]) == (2, "clean")
+    assert runs["b.csv"]["total_rows"] == 1
+    assert [f.action for f in registry.active_fixes()] == ["fill_null", "impute_median"]
+
+
 def test_a_failed_run_is_tried_again(spark, landing, tmp_path):
     ledger = ContentLedger(spark, str(tmp_path / "out"))
     seen = []
