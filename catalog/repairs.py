@@ -9,7 +9,7 @@ from catalog.fixture import DIRTY_SQL, ORDER_COLUMNS, ORDERS, base, dirty, query
 from catalog.rules import AMOUNT_HIGH, AMOUNT_LOW, FLAGGED_SQL, METHODS, METHODS_SQL, ROW_SQL, SUITE_SQL
 from tablecare.operators.calibrate import calibrate, related_rules
 from tablecare.operators.fixes import apply_fix, apply_fixes, plan_fixes, quarantine_where, template_fix
-from tablecare.operators.gates import GateResult, check_fixes, check_rule, import_rules, snapshot
+from tablecare.operators.gates import GateResult, check_fixes, check_rules, import_rules, snapshot
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.validate import measure
 from tablecare.spec import Fix, Rule, between, in_set, not_null, rule_param, unique, where
@@ -379,10 +379,8 @@ BASE_RULES = [
     ),
 )
 def gate_rule_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    clean = base(spark, sf)
     rows = []
-    for rule in BASE_RULES:
-        check = check_rule(clean, rule)
+    for rule, check in zip(BASE_RULES, check_rules(base(spark, sf), BASE_RULES), strict=True):
         flagged = "0" if check.passed else check.note.split(": ")[1].split("/")[0]
         rows.append((rule.rule_id, check.passed, flagged))
     return spark.createDataFrame(rows, "rule_id string, passed boolean, flagged string")
@@ -416,13 +414,14 @@ def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Rules proposed for the failures of the incoming table, each tried on the baseline."""
     clean = base(spark, sf)
     propose = related_rules(clean, ORDERS)
+    failed = [m for m in measure(dirty(spark, sf), calibrate(clean, ORDERS)) if not m.success]
+    proposals = [propose(m) for m in failed]
+    stated = [r for r in proposals if r is not None]
+    passed = {r for r, check in zip(stated, check_rules(clean, stated), strict=True) if check.passed}
     rows = []
-    for failure in measure(dirty(spark, sf), calibrate(clean, ORDERS)):
-        if not failure.success:
-            rule = propose(failure)
-            passed = rule is not None and check_rule(clean, rule).passed
-            bounds = (None, None) if rule is None else (rule.params.get("min"), rule.params.get("max"))
-            rows.append((failure.rule.kind, failure.rule.column, rule.kind if rule else "", *bounds, passed))
+    for failure, rule in zip(failed, proposals, strict=True):
+        bounds = (None, None) if rule is None else (rule.params.get("min"), rule.params.get("max"))
+        rows.append((failure.rule.kind, failure.rule.column, rule.kind if rule else "", *bounds, rule in passed))
     return spark.createDataFrame(
         rows, "rule string, column string, proposed string, low bigint, high bigint, passed boolean"
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.typed import col
 from tablecare.operators.fixes import Transforms, apply_fix, schema_loss
-from tablecare.operators.validate import PROBE, Measure, Tables, dry_run, measures_of, validate
+from tablecare.operators.validate import PROBE, Measure, Tables, dry_run, measure, measures_of, validate
 from tablecare.spec import DEFAULT_TRIAL_ROWS, RULE_KINDS, Fix, FixError, Rule, RuleError, dedupe_rules
 
 
@@ -239,6 +239,10 @@ def check_rule(baseline: DataFrame, rule: Rule, tables: Tables | None = None) ->
         seen = dry_run(baseline, rule, tables)
     except (RuleError, PySparkException) as error:
         return RuleCheck(False, f"does not run on the baseline: {_first_line(error)}")
+    return _baseline_verdict(seen)
+
+
+def _baseline_verdict(seen: Measure) -> RuleCheck:
     if not seen.success:
         return RuleCheck(
             False, f"would flag the clean baseline: {seen.unexpected_count}/{seen.element_count} rows"
@@ -246,6 +250,15 @@ def check_rule(baseline: DataFrame, rule: Rule, tables: Tables | None = None) ->
     return RuleCheck(True, "passed the structure check and the clean baseline")
 
 
+def check_rules(baseline: DataFrame, rules: Sequence[Rule], tables: Tables | None = None) -> list[RuleCheck]:
+    """``check_rule`` for many rules in one pass; one by one only if some rule does not run."""
+    try:
+        seen = {m.rule.rule_id: m for m in measure(baseline, rules, tables)}
+    except (RuleError, PySparkException):
+        return [check_rule(baseline, rule, tables) for rule in rules]
+    return [_baseline_verdict(seen[rule.rule_id]) for rule in rules]
+
+
 # Names under which rules may arrive in a rule table, next to our own.
 RULE_ALIASES = {
     "expect_column_values_to_not_be_null": "not_null",

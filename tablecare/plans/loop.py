@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.typed import col
 from tablecare.operators.fixes import Transforms, plan_fixes
-from tablecare.operators.gates import GateResult, Snapshot, check_fixes, check_rule, independent, snapshot
+from tablecare.operators.gates import GateResult, Snapshot, check_fixes, check_rules, independent, snapshot
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.sizing import durable
 from tablecare.operators.validate import Measure, Tables, attribute, failing_keys
@@ -146,14 +146,17 @@ def heal(
         suite_changed = False
 
         if propose_rule is not None and baseline is not None:
-            checked = []
+            fresh: dict[Rule, str] = {}
             for failure in outcome.state.failures():
                 rule = propose_rule(failure)
-                if rule is None or rule in rules or rule.rule_id in proposed_before:
-                    continue
-                proposed_before.add(rule.rule_id)
-                check = check_rule(baseline, rule, tables)
-                checked.append((rule, failure.rule.rule_id, check.passed, check.note))
+                if rule is not None and rule not in rules and rule.rule_id not in proposed_before:
+                    proposed_before.add(rule.rule_id)
+                    fresh[rule] = failure.rule.rule_id
+            checks = check_rules(baseline, list(fresh), tables)
+            checked = [
+                (rule, source, check.passed, check.note)
+                for (rule, source), check in zip(fresh.items(), checks, strict=True)
+            ]
             ids = registry.add_candidates(run_id, loop, checked)
             candidate_ids += ids
             passing = [i for i, (_, _, passed, _) in zip(ids, checked, strict=True) if passed]

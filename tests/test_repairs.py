@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablecare.operators.calibrate import related_rules
 from tablecare.operators.fixes import apply_fix, apply_fixes, keep_first, plan_fixes, template_fix
 from tablecare.operators.gates import (
     check_fixes,
     check_rule,
+    check_rules,
     import_rules,
     independent,
     judge,
@@ -18,7 +20,19 @@ from tablecare.operators.gates import (
 )
 from tablecare.operators.profile import ColumnProfile, profile_columns
 from tablecare.operators.validate import measure
-from tablecare.spec import Fix, FixError, Rule, between, in_set, matches, not_null, rule_param, unique
+from tablecare.spec import (
+    Fix,
+    FixError,
+    Rule,
+    TableSpec,
+    between,
+    in_set,
+    length_between,
+    matches,
+    not_null,
+    rule_param,
+    unique,
+)
 
 
 @pytest.fixture(scope="module")
@@ -251,6 +265,23 @@ def test_new_rules_must_spare_the_baseline(orders):
     assert "does not run" in check_rule(orders, between("method", 1, 2)).note
 
 
+def test_many_rules_are_checked_as_one_by_one(orders):
+    rules = [between("id", 0, 100), between("id", 0, 10), between("id", 0, 100)]
+    assert check_rules(orders, rules) == [check_rule(orders, r) for r in rules]
+    # One that does not run spoils nothing for the others.
+    rules.append(between("method", 1, 2))
+    assert [c.passed for c in check_rules(orders, rules)] == [True, False, True, False]
+    assert check_rules(orders, []) == []
+
+
+def test_related_rules(orders):
+    propose = related_rules(orders, TableSpec("orders", ("id",)))
+    failures = {m.rule.reason: m for m in measure(orders, RULES)}
+    assert propose(failures["in_set on 'method'"]) == length_between("method", 3, 4)
+    assert propose(failures["between on 'amount'"]) is None  # the table itself lacks an amount
+    assert propose(failures["unique on 'id'"]) == not_null("id")
+
+
 def test_rule_names():
     for name in ("ExpectColumnValuesToBeInSet", "expect_column_values_to_be_in_set", "in_set", "InSet"):
         assert resolve_kind(name) == "in_set"
