@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.llm.exact_dedup import exact_duplicates
-from tablecare.llm.frames import crc_fold, scratch_path
+from tablecare.llm.frames import crc_fold, durable, scratch_path
+from tablecare.llm.jaccard import jaccard_components
 from tablecare.llm.packing import pack
+from tablecare.llm.pii import KINDS, chosen_spans, fit_pii, listed, with_candidates
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.token_counts import token_counts
 from tablecare.llm.toxicity import fit_toxicity, score_toxicity
@@ -53,6 +55,11 @@ def _decided(scored: DataFrame, held_out) -> DataFrame:
     )
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, p=90, q=100)
+
+
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,3 +85,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_fold(F.col("doc_id"), 5) == 0
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
     return _decided(score_toxicity(docs, model).select("doc_id", "score"), held_out)
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    proposed = durable(with_candidates(docs, "text", "proposed").select("doc_id", "proposed"), "proposed")
+    spans = proposed.withColumn("all", chosen_spans(F.col("proposed"), fit_pii(proposed, "proposed")))
+    base = F.filter("all", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
