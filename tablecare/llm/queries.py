@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.llm.context_tree import language_model_scores
 from tablecare.llm.exact_dedup import exact_duplicates
 from tablecare.llm.frames import crc_fold, durable, scratch_path
 from tablecare.llm.jaccard import jaccard_components
@@ -68,6 +69,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(score_quality(docs, model).select("doc_id", "score"), held_out)
 
 
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_fold(F.col("doc_id"), 10) == 0
+    scores = language_model_scores(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), *scores.columns[1:])
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-cache")
