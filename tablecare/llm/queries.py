@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from tablecare.llm.context_tree import language_model_scores
 from tablecare.llm.exact_dedup import exact_duplicates
 from tablecare.llm.frames import crc_fold, durable, scratch_path
 from tablecare.llm.jaccard import jaccard_components
+from tablecare.llm.near_vectors import near_vectors
 from tablecare.llm.packing import pack
 from tablecare.llm.pii import KINDS, chosen_spans, fit_pii, listed, with_candidates
+from tablecare.llm.pieces import piece_summary
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.token_counts import token_counts
 from tablecare.llm.toxicity import fit_toxicity, score_toxicity
@@ -22,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -69,6 +74,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(score_quality(docs, model).select("doc_id", "score"), held_out)
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_summary(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +98,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+@query("op8_near_vectors")
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,3 +120,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
