@@ -48,8 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean baseline, with the row origin ``k``."""
     return table(spark, sf_dir, "orders").selectExpr(
-        "concat('ORD-', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS order_id",
-        "concat('C', lpad(CAST(o_custkey AS STRING), 6, '0')) AS customer_id",
+        "concat('ORD-', lpad(CAST(o_orderkey AS STRING), CAST(greatest(6, length(CAST(o_orderkey AS STRING))) AS INT), '0')) AS order_id",
+        "concat('C', lpad(CAST(o_custkey AS STRING), CAST(greatest(6, length(CAST(o_custkey AS STRING))) AS INT), '0')) AS customer_id",
         "o_totalprice AS order_amount",
         "concat('user', CAST(o_custkey AS STRING), '@example.com') AS customer_email",
         "CASE o_custkey % 4 WHEN 0 THEN 'CARD' WHEN 1 THEN 'WALLET' WHEN 2 THEN 'TRANSFER' ELSE 'VOUCHER' END"
@@ -86,8 +86,8 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same two tables in SQL, as the head of every statement about them.
 BASE_SQL = """base AS (
- SELECT concat('ORD-', lpad(CAST(o_orderkey AS VARCHAR),6,'0')) AS order_id,
-  concat('C', lpad(CAST(o_custkey AS VARCHAR),6,'0')) AS customer_id,
+ SELECT concat('ORD-', lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0')) AS order_id,
+  concat('C', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(6, length(CAST(o_custkey AS VARCHAR))) AS INT), '0')) AS customer_id,
   o_totalprice AS order_amount,
   concat('user', CAST(o_custkey AS VARCHAR), '@example.com') AS customer_email,
   CASE o_custkey % 4 WHEN 0 THEN 'CARD' WHEN 1 THEN 'WALLET' WHEN 2 THEN 'TRANSFER' ELSE 'VOUCHER' END AS payment_method,

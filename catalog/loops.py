@@ -141,12 +141,12 @@ def revalidated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "run_history",
-    """SELECT 'run-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS run_id, o_orderpriority AS table_name,
+    """SELECT 'run-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(9, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS run_id, o_orderpriority AS table_name,
  o_orderdate AS started_at FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
 def history(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "orders").selectExpr(
-        "concat('run-', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS run_id",
+        "concat('run-', lpad(CAST(o_orderkey AS STRING), CAST(greatest(9, length(CAST(o_orderkey AS STRING))) AS INT), '0')) AS run_id",
         "o_orderpriority AS table_name",
         "o_orderdate AS started_at",
     )

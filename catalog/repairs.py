@@ -49,6 +49,32 @@ def fix_fill_null(spark: SparkSession, sf: str) -> DataFrame:
     return apply_fixes(dirty(spark, sf), fixes).df
 
 
+WIDE_KEY = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 1152921504606846976 + o_orderkey END"
+WIDE_AMOUNT = """CASE WHEN o_orderkey % 7 = 0 THEN NULL
+ ELSE CAST(CAST('12345678901234567.89' AS DECIMAL(20,2)) + CAST(o_orderkey AS DECIMAL(15,0)) AS DECIMAL(20,2)) END"""
+
+
+@query(
+    "fix_wide_numbers",
+    f"""SELECT k, CAST(CASE WHEN wide_key IS NULL THEN 7 WHEN wide_key % 10 = 3 THEN 8 ELSE wide_key END AS VARCHAR) AS wide_key,
+ CAST(coalesce(greatest(wide_amount, CAST('12345678901234600.25' AS DECIMAL(20,2))), CAST('1.50' AS DECIMAL(20,2))) AS VARCHAR)
+ AS wide_amount
+FROM (SELECT o_orderkey AS k, {WIDE_KEY} AS wide_key,
+ CASE WHEN o_orderkey % 7 = 0 THEN CAST('1.50' AS DECIMAL(20,2)) ELSE {WIDE_AMOUNT} END AS wide_amount FROM orders)""",
+)
+def fix_wide_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers beyond the precision of a double; constants of other types must not touch them."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS k", f"{WIDE_KEY} AS wide_key", f"{WIDE_AMOUNT} AS wide_amount")
+    fixes = [
+        Fix("replace_where", "wide_key", {"predicate": "wide_key % 10 = 3", "value": 8.0}),
+        Fix("fill_null", "wide_key", {"value": 7.5}),
+        Fix("fill_null", "wide_amount", {"value": 1.5}),
+        Fix("clamp", "wide_amount", {"min": "12345678901234600.25"}),
+    ]
+    fixed = apply_fixes(rows, fixes).df
+    return fixed.selectExpr("k", "CAST(wide_key AS STRING) AS wide_key", "CAST(wide_amount AS STRING) AS wide_amount")
+
+
 @query(
     "fix_replace_where",
     replaced_sql(

@@ -111,6 +111,24 @@ def rule_in_set(spark: SparkSession, sf: str) -> DataFrame:
     return counts(validate(dirty(spark, sf), IN_SET))
 
 
+# More values than are compared one by one, with a fraction and a null among whole numbers; and a short list alike.
+LONG_SET = [
+    in_set("k", [*(v for v in range(1, 6001) if v % 3), 2.5, None]),
+    in_set("k", [1.0, 2.0, 2.5, None]),
+]
+
+
+@query(
+    "rule_in_set_long",
+    union_sql(
+        counts_sql(LONG_SET[0], "k > 6000 OR k % 3 = 0", "k IS NOT NULL"),
+        counts_sql(LONG_SET[1], "k NOT IN (1, 2)", "k IS NOT NULL"),
+    ),
+)
+def rule_in_set_long(spark: SparkSession, sf: str) -> DataFrame:
+    return counts(validate(dirty(spark, sf), LONG_SET))
+
+
 BETWEEN = [
     between("order_amount", AMOUNT_LOW, AMOUNT_HIGH),
     between("order_amount", min=0),
@@ -221,7 +239,7 @@ def rule_mostly(spark: SparkSession, sf: str) -> DataFrame:
 
 WHERE = [
     where("order_amount < 300000 OR payment_method <> 'CARD'"),
-    where("substr(order_id, 5) = lpad(CAST(k AS STRING), 6, '0')", "order_id"),
+    where("substr(order_id, 5) = lpad(CAST(k AS STRING), CAST(greatest(6, length(CAST(k AS STRING))) AS INT), '0')", "order_id"),
 ]
 
 
@@ -235,7 +253,7 @@ WHERE = [
         ),
         counts_sql(
             WHERE[1],
-            "substr(order_id, 5) <> lpad(CAST(k AS VARCHAR), 6, '0')",
+            "substr(order_id, 5) <> lpad(CAST(k AS VARCHAR), CAST(greatest(6, length(CAST(k AS VARCHAR))) AS INT), '0')",
             "order_id IS NOT NULL",
         ),
     ),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.functions.typed import any_of, col, field_of, is_numeric, is_time, typed_literal
+from tablecare.functions.typed import any_of, col, field_of, is_numeric, is_time, replacement, typed_literal
 from tablecare.operators.keyflags import duplicate_keys, flag_by_keys
 from tablecare.operators.profile import ColumnProfile
 from tablecare.operators.rules import row_check
@@ -43,20 +43,20 @@ def _new_value(df: DataFrame, fix: Fix) -> Column:
         outside = any_of(
             [value < typed_literal(params["min"], data_type), value > typed_literal(params["max"], data_type)]
         )
-        return F.when(outside, typed_literal(params["median"], data_type)).otherwise(value)
+        return F.when(outside, replacement(params["median"], data_type)).otherwise(value)
     if fix.action == "fill_null":
-        return F.coalesce(value, typed_literal(params["value"], data_type))
+        return F.coalesce(value, replacement(params["value"], data_type))
     if fix.action == "replace_where":
-        return F.when(fix_predicate(df, fix), typed_literal(params["value"], data_type)).otherwise(value)
+        return F.when(fix_predicate(df, fix), replacement(params["value"], data_type)).otherwise(value)
     if fix.action == "null_out":
         return F.when(~fix_predicate(df, fix), value)
     if fix.action == "clamp":
         # Null stays null: greatest and least skip nulls, so they are guarded.
         held = value
         if params.get("min") is not None:
-            held = F.greatest(held, typed_literal(params["min"], data_type))
+            held = F.greatest(held, replacement(params["min"], data_type, up=True))
         if params.get("max") is not None:
-            held = F.least(held, typed_literal(params["max"], data_type))
+            held = F.least(held, replacement(params["max"], data_type, up=False))
         return F.when(value.isNotNull(), held)
     if not isinstance(data_type, T.StringType):
         raise FixError(f"fix '{fix.action}' needs a string column, '{fix.column}' is {data_type.simpleString()}")
@@ -216,7 +216,11 @@ def plan_fixes(
                         f"rows breaking {rule.reason} are dropped")
                 )
             elif rule.kind == "unique":
-                keep = list(order) or [n for n in schema.names if n not in rule.columns]
+                keep = list(order) or [
+                    f.name
+                    for f in schema.fields
+                    if f.name not in rule.columns and not isinstance(f.dataType, (T.MapType, T.VariantType))
+                ]
                 options.append(
                     Fix("keep_first", None, {"key": list(rule.columns), "order": keep},
                         f"only the first row per {rule.column} is kept")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.functions.typed import all_of, any_of, col, field_of, is_numeric, is_time, typed_literal, within
+from tablecare.functions.typed import all_of, any_of, col, field_of, is_numeric, is_time, listed_values, typed_literal, within
 from tablecare.spec import Rule, RuleError
 
 
@@ -54,7 +54,8 @@ def _single_column_violation(
     params = rule.params
     _need_flat(rule, data_type)
     if rule.kind in ("in_set", "not_in_set"):
-        member = value.isin([typed_literal(v, data_type) for v in params["values"]])
+        values, value_type = listed_values(params["values"], data_type)
+        member = value.isin([F.lit(str(v)).cast(value_type) for v in values])
         return ~member if rule.kind == "in_set" else member
     if rule.kind == "between":
         return _between(rule, value, data_type)

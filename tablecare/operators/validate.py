@@ -10,7 +10,16 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.functions.typed import col, field_of, is_time, sql_double, sql_name, sql_text, typed_literal
+from tablecare.functions.typed import (
+    col,
+    field_of,
+    is_time,
+    listed_values,
+    sql_double,
+    sql_name,
+    sql_text,
+    typed_literal,
+)
 from tablecare.operators.keyflags import duplicate_keys, flag_by_keys, key_counts, keys_present, orphan_keys
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.rules import column_statistics, row_check
@@ -22,6 +31,7 @@ REASONS = "dq_reasons"
 Tables = Mapping[str, DataFrame]
 
 # Longer value lists become a table to join instead of constants in the plan.
+# A longer list of values is joined as a table; which plan runs changes no result.
 MAX_INLINE_VALUES = 1000
 
 # Order number and rule of the extra result row that a probing validation adds.
@@ -150,7 +160,9 @@ def _shared_pass(
                 measures[own] = _time_number(value, df.schema, name)
             else:
                 function = {"mean_between": F.avg, "sum_between": F.sum, "stddev_between": F.stddev}[rule.kind]
-                measures[own] = function(col(name))
+                whole = rule.kind == "sum_between" and isinstance(field_of(df.schema, name).dataType, T.IntegralType)
+                # a sum of whole numbers may leave their type
+                measures[own] = F.sum(col(name).cast("decimal(38,0)")).cast("double") if whole else function(col(name))
             entries.append(_bounded(order, rule, "__n", own))
     return _unfold(df.agg(*[expr.alias(name) for name, expr in measures.items()]), entries)
 
@@ -222,9 +234,9 @@ def needs_reference(rule: Rule) -> bool:
 def _reference(df: DataFrame, rule: Rule, tables: Tables) -> tuple[DataFrame, Sequence[str]]:
     if rule.kind == "foreign_key":
         return _table(tables, rule.params["table"]), rule.params["ref_columns"]
-    data_type = field_of(df.schema, rule.columns[0]).dataType
-    texts = df.sparkSession.createDataFrame([(str(v),) for v in rule.params["values"]], "value string")
-    return texts.select(F.col("value").cast(data_type).alias("value")), ["value"]
+    values, value_type = listed_values(rule.params["values"], field_of(df.schema, rule.columns[0]).dataType)
+    texts = df.sparkSession.createDataFrame([(str(v),) for v in values], "value string")
+    return texts.select(F.col("value").cast(value_type).alias("value")), ["value"]
 
 
 def _reference_pass(df: DataFrame, order: int, rule: Rule, tables: Tables) -> DataFrame:

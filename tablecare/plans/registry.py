@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablecare.operators.gates import GateResult
+from tablecare.sources.sinks import empty_where_missing
 from tablecare.spec import Fix, Rule, dedupe_rules
 
 VERSION_SCHEMA = (
@@ -135,8 +136,8 @@ class Registry:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            return empty_where_missing(self.spark, error, schema)
 
     def _append(self, name: str, schema: str, rows: Sequence[tuple]) -> None:
         if rows:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablecare.operators.calibrate import calibrate
 from tablecare.operators.fixes import Transforms, apply_fixes
@@ -16,7 +17,7 @@ from tablecare.operators.gates import Snapshot, snapshot
 from tablecare.operators.profile import profile_columns, profiles_frame
 from tablecare.operators.report import diagnose, evidence, failure_report
 from tablecare.operators.sizing import durable
-from tablecare.operators.validate import Tables, measures_frame, validate
+from tablecare.operators.validate import REASONS, Tables, measures_frame, validate
 from tablecare.plans.loop import LoopOutcome, RuleProposer, heal
 from tablecare.plans.registry import Registry
 from tablecare.sources.scan import TEXT_FORMATS, ScanError, latest_batch, scan, scan_baseline
@@ -97,6 +98,8 @@ def run(
             "failed_rule_count": len(initial.failures()),
         }
         if initial.success:
+            # replayed repairs may have made it clean, so the result is written here too
+            write_clean(df.withColumn(REASONS, F.array().cast("array<string>")), out_root, run_id)
             metadata |= {"status": "succeeded", "phase_reached": "clean", "stop_reason": "clean"}
             return RunResult(run_id, metadata, None, initial)
 
@@ -176,5 +179,7 @@ def revalidate(
         df = scan(spark, spec, recorded["source_ref"])
     replay = apply_fixes(df, registry.active_fixes(), transforms)
     result = validate(replay.df, registry.active_rules(), tables)
+    # short, and both written and returned
+    result = durable(result, "post-approval")
     append_report(result, out_root, "post_approval", run_id)
     return result

@@ -56,6 +56,13 @@ def read_report(spark: SparkSession, root: str, name: str, run_id: str | None =
     return frame if run_id is None else frame.filter(F.col("run_id") == run_id)
 
 
+def empty_where_missing(spark: SparkSession, error: AnalysisException, schema: str) -> DataFrame:
+    """An empty table if ``error`` says that nothing was written yet; every other error goes on."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+    return spark.createDataFrame([], schema)
+
+
 def append_run(spark: SparkSession, root: str, metadata: Mapping[str, Any]) -> None:
     names = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
     row = spark.createDataFrame([tuple(metadata.get(n) for n in names)], RUN_SCHEMA)
@@ -71,5 +78,5 @@ def run_history(runs: DataFrame, table_name: str | None = None) -> DataFrame:
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(RUN_SCHEMA).parquet(f"{root}/runs")
-    except AnalysisException:
-        return spark.createDataFrame([], RUN_SCHEMA)
+    except AnalysisException as error:
+        return empty_where_missing(spark, error, RUN_SCHEMA)

@@ -17,13 +17,13 @@ from tablecare.functions.typed import col
 from tablecare.operators.keyflags import flag_by_keys, key_counts, keys_present
 from tablecare.operators.rules import row_check
 from tablecare.operators.validate import REASONS
-from tablecare.sources.scan import scan
-from tablecare.spec import Rule, TableSpec, dedupe_rules
+from tablecare.sources.sinks import empty_where_missing
+from tablecare.spec import Rule, RuleError, TableSpec, dedupe_rules
 
 # The schema of Spark's binary file source.
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-# Files above this are compared by their rows instead of their bytes.
-MAX_CONTENT_BYTES = 256 * 1024 * 1024
+# Fixed value: what one binary value can hold. Larger files have no digest and always count as new.
+MAX_VALUE_BYTES = 2**31 - 1
 DIGEST_SCHEMA = "table_name string, digest string"
 
 
@@ -38,8 +38,15 @@ def arrivals(spark: SparkSession, spec: TableSpec, directory: str, max_files: in
 
 
 def stream_reasons(stream: DataFrame, rules: Sequence[Rule], reasons: str = REASONS) -> DataFrame:
-    """Reasons per row on a stream. Row rules are stateless, so rows pass straight through."""
-    row_rules = [r for r in dedupe_rules(rules) if r.level == "row" and r.kind != "zscore_below"]
+    """Reasons per row on a stream. Row rules are stateless, so rows pass straight through.
+
+    A rule that a single row cannot decide (keys, groups, tables, shares) is refused: its verdict
+    belongs to a batch, see ``run_per_batch``.
+    """
+    row_rules = dedupe_rules(rules)
+    refused = [r.reason for r in row_rules if r.level != "row" or r.kind == "zscore_below" or r.mostly < 1]
+    if refused:
+        raise RuleError(f"a stream's rows cannot decide {refused}")
     parts = [F.when(row_check(r, stream.schema).violation, F.lit(r.reason)) for r in row_rules]
     listed = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
     return stream.withColumn(reasons, listed)
@@ -64,7 +71,7 @@ def run_per_batch(
 def file_digests(spark: SparkSession, paths: str | Sequence[str], fmt: str) -> DataFrame:
     """Path and SHA-256 of files, each hashed as one value on an executor.
 
-    A binary value ends at 2 GB; ``row_digest`` covers larger files.
+    A binary value ends at 2 GB; a larger file cannot be compared and is left out.
     """
     files = spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
     return files.load([paths] if isinstance(paths, str) else list(paths)).select(
@@ -79,20 +86,19 @@ def landed_files(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
 
 
 def row_digest(df: DataFrame) -> DataFrame:
-    """Digest of a table's rows regardless of their order, for files too large to hash whole.
+    """Digest of a table's rows regardless of their order; repeated rows count.
 
-    Count, sum and xor of two independent row hashes; combined per task, one row in the end.
+    The count and the exact sums of two independent row hashes; combined per task, one row in the end.
     """
     names = [col(c) for c in df.columns]
     low = F.xxhash64(*names)
     high = F.xxhash64(F.lit(7), *names)
     folded = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.bit_xor(low), F.lit(0)).alias("x"),
-        F.coalesce(F.bit_xor(high), F.lit(0)).alias("y"),
-        F.coalesce(F.sum(F.pmod(low, F.lit(1_000_003))), F.lit(0)).alias("s"),
+        F.coalesce(F.sum(low.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("x"),
+        F.coalesce(F.sum(high.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("y"),
     )
-    return folded.select(F.sha2(F.concat_ws(":", "n", "x", "y", "s"), 256).alias("digest"))
+    return folded.select(F.sha2(F.concat_ws(":", "n", "x", "y"), 256).alias("digest"))
 
 
 def first_of_content(items: DataFrame, scope: Sequence[str], digest: str, order: str) -> DataFrame:
@@ -119,8 +125,8 @@ class ContentLedger:
     def frame(self) -> DataFrame:
         try:
             return self.spark.read.schema(DIGEST_SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], DIGEST_SCHEMA)
+        except AnalysisException as error:
+            return empty_where_missing(self.spark, error, DIGEST_SCHEMA)
 
     def commit(self, table_name: str, digest: str) -> None:
         row = self.spark.createDataFrame([(table_name, digest)], DIGEST_SCHEMA)
@@ -135,28 +141,30 @@ def run_new_files(
     handle: Callable[[str], None],
     checkpoint: str,
     available_now: bool = True,
-    max_content_bytes: int = MAX_CONTENT_BYTES,
 ) -> StreamingQuery:
     """Call ``handle(path)`` for each landed file with new content.
 
-    Files up to ``max_content_bytes`` are told apart by their bytes, larger ones by a digest of
-    their rows. A digest is committed only after its file went through, so a failed run is tried
-    again. The driver sees one path and one digest per file; rows are read by the run itself.
+    Files are told apart by their bytes, at any size; one that is too large to be held as a value
+    is always new, as a file in doubt is processed and never skipped. A digest is committed only
+    after its file went through, so a failed run is tried again. The driver sees one path and one
+    digest per file; rows are read by the run itself.
     """
 
     def batch(files: DataFrame, _batch_id: int) -> None:
         sizes = {r["path"]: r["length"] for r in files.collect()}
-        small = sorted(p for p, length in sizes.items() if length <= max_content_bytes)
-        digests = {r["path"]: r["digest"] for r in file_digests(spark, small, spec.fmt).collect()} if small else {}
-        for path in sizes.keys() - digests.keys():
-            digests[path] = row_digest(scan(spark, spec, path)).first()["digest"]
+        known_size = sorted(p for p, length in sizes.items() if length <= MAX_VALUE_BYTES)
+        found = file_digests(spark, known_size, spec.fmt).collect() if known_size else []
+        digests = {r["path"]: r["digest"] for r in found}
         mine = ledger.frame().filter((F.col("table_name") == spec.name) & F.col("digest").isin(list(digests.values())))
         known = {r["digest"] for r in mine.collect()}
-        for path in sorted(digests):
-            if digests[path] not in known:
+        for path in sorted(sizes):
+            digest = digests.get(path)
+            if digest is None:
+                handle(path)
+            elif digest not in known:
                 handle(path)
-                ledger.commit(spec.name, digests[path])
-                known.add(digests[path])
+                ledger.commit(spec.name, digest)
+                known.add(digest)
 
     return run_per_batch(landed_files(spark, directory, spec.fmt), batch, checkpoint, available_now)
 

@@ -7,11 +7,12 @@ from tablecare.operators.validate import attribute
 from tablecare.plans.registry import Registry
 from tablecare.sources.scan import latest_batch, scan
 from tablecare.sources.sinks import read_runs
-from tablecare.spec import RunOptions, TableSpec, between, not_null, schema_of
+from tablecare.spec import RuleError, RunOptions, TableSpec, between, not_null, schema_of, unique
 from tablecare.streaming.arrivals import (
     ContentLedger,
     arrivals,
     file_digests,
+    row_digest,
     run_new_files,
     run_per_batch,
     stream_reasons,
@@ -33,28 +34,42 @@ def landing(tmp_path):
     return folder
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_identical_content_is_handled_once(spark, landing, tmp_path, limit):
-    """By bytes and, for files beyond the limit, by rows."""
+def test_identical_content_is_handled_once(spark, landing, tmp_path):
+    (landing / "f.csv").write_text("id,x\n4,seven\n")
+    (landing / "g.csv").write_text("id,x\n4,eight\n")  # parses to the same rows as f.csv
     ledger = ContentLedger(spark, str(tmp_path / "out"))
     seen = []
 
     def drain(checkpoint):
         run_new_files(
-            spark, SPEC, str(landing), ledger, lambda p: seen.append(p.rsplit("/", 1)[1]), str(tmp_path / checkpoint),
-            max_content_bytes=limit,
+            spark, SPEC, str(landing), ledger, lambda p: seen.append(p.rsplit("/", 1)[1]), str(tmp_path / checkpoint)
         ).awaitTermination()
 
     drain("first")
-    assert seen == ["a.csv", "b.csv"]
+    assert seen == ["a.csv", "b.csv", "f.csv", "g.csv"]
     (landing / "d.csv").write_text("id,x\n4,7\n")
     (landing / "e.csv").write_text("id,x\n5,1\n")
     drain("first")
-    assert seen == ["a.csv", "b.csv", "e.csv"]
+    assert seen == ["a.csv", "b.csv", "f.csv", "g.csv", "e.csv"]
     # Even a stream that starts over finds nothing new.
     drain("second")
-    assert seen == ["a.csv", "b.csv", "e.csv"]
-    assert ledger.frame().count() == 3
+    assert seen == ["a.csv", "b.csv", "f.csv", "g.csv", "e.csv"]
+    assert ledger.frame().count() == 5
+
+
+def test_row_digest_counts_repeats(spark):
+    def digest(*rows):
+        return row_digest(spark.createDataFrame([(r,) for r in rows], "x int")).first()["digest"]
+
+    assert digest(1, 2, 3) == digest(3, 1, 2)
+    assert len({digest(1, 1), digest(2, 2), digest(1), digest(1, 1, 2, 2), digest(1, 2)}) == 5
+
+
+def test_rules_beyond_a_row_are_refused_on_streams(spark, landing):
+    stream = arrivals(spark, SPEC, str(landing / "*.csv"))
+    for rule in (unique("id"), not_null("x", mostly=0.9)):
+        with pytest.raises(RuleError):
+            stream_reasons(stream, [*RULES, rule])
 
 
 def test_full_pass_per_arrival(spark, landing, tmp_path):
