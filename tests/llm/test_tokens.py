@@ -124,5 +124,14 @@ def test_piece_ids_equal_the_library_and_decode(spark, sf_dir):
 def test_a_batch_that_differs_comes_from_the_reference(monkeypatch):
     codec = PieceCodec(PIECES)
     monkeypatch.setattr(codec, "tokenizer", Tokenizer.from_file(BYTE_BPE))
+    monkeypatch.setattr(codec, "_plain", lambda text: False)
     ids, parity = codec.encode(["some words", "more words"], 1)
-    assert not parity and ids == codec.reference.encode(["some words", "more words"])
+    assert not parity and [i.tolist() for i in ids] == codec.reference.encode(["some words", "more words"])
+
+
+def test_remembered_words_start_over(monkeypatch):
+    monkeypatch.setattr("tablecare.llm.pieces.REMEMBERED_WORDS", 3)
+    codec = PieceCodec(PIECES)
+    for text in ("a b c", "d e a", "b f", "", "x  y", " z"):
+        assert [i.tolist() for i in codec.encode([text], 0)[0]] == codec.reference.encode([text])
+    assert len(codec.words) <= 3
