@@ -70,6 +70,7 @@ def token_counts(
     chosen = missing.select(F.col("digest").alias("_digest"), "one")
     picked = content.join(chosen, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
     fresh_counts = picked.select("digest", "text").mapInArrow(_encoded(tokenizer_path), CACHE_SCHEMA)
-    fresh_counts.write.mode("append").parquet(folder)
+    # rows that repeat in id and text were encoded with their twin; one count of them is stored
+    fresh_counts.dropDuplicates(["digest"]).write.mode("append").parquet(folder)
     counts = _stored(spark, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
