@@ -117,12 +117,12 @@ def scan_malformed(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {DIRTY_SQL} SELECT {COLUMNS_SQL} FROM dirty WHERE k % 3 = 2",
 )
 def newest_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Three batches land one after the other; the newest file is read."""
+    """Three batches of several part files land one after the other; all of the newest is read."""
     folder = scratch_path(spark, "landing-batches")
     rows = dirty(spark, sf)
     for i in range(3):
         batch = rows.filter(F.col("k") % 3 == i).select(*ORDER_COLUMNS)
-        batch.coalesce(1).write.mode("append").option("header", "true").csv(folder)
+        batch.repartition(4, "order_id").write.option("header", "true").csv(f"{folder}/batch-{i}")
     return scan(spark, ORDERS, latest_batch(spark, ORDERS, folder))
 
 
@@ -141,15 +141,16 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Work through what is there, append every batch to a table, and read that table."""
+    """Work through what is there, write every batch once, and read them as a table."""
     spark = stream.sparkSession
     out = scratch_path(spark, "stream")
 
-    def append(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{out}/rows")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # a batch that is tried again replaces itself
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{batch_id}")
 
-    run_per_batch(stream, append, f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    run_per_batch(stream, keep, f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
 @query(

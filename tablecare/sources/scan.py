@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tablecare.spec import TableSpec
 FORMATS = ("csv", "parquet", "json", "orc", "jdbc")
 TEXT_FORMATS = ("csv", "json")
 CORRUPT = "_corrupt_record"
+# Scheme and host in front of a path.
+STORE = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 class ScanError(ValueError):
@@ -69,21 +73,29 @@ def scan_rejects(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
 
 
 def list_batches(spark: SparkSession, spec: TableSpec, directory: str) -> DataFrame:
-    """Files of the spec's format with size and modification time; contents are not read."""
-    return (
+    """Files of the spec's format with size, modification time and batch; contents are not read.
+
+    A batch is what lies directly in the landing folder: a file, or a folder with all its part files.
+    """
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*.{spec.fmt}")
+        .option("recursiveFileLookup", "true")
         .load(directory)
         .select("path", "length", "modificationTime")
     )
+    root = re.sub(STORE, "", directory).rstrip("/")
+    below = F.substring(F.regexp_replace("path", STORE, ""), len(root) + 2, 2**31 - 1)
+    name = F.substring_index(below, "/", 1)
+    return files.withColumn("batch", F.concat(F.lit(directory.rstrip("/") + "/"), name))
 
 
 def latest_batch(spark: SparkSession, spec: TableSpec, directory: str) -> str:
-    """Path of the newest file in the landing folder; the greater path wins a tie."""
+    """The newest batch in the landing folder, by its newest file; the greater path wins a tie."""
     newest = (
         list_batches(spark, spec, directory)
-        .agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
-        .first()["path"]
+        .agg(F.max_by("batch", F.struct("modificationTime", "path")).alias("batch"))
+        .first()["batch"]
     )
     if newest is None:
         raise ScanError(f"no .{spec.fmt} files under {directory}")

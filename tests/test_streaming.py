@@ -132,6 +132,19 @@ def test_digests_and_newest_file(spark, landing):
     assert latest_batch(spark, SPEC, str(landing)).endswith("b.csv")
 
 
+def test_a_batch_of_part_files_is_read_whole(spark, landing):
+    import os
+
+    folder = landing / "batch-7"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}.csv").write_text(f"id,x\n{i},1\n")
+        os.utime(folder / f"part-{i}.csv", (2_000_000_000 + i, 2_000_000_000 + i))
+    for directory in (str(landing), f"file:{landing}/"):
+        newest = latest_batch(spark, SPEC, directory)
+        assert newest.endswith("/batch-7") and scan(spark, SPEC, newest).count() == 3
+
+
 def test_streams_need_a_schema(spark, landing):
     with pytest.raises(ValueError):
         arrivals(spark, TableSpec("t", ("id",)), str(landing))
