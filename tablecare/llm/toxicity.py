@@ -98,7 +98,7 @@ def _design(text: str, vocabulary: np.ndarray):
 
 
 def _telling_words(joined: DataFrame, text: str, n_features: int) -> np.ndarray:
-    """The words whose presence says most about the label, by the square root of their G statistic's sign-free form."""
+    """The words whose share of toxic texts lies furthest from the average, measured in deviations."""
     counts = joined.mapInArrow(_class_counts(text), "word long, toxic long, total long")
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     size = joined.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
