@@ -16,6 +16,12 @@ partner in at most ``n * (q - p) / p`` members.
   differences alone. A group is dealt out by pairs of bounded slices; a task returns a spanning
   forest of the links between different components, never the pairs.
 
+A set's members move only where an answer can depend on them. Every set has a parity sketch, a bit
+for each of some buckets that tells whether it holds an odd number of members. In at least as many
+members as their sketches have unequal bits two sets differ, so the sketches, some twentieth of
+the members' bytes, rule pairs out without error: leaders meet only sets they may link to, and of
+an open group only sets stay that may link to one of another component.
+
 Texts that give equal sets are one node throughout. A row without words links with nothing and is
 its own component. Rows with a null id take part; a component's id is its smallest id, or null
 where it has none. Members are 64-bit hashes of word sequences; sets are told apart by 63-bit
@@ -76,20 +82,44 @@ def entries(members: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray
     return block_keys(members, own, p, q), block_keys(members, own + 1, p, q) if above else none
 
 
+def parity(members: np.ndarray) -> bytes:
+    """A bit per bucket, set where the bucket holds an odd number of members; at least two buckets a member."""
+    width = 1 << max(6, (2 * len(members) - 1).bit_length())
+    held = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((held & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of fewer buckets, ``size`` bytes of them."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, p: int, q: int) -> bool:
+    """False only for sets of ``n`` and ``m`` members whose sketches show that they do not link."""
+    size = min(len(a), len(b))
+    apart = max(abs(n - m), int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()))
+    return q * (n + m - apart) >= p * (n + m + apart)
+
+
 def _summaries(words: int, p: int, q: int):
     def summed(batches):
         for batch, chunk in each_chunk(batches, "text"):
-            n, rec, own, above = [], [], [], []
+            n, rec, own, above, odd = [], [], [], [], []
             for members in chunk.shingles(words):
                 a, b = entries(members, p, q)
                 n.append(len(members))
                 rec.append(set_key(members) if len(members) else None)
                 own.append(a.view(np.int64))
                 above.append(b.view(np.int64))
+                odd.append(parity(members) if len(members) else None)
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (own, above)]
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            arrays = [ids, pa.array(n, pa.int64()), pa.array(rec, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "rec", "own", "above"])
+            arrays = [ids, pa.array(n, pa.int64()), pa.array(rec, pa.int64()), *lists, pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "rec", "own", "above", "odd"])
 
     return summed
 
@@ -114,6 +144,54 @@ def _linked(common: int, n: int, m: int, p: int, q: int) -> bool:
     return q * common >= p * (n + m - common)
 
 
+def _beside(p: int, q: int):
+    """The pairs of a leader and a set of its group that may link."""
+
+    def possible(batches):
+        for batch in batches:
+            pairs = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = [may_link(a, b, n, m, p, q) for a, b, n, m in pairs]
+            yield batch.select(["leader", "rec"]).filter(pa.array(keep, pa.bool_()))
+
+    return possible
+
+
+def _among(p: int, q: int):
+    """The sets in two slices of a group that may link to one of another component."""
+
+    def possible(group: pa.Table) -> pa.Table:
+        label, part, n = (group.column(k).to_numpy() for k in ("label", "slice", "n"))
+        sketches = group.column("odd").to_pylist()
+        width = np.array([len(s) for s in sketches])
+        first, second = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+        found = np.zeros(len(n), bool)
+        for size in np.unique(width).tolist():
+            # sets that link have sketches of one width or of neighbouring ones
+            at = np.flatnonzero((width == size) | (width == 2 * size))
+            bits = np.unpackbits(np.stack([_folded(sketches[i], size) for i in at]), axis=1).astype(np.float32)
+            held = bits.sum(axis=1)
+            apart = held[:, None] + held[None, :] - 2 * (bits @ bits.T)
+            total = n[at][:, None] + n[at][None, :]
+            apart = np.maximum(apart.astype(np.int64), np.abs(n[at][:, None] - n[at][None, :]))
+            close = q * (total - apart) >= p * (total + apart)
+            close &= (part[at][:, None] == first) & (part[at][None, :] == second)
+            close &= label[at][:, None] != label[at][None, :]
+            found[at[close.any(axis=0) | close.any(axis=1)]] = True
+        return group.select(["leader", "rec", "label", "n"]).filter(pa.array(found))
+
+    return possible
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of each group, dealt out to every pair of bounded slices of it."""
+    slices = F.ceil(F.greatest(F.count("*") / SLICE_SETS, F.sum("n") / SLICE_MEMBERS)).cast("int").alias("slices")
+    dealt = rows.join(rows.groupBy("leader").agg(slices), "leader")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("rec"), "slices").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = dealt.withColumn("one", F.least("slice", "other")).withColumn("two", F.greatest("slice", "other"))
+    return dealt.drop("other")
+
+
 def _against_leader(p: int, q: int):
     """The pairs of a leader and a set of its group that link."""
 
@@ -135,7 +213,7 @@ def _within(p: int, q: int):
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         lead = np.frombuffer(group.loc[group["leads"], "members"].iloc[0], np.uint64)
-        rows = group.drop_duplicates("rec")
+        rows = group[~group["leads"]]
         rec, label, part = rows["rec"].to_numpy(), rows["label"].to_numpy(), rows["slice"].to_numpy()
         sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
         size = np.array([len(s) for s in sets], np.int64)
@@ -192,6 +270,17 @@ def _index_groups(found: DataFrame, p: int, q: int) -> DataFrame:
     return durable(groups.where("leader <> rec"), "groups")
 
 
+def _members(plain: DataFrame, recs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rec, members) of the wanted sets, from one text each."""
+    asked = wanted.distinct().join(recs, "rec").select("rec", F.col("one").alias("_one"))
+    asked = durable(asked, "asked")
+    width = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("_one").cast("string"))).alias("b")).first()
+    small = (width["n"] * 64 + (width["b"] or 0)) <= MAX_BROADCAST_BYTES
+    side = F.broadcast(asked) if small else asked
+    texts = plain.join(side, F.col("doc_id").eqNullSafe(F.col("_one"))).select("rec", "text")
+    return durable(texts.mapInArrow(_member_sets(words), "rec long, members binary").dropDuplicates(["rec"]), "members")
+
+
 def jaccard_components(
     docs: DataFrame,
     words: int = 5,
@@ -203,42 +292,40 @@ def jaccard_components(
     """Per row: doc_id, n_shingles, component_id."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n long, rec long, own array<long>, above array<long>"
+    schema = f"doc_id {id_type}, n long, rec long, own array<long>, above array<long>, odd binary"
     found = durable(plain.mapInArrow(_summaries(words, p, q), schema), "summaries")
-    recs = found.where("rec IS NOT NULL").groupBy("rec").agg(F.min("doc_id").alias("one"), F.max("n").alias("n"))
-    recs = durable(recs, "sets")
+    of_set = (F.min("doc_id").alias("one"), F.max("n").alias("n"), F.first("odd").alias("odd"))
+    recs = durable(found.where("rec IS NOT NULL").groupBy("rec").agg(*of_set), "sets")
     groups = _index_groups(found, p, q)
 
-    # the members of the sets in question, from one text each
-    asked = groups.select("rec").union(groups.select(F.col("leader").alias("rec"))).distinct().join(recs, "rec")
-    asked = durable(asked.select("rec", F.col("one").alias("_one"), "n"), "asked")
-    width = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("_one").cast("string"))).alias("b")).first()
-    small = (width["n"] * 64 + (width["b"] or 0)) <= MAX_BROADCAST_BYTES
-    side = F.broadcast(asked.drop("n")) if small else asked.drop("n")
-    texts = plain.join(side, F.col("doc_id").eqNullSafe(F.col("_one"))).select("rec", "text")
-    sets = durable(texts.mapInArrow(_member_sets(words), "rec long, members binary").dropDuplicates(["rec"]), "members")
-
+    # leaders and the sets that they may link to
+    sketch = recs.select("rec", "odd", "n")
+    left = sketch.toDF("leader", "of_leader", "n_leader")
+    beside = groups.join(left, "leader").join(sketch, "rec")
+    beside = beside.select("leader", "rec", "of_leader", "odd", "n_leader", "n")
+    beside = durable(beside.mapInArrow(_beside(p, q), "leader long, rec long"), "beside")
+    sets = _members(plain, recs, beside.select("rec").union(beside.select("leader")), words)
     left = sets.select(F.col("rec").alias("leader"), F.col("members").alias("of_leader"))
-    pairs = groups.join(left, "leader").join(sets, "rec").select("leader", "rec", "of_leader", "members")
+    pairs = beside.join(left, "leader").join(sets, "rec").select("leader", "rec", "of_leader", "members")
     star = components(pairs.mapInArrow(_against_leader(p, q), "a long, b long"))
+
+    # the sets of open groups that may link to one of another component
     label = F.coalesce("label", "rec").alias("label")
     whole = groups.union(groups.select("leader", F.col("leader").alias("rec")).distinct())
     whole = whole.join(star.withColumnRenamed("node", "rec"), "rec", "left").select("leader", "rec", label)
-    whole = durable(whole.join(asked.select("rec", "n"), "rec"), "labelled")
-    slices = F.ceil(F.greatest(F.count("*") / SLICE_SETS, F.sum("n") / SLICE_MEMBERS)).cast("int").alias("slices")
-    open_groups = whole.groupBy("leader").agg(slices, F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_groups = open_groups.where("lo <> hi").select("leader", "slices")
-    dealt = whole.join(open_groups, "leader").withColumn("slice", F.pmod(F.xxhash64("rec"), "slices").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
-    dealt = dealt.select("leader", "rec", "label", "slice", "slices", (F.col("leader") == F.col("rec")).alias("leads"), other)
-    dealt = dealt.withColumn("one", F.least("slice", "other")).withColumn("two", F.greatest("slice", "other"))
-    # the leader goes to every pair of slices, as the measure of the others
-    firsts = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("one")
-    guides = dealt.where("leads").select("leader", "rec", "label", "slices", firsts).distinct()
-    guides = guides.withColumn("two", F.explode(F.sequence(F.col("one"), F.col("slices") - 1)))
-    guides = guides.select("leader", "rec", "label", F.lit(-1).alias("slice"), F.lit(True).alias("leads"), "one", "two")
-    tasks = dealt.select("leader", "rec", "label", "slice", F.lit(False).alias("leads"), "one", "two").union(guides)
-    tasks = tasks.join(sets, "rec")
+    open_groups = whole.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    whole = whole.join(open_groups.where("lo <> hi").select("leader"), "leader", "left_semi")
+    whole = durable(whole.join(recs.select("rec", "n"), "rec"), "labelled")
+    among = _dealt(whole).join(recs.select("rec", "odd"), "rec").groupBy("leader", "one", "two")
+    among = among.applyInArrow(_among(p, q), "leader long, rec long, label long, n long")
+    among = durable(among.distinct(), "among")
+
+    # their links; the leader goes to every pair of slices, as the measure of the others
+    sets = _members(plain, recs, among.select("rec").union(among.select("leader")), words)
+    dealt = _dealt(among).select("leader", "rec", "label", "slice", F.lit(False).alias("leads"), "one", "two")
+    guides = dealt.select("leader", "one", "two").distinct()
+    whole_set = (F.col("leader").alias("rec"), F.lit(0).cast("long").alias("label"), F.lit(-1).alias("slice"), F.lit(True).alias("leads"))
+    tasks = dealt.union(guides.select("leader", *whole_set, "one", "two")).join(sets, "rec")
     crossing = tasks.groupBy("leader", "one", "two").applyInPandas(_within(p, q), "a long, b long")
     joined = components(crossing)
 

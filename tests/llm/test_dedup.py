@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablecare.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from tablecare.llm.jaccard import block_keys, budget, entries, jaccard_components, one_per_component
+from tablecare.llm.jaccard import block_keys, budget, entries, jaccard_components, may_link, one_per_component, parity
 from tests.llm.tables import SCHEMA, awkward, empty, jaccard_labels
 
 
@@ -114,3 +114,25 @@ def test_two_slices_of_equal_sets_are_one_node(spark):
     rows = [(i, "same words again and again here", None, None, None, None, None, None, None) for i in range(1, 200)]
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).agg(F.max("component_id"), F.count("*")).first()
     assert tuple(got) == (1, 199)
+
+
+def test_sketches_rule_out_no_link():
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    fresh = lambda n: draw.integers(0, 2**63, n).astype(np.uint64)
+    ruled_out = 0
+    for p, q in ((90, 100), (80, 100)):
+        for n in (1, 2, 5, 31, 32, 33, 120, 500, 3000):
+            for share in (0.0, 0.5, 0.85, 0.95, 1.0):
+                base = fresh(n)
+                a, b = np.unique(base), np.unique(np.concatenate([base[: int(n * share)], fresh(int(n * (1 - share)))]))
+                if not len(b):
+                    continue
+                common = len(np.intersect1d(a, b))
+                links = q * common >= p * (len(a) + len(b) - common)
+                possible = may_link(parity(a), parity(b), len(a), len(b), p, q)
+                assert possible or not links
+                assert possible == may_link(parity(b), parity(a), len(b), len(a), p, q)
+                ruled_out += not possible
+    assert ruled_out > 30
