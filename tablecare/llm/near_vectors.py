@@ -5,8 +5,14 @@ rows within ``spill`` (a share of the node's rows) of the cut go to both sides.
 fitted on a sample of about ``sample_rows`` rows taken by hash, as deep as the sample carries;
 every row is routed through every tree. Rows that meet in a leaf are compared by cosine in double
 precision; a leaf above ``leaf_rows`` is first split further the same way inside its task. Pairs
-found in any tree are united. Leaves follow the sample's quantiles, so that a dense cluster, which
-has its share of the sample too, is cut like everything else.
+found in any tree are united.
+
+Dense clusters never enter the forest, whose cuts would part them. A pivot is set wherever the
+sample shows more links than fill half a leaf. Rows within the link angle of a pivot are the core
+of its cell (a row has one core at most); whatever they link to lies within twice that angle. Core
+and surroundings are compared whole, in pairs of slices dealt over tasks, so that core rows have
+all of their links; core rows within half the link angle all link and are counted without being
+compared. Cells give link counts and enough links to connect their rows, not a row per link.
 
 Equal vectors are one throughout and count as links of each other. Vectors that are null, empty,
 zero or hold null or non-finite numbers link with nothing; vectors of different length neither.
@@ -27,6 +33,9 @@ from tablecare.llm.components import components
 from tablecare.llm.frames import durable
 
 SAMPLE_BYTES = 32 * 1024 * 1024
+SLICE_BYTES = 32 * 1024 * 1024
+SLICE_ROWS = 4096
+INNER, OUTER, OWNED, FREE, REST = range(5)  # core within half the link angle, other core; others' core, no core; outside
 
 
 @dataclass
@@ -95,6 +104,154 @@ def blocks(vectors: np.ndarray, rows: np.ndarray, most: int, spill: float, draw)
     return blocks(vectors, left, most, spill, draw) + blocks(vectors, right, most, spill, draw)
 
 
+@dataclass
+class Cells:
+    """Unit pivots of dense clusters, and the cosines that bound their inner core, core and surroundings."""
+
+    pivots: np.ndarray
+    inner: float
+    core: float
+    around: float
+
+    def owners(self, cosines: np.ndarray) -> np.ndarray:
+        """The cell whose core each row belongs to, or -1."""
+        nearest = cosines.argmax(axis=1)
+        return np.where(cosines[np.arange(len(cosines)), nearest] >= self.core, nearest, -1)
+
+
+def fit_cells(sample: np.ndarray, threshold: float, least: float) -> Cells:
+    """A pivot wherever a row of the sample has at least ``least`` links among the rows not yet in a core."""
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    core = min(threshold, np.cos(angle)) - 1e-9
+    inner = float(np.cos(angle / 2 - 1e-7)) if angle > 2e-7 else 2.0
+    cells = Cells(np.zeros((0, sample.shape[1])), inner, core, float(np.cos(min(np.pi, 2 * angle))) - 1e-6)
+    left, tried, pivots = sample.astype(np.float32), 0, []
+    while tried < len(left):
+        asked = left[tried : tried + 512]
+        links = np.zeros(len(asked), np.int64)
+        for lo in range(0, len(left), 8192):
+            links += np.count_nonzero(asked @ left[lo : lo + 8192].T >= core, axis=1)
+        if links.max() < least:
+            tried += len(asked)
+            continue
+        best = asked[links.argmax()]
+        middle = left[left @ best >= core].mean(axis=0)
+        middle /= max(np.linalg.norm(middle), 1e-30)
+        near = left @ middle >= core
+        if near.sum() < least:
+            middle, near = best, left @ best >= core
+        tried -= np.count_nonzero(near[:tried])
+        left = left[~near]
+        pivots.append(middle.astype(np.float64))
+    if pivots:
+        cells.pivots = unit(np.array(pivots))
+    return cells
+
+
+def _placed(cells: Cells, length: int):
+    """Every row as core, with its cell, or as outside; and once for each other cell that it is near to."""
+
+    def places(batches):
+        for batch in batches:
+            key, copies, column = (batch.column(k) for k in range(3))
+            for lo in range(0, batch.num_rows, 4096):
+                part = column.slice(lo, 4096)
+                cosines = unit(_matrix(part, length)) @ cells.pivots.T
+                owner = cells.owners(cosines)
+                own = np.arange(len(owner))
+                kind = np.where(cosines[own, np.maximum(owner, 0)] >= cells.inner, INNER, OUTER)
+                kind[owner < 0] = REST
+                row, cell = np.nonzero((cosines >= cells.around) & (np.arange(len(cells.pivots)) != owner[:, None]))
+                kind = np.concatenate([kind, np.where(owner[row] < 0, FREE, OWNED)])
+                take, cell = np.concatenate([own, row]), np.concatenate([owner, cell])
+                for at in range(0, len(take), 4096):
+                    some = pa.array(take[at : at + 4096])
+                    marks = [pa.array(v[at : at + 4096].astype(np.int32)) for v in (cell, kind)]
+                    rows = [v.take(some) for v in (key.slice(lo, 4096), copies.slice(lo, 4096), part)]
+                    yield pa.RecordBatch.from_arrays([*marks, *rows], names=["cell", "kind", "key", "copies", "vector"])
+
+    return places
+
+
+def _slice_pair(length: int, threshold: float):
+    """Link counts of the rows of two slices of a cell, and links that connect what is linked."""
+
+    def links(task: pa.Table) -> pa.Table:
+        part, kind, key, copies = (task.column(c).to_numpy() for c in ("slice", "kind", "key", "copies"))
+        vectors, weight = unit(_matrix(task.column("vector"), length)), copies.astype(np.float64)
+        one = np.flatnonzero(part == part.min())
+        two = np.flatnonzero(part == part.max())
+        same = part.min() == part.max()
+        label, near = np.arange(len(key)), np.zeros(len(key))
+        edges = []
+        for lo in range(0, len(one), 512):
+            rows = one[lo : lo + 512]
+            for start in range(0, len(two), 8192):
+                others = two[start : start + 8192]
+                linked = vectors[rows] @ vectors[others].T >= threshold
+                if same:
+                    linked &= rows[:, None] != others
+                if not linked.any():
+                    continue
+                counted = linked.astype(np.float64)
+                near[rows] += counted @ weight[others]
+                if not same:
+                    near[others] += weight[rows] @ counted
+                for k in np.flatnonzero(linked.any(axis=1)):
+                    names = label[others[linked[k]]]
+                    if names.min() == names.max() == label[rows[k]]:
+                        continue
+                    names = np.unique(np.append(names, label[rows[k]]))
+                    edges.append(np.stack([np.full(len(names) - 1, names[0]), names[1:]]))
+                    label[np.isin(label, names)] = names[0]
+        counts = np.flatnonzero((near > 0) & (kind != OWNED))
+        a, b = key[np.concatenate(edges, axis=1)] if edges else np.zeros((2, 0), np.int64)
+        none = pa.nulls(len(counts), pa.int64())
+        ends = [pa.concat_arrays([pa.array(a), pa.array(key[counts])]), pa.concat_arrays([pa.array(b), none])]
+        near = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(near[counts].astype(np.int64))])
+        return pa.table([*ends, near], names=["a", "b", "near"])
+
+    return links
+
+
+def _cell_links(placed: DataFrame, length: int, threshold: float) -> DataFrame:
+    """(a, b, near): links that connect the rows of cells, where ``near`` is null, and link counts of ``a``, where ``b`` is."""
+    spark = placed.sparkSession
+    inside = placed.where(F.col("kind") != REST)
+    group = F.when(F.col("kind") == OWNED, FREE).otherwise(F.col("kind"))
+    sizes = inside.groupBy("cell", group.alias("part")).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("key").alias("one"))
+    most = max(1, SLICE_BYTES // (8 * length))
+    cells: dict[int, dict] = {}
+    for r in sizes.collect():
+        cells.setdefault(r["cell"], {})[r["part"]] = r
+    plan = []  # at most three rows a cell
+    for cell, parts in cells.items():
+        core = sum(parts[p]["n"] for p in (INNER, OUTER) if p in parts)
+        rows = max(1, min(most, max(SLICE_ROWS, -(-core // 8))))
+        slices = {p: -(-parts[p]["n"] // rows) if p in parts else 0 for p in (INNER, OUTER, FREE)}
+        whole, base = slices[INNER] + slices[OUTER], 0
+        for p, k in slices.items():
+            if k:
+                first = slices[INNER] if p == INNER else 0
+                last = whole if p == FREE else whole + slices[FREE]
+                plan.append((cell, p, base, k, first, last, parts[p]["copies"], parts[p]["one"]))
+            base += k
+    schema = "cell int, part int, base int, slices int, first int, last int, all_copies long, rep long"
+    plan = F.broadcast(spark.createDataFrame(plan, schema))
+    dealt = inside.withColumn("part", group).join(plan, ["cell", "part"])
+    number = F.col("base") + F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
+    dealt = dealt.withColumn("slice", number)
+    other = F.when(F.col("first") < F.col("last"), F.sequence("first", F.col("last") - 1))
+    tasks = dealt.select("cell", "kind", "key", "copies", "vector", "slice", F.explode(other).alias("other"))
+    tasks = tasks.withColumn("one", F.least("slice", "other")).withColumn("two", F.greatest("slice", "other"))
+    tasks = tasks.groupBy("cell", "one", "two").applyInArrow(_slice_pair(length, threshold), "a long, b long, near long")
+    inner = dealt.where(F.col("kind") == INNER)
+    none = F.lit(None).cast("long")
+    stars = inner.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"), none.alias("near"))
+    counts = inner.select(F.col("key").alias("a"), none.alias("b"), (F.col("all_copies") - F.col("copies")).alias("near"))
+    return tasks.union(stars).union(counts)
+
+
 def _compared(length: int, threshold: float, leaf_rows: int, spill: float):
     """The linked pairs of one leaf."""
 
@@ -150,17 +307,24 @@ def near_vectors(
         F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("one")
     )
     distinct = durable(distinct.withColumn("key", F.monotonically_increasing_id()), "vectors")
-    pairs = None
+    pairs = whole = None
     for r in distinct.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).collect():
-        same = distinct.where(F.size("vector") == r["length"]).select("key", "vector")
-        found = _links(same, r["length"], r["n"], threshold, trees, leaf_rows, spill, sample_rows)
+        same = distinct.where(F.size("vector") == r["length"]).select("key", "copies", "vector")
+        found, cells = _links(same, r["length"], r["n"], threshold, trees, leaf_rows, spill, sample_rows)
         pairs = found if pairs is None else pairs.union(found)
+        if cells is not None:
+            whole = cells if whole is None else whole.union(cells)
     if pairs is None:
         pairs = table.sparkSession.createDataFrame([], "a long, b long")
     pairs = durable(pairs.distinct(), "pairs")
     either = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = either.join(distinct.select(F.col("key").alias("b"), "copies"), "b")
-    degree = degree.groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("near"))
+    degree = degree.select(F.col("a").alias("key"), F.col("copies").alias("near"))
+    if whole is not None:
+        whole = durable(whole, "cells")
+        degree = degree.union(whole.where("b IS NULL").select("a", "near"))
+        pairs = pairs.union(whole.where("b IS NOT NULL").select("a", "b"))
+    degree = degree.groupBy("key").agg(F.sum("near").alias("near"))
     named = distinct.select("k1", "k2", "key", "copies", "one").join(components(pairs).toDF("key", "label"), "key", "left")
     named = named.withColumn("label", F.coalesce("label", "key")).join(degree, "key", "left")
     smallest = named.groupBy("label").agg(F.min("one").alias("component"))
@@ -174,16 +338,26 @@ def near_vectors(
     return out.withColumn("kept", kept)
 
 
-def _links(same, length, n, threshold, trees, leaf_rows, spill, sample_rows) -> DataFrame:
-    """The linked pairs of distinct vectors of one length."""
+def _links(same, length, n, threshold, trees, leaf_rows, spill, sample_rows) -> tuple[DataFrame, DataFrame | None]:
+    """The linked pairs of distinct vectors of one length outside of dense clusters, and what ``_cell_links`` gives for these."""
     wanted = max(1, min(sample_rows, SAMPLE_BYTES // (8 * length)))
     share = min(1.0, wanted / n)
     chosen = same.where(F.pmod(F.xxhash64("key"), 1_000_000) < int(share * 1_000_000) + 1)
     sample = unit(_matrix(chosen.select("vector").toArrow().column(0), length))
+    cells, whole = fit_cells(sample, threshold, max(32, leaf_rows * share / 2)), None
+    if len(cells.pivots):
+        schema = "cell int, kind int, key long, copies long, vector array<double>"
+        placed = durable(same.mapInArrow(_placed(cells, length), schema), "placed")
+        whole = _cell_links(placed, length, threshold)
+        same = placed.where(F.col("kind") == REST)
+        n = same.count()
+        free = [cells.owners(part @ cells.pivots.T) < 0 for part in np.array_split(sample, max(1, len(sample) // 4096))]
+        sample = sample[np.concatenate(free)]
+    same = same.select("key", "vector")
     # as many levels as leave ``leaf_rows`` a leaf, and at least 32 rows of the sample to each cut
     levels = max(0, int(np.ceil(np.log2(max(1, n / leaf_rows)))))
     depth = min(levels, max(0, int(np.log2(max(1, len(sample) / 32)))))
     forest = fit_forest(sample, trees if depth else 1, depth, spill)
     routed = same.mapInArrow(_routed(forest, length), "tree int, leaf long, key long, vector array<double>")
     compare = _compared(length, threshold, 2 * leaf_rows, spill)
-    return routed.groupBy("tree", "leaf").applyInArrow(compare, "a long, b long")
+    return routed.groupBy("tree", "leaf").applyInArrow(compare, "a long, b long"), whole

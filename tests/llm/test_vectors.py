@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tablecare.llm.components import components
@@ -27,6 +29,30 @@ def test_recall_and_precision_against_brute_force(spark):
     assert (links <= want).all() and links.sum() >= 0.97 * want.sum()
 
 
+def test_a_cluster_of_a_third_of_the_rows_keeps_its_links(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    n, size = 60_000, 64
+    centre = draw.normal(size=size)
+    cluster = centre + draw.normal(size=(n // 3, size)) * 0.25
+    tight = draw.normal(size=size) + draw.normal(size=(3000, size)) * 0.02  # all within half the link angle
+    others = np.repeat(draw.normal(size=(n // 100, size)), 62, axis=0)
+    others = others + draw.normal(size=others.shape) * 0.25
+    vectors = np.concatenate([cluster, tight, others])[draw.permutation(n // 3 + 3000 + len(others))]
+    column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), size).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": column}), str(tmp_path / "v.parquet"))
+    got = near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).orderBy("vec_id").toPandas()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = draw.choice(len(vectors), 3000, replace=False)
+    close = unit[rows] @ unit.T >= 0.9
+    want, links = close.sum(axis=1) - 1, got.n_links.to_numpy()[rows]
+    dense = want > 1000
+    assert dense.any() and (links[dense] == want[dense]).all()
+    assert (links <= want).all() and links[~dense].sum() >= 0.97 * want[~dense].sum()
+    component = got.component_id.to_numpy()
+    alike = [(component[c][component[c] == component[r]].size, c.sum()) for r, c in zip(rows[dense], close[dense], strict=True)]
+    assert all(a == b for a, b in alike)
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
