@@ -44,6 +44,7 @@ LOOSE = {
     "email": rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+ ?(?:\(at\)|\[at\]|@) ?{LABEL}++(?: ?(?:\(dot\)|\[dot\]|\.) ?{LABEL}++)++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
+GATE = r"(?i)@|\(at\)|\[at\]"  # what every match of the loose e-mail pattern holds
 TLDS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|us|ch|at|be|nl|eu|ca|mx|ar|br|in|cn|jp|ru|pl|se|no|dk|fi|pt"
 ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|6[245])"
 CONTEXT = {
@@ -142,9 +143,9 @@ def with_candidates(docs: DataFrame, text: str, to: str) -> DataFrame:
     cuts, spans = [], []
     for n, (kind, strict, pattern) in enumerate(sources):
         cut = fresh(columns, f"cut_{n}")
-        # the character that every match needs spares most texts the pattern
+        # what every match needs spares most texts the pattern
         if kind == "email":
-            needs = F.col(plain).contains("@") if strict else F.col(plain).rlike(r"@ |\(at\)|\[at\]| @|(?i)[\[(]dot[\])]")
+            needs = F.col(plain).contains("@") if strict else F.col(plain).rlike(GATE)
         else:
             needs = F.col(plain).contains("+") if (kind, strict) == ("phone", True) else F.col(plain).rlike("[0-9]")
         found = found.withColumn(cut, F.when(needs, _parts(F.col(plain), pattern)).otherwise(F.array(F.lit(""))))

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tablecare.llm import pii
 from tablecare.llm.frames import durable
 from tablecare.llm.pii import chosen_spans, estimate, fit_pii, redact, with_candidates
 from tablecare.llm.queries import QUERIES
@@ -84,6 +85,20 @@ def test_spelt_out_addresses_join_the_base(spark):
     assert spans.where("s.base").count() == 200 and spans.where("NOT s.base").count() == 200
 
 
+def test_the_gate_lets_every_loose_address_through(spark, monkeypatch):
+    texts = ["jane(AT)example.com", "JANE[AT]EXAMPLE.ORG", "jane@example .com", "jane@example. com", "jane@example(DOT)com",
+             "jane @example.com", "jane (At) example [Dot] com", "plain jane@example.com", "no address here", "(at)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def proposed():
+        return {r.doc_id: r.c for r in with_candidates(docs, "text", "c").collect()}
+
+    gated = proposed()
+    monkeypatch.setattr(pii, "GATE", "")
+    assert gated == proposed()
+    assert all(any(c.kind == 0 for c in gated[i]) for i in range(8)) and not gated[8] and not gated[9]
+
+
 def test_redaction_of_many_spans(spark):
     docs = spark.createDataFrame([(1, "é😀 from 10.0.0.1 to +1 (437) 555-0689; " * 300 + "end")], "doc_id long, text string")
     assert redact(docs).first().text == "é😀 from [IP] to [PHONE]; " * 300 + "end"
