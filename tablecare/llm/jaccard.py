@@ -33,11 +33,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.components import components
-from tablecare.llm.frames import durable
+from tablecare.llm.frames import durable, fresh
 from tablecare.llm.textnum import each_chunk, mix
 from tablecare.operators.sizing import MAX_BROADCAST_BYTES
 
@@ -117,9 +117,9 @@ def _summaries(words: int, p: int, q: int):
                 above.append(b.view(np.int64))
                 odd.append(parity(members) if len(members) else None)
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (own, above)]
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            arrays = [ids, pa.array(n, pa.int64()), pa.array(rec, pa.int64()), *lists, pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "rec", "own", "above", "odd"])
+            ids, digests = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest"))
+            arrays = [ids, digests, pa.array(n, pa.int64()), pa.array(rec, pa.int64()), *lists, pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "digest", "n", "rec", "own", "above", "odd"])
 
     return summed
 
@@ -290,12 +290,23 @@ def jaccard_components(
     text: str = "text",
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _verdict(docs, words, p, q, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _digest(text: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _verdict(docs: DataFrame, words: int, p: int, q: int, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id, digest, n_shingles, component_id, and the digest of the component's first text."""
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _digest(text).alias("digest"))
     id_type = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n long, rec long, own array<long>, above array<long>, odd binary"
+    schema = f"doc_id {id_type}, digest long, n long, rec long, own array<long>, above array<long>, odd binary"
     found = durable(plain.mapInArrow(_summaries(words, p, q), schema), "summaries")
-    of_set = (F.min("doc_id").alias("one"), F.max("n").alias("n"), F.first("odd").alias("odd"))
-    recs = durable(found.where("rec IS NOT NULL").groupBy("rec").agg(*of_set), "sets")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    of_set = (first.alias("first"), F.max("n").alias("n"), F.first("odd").alias("odd"))
+    recs = durable(found.where("rec IS NOT NULL").groupBy("rec").agg(*of_set).withColumn("one", F.col("first.doc_id")), "sets")
     groups = _index_groups(found, p, q)
 
     # leaders and the sets that they may link to
@@ -331,19 +342,28 @@ def jaccard_components(
 
     final = star.join(joined.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "full")
     final = final.select(F.coalesce("node", "label").alias("rec"), F.coalesce("further", "label").alias("label"))
-    named = recs.join(final, "rec", "left").select("rec", "one", F.coalesce("label", "rec").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("one").alias("component_id"))
-    named = durable(named.join(smallest, "label").select("rec", "component_id"), "components")
-    out = found.select("doc_id", "n", "rec").join(named, "rec", "left")
+    named = recs.join(final, "rec", "left").select("rec", "first", F.coalesce("label", "rec").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
+    smallest = smallest.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("first_digest"))
+    named = durable(named.drop("first").join(smallest, "label").select("rec", "component_id", "first_digest"), "components")
+    out = found.select("doc_id", "digest", "n", "rec").join(named, "rec", "left")
     component = F.when(F.col("rec").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), component.alias("component_id"), "first_digest")
 
 
-def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_per_component(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, p: int = 80, q: int = 100
+) -> DataFrame:
     """The rows of ``docs`` whose document stays: of each component the one with the smallest id.
 
-    Rows without id stay unless their component has an id. Rows that repeat an id stay together.
+    A document is an id with its text, so rows that repeat an id with other texts are judged apart,
+    and of near copies with one id one stays. Rows without id stay unless their component has an
+    id. Rows that repeat both id and text stay together.
     """
-    found = durable(jaccard_components(docs, doc_id=doc_id, text=text, **options), "near")
-    lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[doc_id] == F.col("_lost"), "left_anti")
+    found = durable(_verdict(docs, words, p, q, doc_id, text), "near")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("digest").eqNullSafe(F.col("first_digest"))
+    lost = found.where(F.col("first_digest").isNotNull() & ~stays)
+    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("digest").alias("_digest")).distinct()
+    mark = fresh([*docs.columns, "_lost", "_digest"], "digest")
+    same = F.col(doc_id).eqNullSafe(F.col("_lost")) & (F.col(mark) == F.col("_digest"))
+    return docs.withColumn(mark, _digest(text)).join(lost, same, "left_anti").drop(mark)

@@ -110,6 +110,18 @@ def test_near_copies_of_awkward_rows(spark):
     assert one_per_component(empty(spark)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    clean = " ".join(f"other{i}" for i in range(60))
+    twin = " ".join(f"twin{i}" for i in range(60))
+    rows = [(3, near), (5, near + " end"), (5, clean), (7, twin), (7, twin + " end"), (9, clean + " x"), (9, clean + " x"), (None, near)]
+    rows += [(11, "whole row twice and nothing like it"), (11, "whole row twice and nothing like it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in one_per_component(docs).collect())
+    assert [i for i, _ in got] == [3, 5, 7, 11, 11]
+    assert (5, clean) in got and got[2][1] in (twin, twin + " end")
+
+
 def test_two_slices_of_equal_sets_are_one_node(spark):
     rows = [(i, "same words again and again here", None, None, None, None, None, None, None) for i in range(1, 200)]
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).agg(F.max("component_id"), F.count("*")).first()
