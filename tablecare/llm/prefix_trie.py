@@ -284,9 +284,11 @@ def _located(convs: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
     here = exits.withColumn("d", F.col("node.d")).join(bottom, ["conv_id", "d"], "left")
     whole = (F.col("d") == 0) | F.coalesce(F.col("own") == F.col("node"), F.lit(False))
     here = here.select("conv_id", "n", "node", whole.alias("whole"), F.when(whole & (F.col("n") > F.col("d")), F.col("d") + 1).alias("at"))
+    # rows without a next turn stay out of the joins: as nulls they would all meet in one task
     child = firsts.withColumnRenamed("node", "child")
-    here = here.join(probes, ["conv_id", "at"], "left").join(child, "probe", "left")
-    here = durable(here.select("conv_id", "n", F.coalesce("child", "node").alias("node"), (F.col("whole") & F.col("child").isNull()).alias("done")), "exits")
+    going = here.where("at IS NOT NULL").join(probes, ["conv_id", "at"]).join(child, "probe", "left")
+    going = going.select("conv_id", "n", F.coalesce("child", "node").alias("node"), F.col("child").isNull().alias("done"))
+    here = durable(going.union(here.where("at IS NULL").select("conv_id", "n", "node", F.col("whole").alias("done"))), "exits")
     done = here.where("done").select("conv_id", F.col("node.d").alias("shared"), "node")
     # compare with the representative's path over the exit edge
     inside = here.where("NOT done").join(edges.select(F.col("key").alias("node"), "rep", "top"), "node")
