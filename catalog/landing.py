@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from catalog.fixture import DIRTY_SQL, ORDER_COLUMNS, ORDERS, dirty, query, table
 from tablecare.operators.sizing import scratch_path
+from tablecare.plans.registry import Registry
 from tablecare.sources.scan import CORRUPT, latest_batch, scan, scan_rejects
-from tablecare.spec import TableSpec, between, in_set, matches, schema_of
+from tablecare.sources.sinks import read_report, read_runs
+from tablecare.spec import RunOptions, TableSpec, between, in_set, matches, not_null, schema_of, unique
 from tablecare.streaming.arrivals import (
+    file_digests,
     flag_repeats,
     new_content,
     row_digest,
@@ -19,6 +22,8 @@ from tablecare.streaming.arrivals import (
     stream_reasons,
     unique_within,
 )
+from tablecare.streaming.key_ledger import KeyLedger
+from tablecare.streaming.watch import run_on_arrival
 
 COLUMNS_SQL = ", ".join(ORDER_COLUMNS)
 
@@ -208,3 +213,104 @@ def content_digest(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(digests[0] == digests[2]).alias("order_free"),
         F.count(F.lit(1)).alias("row_count"),
     )
+
+
+# Files of the same orders: as they are, again, the other way round, and with a mark that no parser sees.
+FILE_KINDS = ("as_is", "again", "reversed", "marked")
+
+
+@query(
+    "file_identity",
+    """WITH l AS (SELECT o_orderkey AS k, o_custkey % 3 AS slot, o_orderkey || ',' || o_custkey AS line FROM orders),
+f AS (SELECT slot, 'as_is' AS kind, string_agg(line, chr(10) ORDER BY k) AS body FROM l GROUP BY slot
+ UNION ALL SELECT slot, 'again', string_agg(line, chr(10) ORDER BY k) FROM l GROUP BY slot
+ UNION ALL SELECT slot, 'reversed', string_agg(line, chr(10) ORDER BY k DESC) FROM l GROUP BY slot
+ UNION ALL SELECT slot, 'marked', string_agg(CASE WHEN k % 100 = 1 THEN line || ' ' ELSE line END, chr(10) ORDER BY k) FROM l GROUP BY slot)
+SELECT CAST(slot AS VARCHAR) AS slot, kind, min(kind) OVER (PARTITION BY sha256(body)) AS same_as FROM f""",
+)
+def file_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of a table's files hold the same bytes, read in many pieces each."""
+    folder = scratch_path(spark, "landing-files")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 3 AS slot", "concat(o_orderkey, ',', o_custkey) AS line")
+    for kind in FILE_KINDS:
+        order = F.desc("k") if kind == "reversed" else F.asc("k")
+        line = F.when(F.col("k") % 100 == 1, F.concat("line", F.lit(" "))).otherwise(F.col("line")) if kind == "marked" else F.col("line")
+        rows = orders.select("slot", "k", line.alias("value")).repartition("slot").sortWithinPartitions("slot", order)
+        rows.drop("k").write.partitionBy("slot").text(f"{folder}/{kind}")
+    place = F.regexp_extract("path", r"/(\w+)/slot=(\d+)/", 1), F.regexp_extract("path", r"/(\w+)/slot=(\d+)/", 2)
+    digests = file_digests(spark, [f"{folder}/{kind}" for kind in FILE_KINDS], "txt")
+    named = digests.select(place[0].alias("kind"), place[1].alias("slot"), "digest")
+    first = named.groupBy("digest").agg(F.min("kind").alias("same_as"))
+    return named.join(first, "digest").select("slot", "kind", "same_as")
+
+
+LEDGER_FIRST, LEDGER_SECOND = "event_type = 'signup'", "event_type <> 'signup'"
+
+
+@query(
+    "key_ledger",
+    f"""WITH a AS (SELECT DISTINCT user_id FROM events WHERE {LEDGER_FIRST}),
+n AS (SELECT CAST(count(*) AS BIGINT) AS first_keys FROM a),
+m AS (SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS second_keys FROM events
+ WHERE {LEDGER_SECOND} AND user_id NOT IN (SELECT user_id FROM a))
+SELECT event_id, user_id, user_id IN (SELECT user_id FROM a) AS repeated, first_keys, second_keys,
+ CAST(0 AS BIGINT) AS again_keys, first_keys + second_keys AS ledger_keys
+FROM events, n, m WHERE {LEDGER_SECOND}""",
+)
+def key_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of events: the second is flagged before and after it is committed, with equal results."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    keys = events.select("user_id").schema
+    ledger = KeyLedger(spark, scratch_path(spark, "ledger"), "users", keys, buckets=32)
+    first, second = events.filter(LEDGER_FIRST), events.filter(LEDGER_SECOND)
+    counts = {"first_keys": ledger.commit(first, "batch-1"), "second_keys": ledger.commit(second, "batch-2")}
+    counts["again_keys"] = ledger.commit(events, "batch-2")
+    flagged = ledger.flag(second.drop("event_type"), "batch-2")
+    counts["ledger_keys"] = ledger.frame().count()
+    return flagged.withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
+
+
+ARRIVAL_RULES = [not_null("customer_id"), in_set("payment_method", ["CARD", "TRANSFER", "VOUCHER", "WALLET"]), unique("order_id")]
+ARRIVAL_SLOTS = 10
+
+
+@query(
+    "run_on_arrival",
+    f"""WITH {DIRTY_SQL},
+first AS (SELECT *, count(*) OVER (PARTITION BY order_id) AS n FROM dirty WHERE k % 4 <> 0),
+second AS (SELECT *, count(*) OVER (PARTITION BY order_id) AS n FROM dirty WHERE k % 4 = 0 OR k % 50 = 1),
+rows AS (
+ SELECT 1 AS run, CAST(k % {ARRIVAL_SLOTS} AS VARCHAR) AS slot, customer_id IS NULL OR payment_method = 'CRYPTO'
+  OR (order_id IS NOT NULL AND n > 1) AS bad FROM first
+ UNION ALL SELECT 2, 'late', customer_id IS NULL OR payment_method = 'CRYPTO' OR (order_id IS NOT NULL AND n > 1)
+  OR coalesce(order_id IN (SELECT order_id FROM first WHERE order_id IS NOT NULL), FALSE) FROM second)
+SELECT run, slot, CAST(count(*) AS BIGINT) AS row_count, CAST(count_if(bad) AS BIGINT) AS quarantined_rows,
+ CAST(sum(count(*)) OVER (PARTITION BY run) AS BIGINT) AS total_rows, CAST(1 AS BIGINT) AS runs
+FROM rows GROUP BY run, slot""",
+)
+def arrivals_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten folders land and go through one run; later a folder with new and with known keys, and a copy."""
+    root = scratch_path(spark, "arrival")
+    folder, registry = f"{root}/landing", Registry(spark, f"{root}/registry")
+    registry.seed(ARRIVAL_RULES)
+    ledger = KeyLedger.of(spark, root, ORDERS, buckets=16)
+    options = RunOptions(repair_not_drop=True, loop_until_clean=False)
+    rows, runs = dirty(spark, sf), []
+    for late in (False, True):
+        if late:
+            landing = rows.filter("k % 4 = 0 OR k % 50 = 1").select(*ORDER_COLUMNS)
+            landing.coalesce(1).write.option("header", "true").csv(f"{folder}/late")
+            again = rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = 3").orderBy("k", "customer_id").select(*ORDER_COLUMNS)
+            again.coalesce(1).write.option("header", "true").csv(f"{folder}/copy-of-3")
+        else:
+            for slot in range(ARRIVAL_SLOTS):
+                part = rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = {slot}").orderBy("k", "customer_id").select(*ORDER_COLUMNS)
+                part.coalesce(1).write.option("header", "true").csv(f"{folder}/{slot}")
+        run_on_arrival(spark, ORDERS, registry, root, folder, key_ledger=ledger, options=options).awaitTermination()
+        recorded = read_runs(spark, root).select("run_id", "total_rows").collect()
+        runs += [(len(runs) + 1, r["run_id"], r["total_rows"]) for r in recorded if r["run_id"] not in {x[1] for x in runs}]
+    known = spark.createDataFrame(runs, "run int, run_id string, total_rows bigint")
+    sources = read_report(spark, root, "sources").withColumn("slot", F.regexp_extract("source_file", r"/landing/([^/]+)/", 1))
+    return sources.join(F.broadcast(known), "run_id").select(
+        "run", "slot", "row_count", "quarantined_rows", "total_rows", F.lit(len(runs) // 2).cast("bigint").alias("runs")
+    )

@@ -27,7 +27,7 @@ from tablecare.operators.validate import attribute, failing_keys, quarantine, sp
 from tablecare.plans.loop import LoopOutcome, compare, failing_keys_diff, heal
 from tablecare.plans.registry import Registry
 from tablecare.plans.run import iteration_history, revalidate, run
-from tablecare.sources.sinks import read_quarantine, read_runs, run_history, write_quarantine
+from tablecare.sources.sinks import read_quarantine, read_routed, read_runs, run_history, write_quarantine
 from tablecare.spec import Fix, RunOptions, between, in_set, not_null, unique
 
 OPTIONS = RunOptions(repair_not_drop=True)
@@ -236,3 +236,77 @@ def quarantine_written(spark: SparkSession, sf: str) -> DataFrame:
     return read_quarantine(spark, root, "run-1").select(*ORDER_COLUMNS, "k", "Reason")
 
 
+
+
+# -- stop reasons, routed rows, replayed repairs ------------------------------------------
+
+STOP_RULES = [not_null("customer_id"), in_set("payment_method", METHODS)]
+STOP_MODES = {
+    "clean": ([STOP_RULES[0]], RunOptions(repair_not_drop=True)),
+    "no_progress": (STOP_RULES, RunOptions(repair_not_drop=True)),
+    "max_loops_reached": (STOP_RULES, RunOptions(repair_not_drop=True, max_loops=1)),
+    "single_pass_mode": (STOP_RULES, RunOptions(repair_not_drop=True, loop_until_clean=False)),
+}
+
+
+@query(
+    "stop_reasons",
+    f"""WITH {DIRTY_SQL}, n AS (SELECT CAST(count(DISTINCT order_id) AS BIGINT) AS left_over FROM dirty
+ WHERE payment_method = 'CRYPTO' AND order_id IS NOT NULL)
+SELECT 'clean' AS mode, 'clean' AS stop_reason, CAST(1 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS remaining_rows
+UNION ALL SELECT 'no_progress', CASE WHEN left_over > 0 THEN 'no_progress' ELSE 'clean' END, CASE WHEN left_over > 0 THEN 2 ELSE 1 END, left_over FROM n
+UNION ALL SELECT 'max_loops_reached', CASE WHEN left_over > 0 THEN 'max_loops_reached' ELSE 'clean' END, 1, left_over FROM n
+UNION ALL SELECT 'single_pass_mode', CASE WHEN left_over > 0 THEN 'single_pass_mode' ELSE 'clean' END, 1, left_over FROM n""",
+)
+def stop_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reason to stop, reached by the suite and the options that lead there."""
+    rows = []
+    for mode, (rules, options) in STOP_MODES.items():
+        registry = Registry(spark, scratch_path(spark, "registry"))
+        registry.seed(rules)
+        outcome = heal(dirty(spark, sf), ORDERS, registry, mode, options, proposed_fixes=PROPOSED)
+        rows.append((mode, outcome.stop_reason, outcome.loops_run, outcome.iterations[-1]["remaining_rows"]))
+    return spark.createDataFrame(rows, "mode string, stop_reason string, loops bigint, remaining_rows bigint")
+
+
+ROUTE_OPTIONS = RunOptions(repair_not_drop=True, quarantine_failures=True)
+
+
+@query(
+    "run_routed",
+    f"""WITH {DIRTY_SQL} SELECT coalesce(order_id, '') AS order_id, k, payment_method, payment_method = 'CRYPTO' AS routed,
+ CAST(count_if(payment_method = 'CRYPTO') OVER () AS BIGINT) AS routed_rows, 'clean' AS stop_reason FROM dirty""",
+)
+def run_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """A full run that may route rows aside ends clean; the side table holds what was routed."""
+    root = scratch_path(spark, "run")
+    registry = Registry(spark, f"{root}/registry")
+    registry.seed(STOP_RULES)
+    result = run(spark, ORDERS, registry, root, df=dirty(spark, sf), options=ROUTE_OPTIONS, proposed_fixes=PROPOSED)
+    recorded = read_runs(spark, root).select("run_id", "routed_rows", "stop_reason")
+    kept = spark.read.parquet(f"{root}/clean/run_id={result.run_id}").withColumn("routed", F.lit(False))
+    out = read_routed(spark, root, result.run_id).withColumn("routed", F.lit(True))
+    names = [F.coalesce("order_id", F.lit("")).alias("order_id"), "k", "payment_method", "routed"]
+    rows = kept.select(*names).unionByName(out.select(*names)).withColumn("run_id", F.lit(result.run_id))
+    return rows.join(F.broadcast(recorded), "run_id").drop("run_id")
+
+
+@query(
+    "run_replayed",
+    f"""WITH {DIRTY_SQL}
+SELECT 2 AS runs, CAST(1 AS BIGINT) AS fixes_replayed, CAST(count_if(payment_method = 'CRYPTO') AS BIGINT) AS routed_rows,
+ CAST(count_if(payment_method <> 'CRYPTO') AS BIGINT) AS clean_rows, CAST(count(*) - count_if(payment_method = 'CRYPTO') AS BIGINT) AS total_rows,
+ 'clean' AS phase_reached FROM dirty""",
+)
+def run_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The next run replays the accepted quarantine repair first and then finds the table clean."""
+    root = scratch_path(spark, "run")
+    registry = Registry(spark, f"{root}/registry")
+    registry.seed([STOP_RULES[1]])
+    run(spark, ORDERS, registry, root, df=dirty(spark, sf), options=ROUTE_OPTIONS)
+    second = run(spark, ORDERS, registry, root, df=dirty(spark, sf), options=ROUTE_OPTIONS)
+    clean = spark.read.parquet(f"{root}/clean/run_id={second.run_id}").count()
+    return read_runs(spark, root).filter(F.col("run_id") == second.run_id).select(
+        F.lit(read_runs(spark, root).count()).cast("int").alias("runs"), "fixes_replayed", "routed_rows",
+        F.lit(clean).cast("bigint").alias("clean_rows"), "total_rows", "phase_reached",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.fixture import DIRTY_SQL, ORDER_COLUMNS, ORDERS, base, dirty, query, table
 from catalog.rules import AMOUNT_HIGH, AMOUNT_LOW, FLAGGED_SQL, METHODS, METHODS_SQL, ROW_SQL, SUITE_SQL
 from tablecare.operators.calibrate import calibrate, related_rules
-from tablecare.operators.fixes import apply_fix, apply_fixes, plan_fixes, quarantine_where, template_fix
+from tablecare.operators.fixes import FIX_ID, apply_fix, apply_fixes, plan_fixes, quarantine_where, template_fix
 from tablecare.operators.gates import GateResult, check_fixes, check_rules, import_rules, snapshot
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.validate import measure
@@ -502,3 +502,95 @@ def rules_import(spark: SparkSession, sf: str) -> DataFrame:
         "k", *[F.col("problem") if c == "problem" else F.lit(None).cast("string").alias(c) for c in shape[1:]]
     )
     return accepted.unionByName(rejected)
+
+
+# -- routed rows and changes beside the target ---------------------------------------------
+
+ROUTE = [
+    Fix("quarantine_where", "order_amount", {"rule": rule_param(AMOUNT_RANGE)}),
+    Fix("fill_null", "customer_id", {"value": "UNKNOWN"}),
+    Fix("quarantine_where", None, {"predicate": "payment_method = 'CRYPTO'"}),
+]
+OUT_OF_RANGE = f"coalesce(order_amount < {AMOUNT_LOW} OR order_amount > {AMOUNT_HIGH}, FALSE)"
+
+
+@query(
+    "fix_quarantine_replayed",
+    f"""WITH {DIRTY_SQL} SELECT order_id, CASE WHEN {OUT_OF_RANGE} THEN customer_id ELSE coalesce(customer_id, 'UNKNOWN') END AS customer_id,
+ {", ".join(c for c in [*ORDER_COLUMNS, "k"] if c not in ("order_id", "customer_id"))},
+ CASE WHEN {OUT_OF_RANGE} THEN '{ROUTE[0].fix_id}' WHEN payment_method = 'CRYPTO' THEN '{ROUTE[2].fix_id}' END AS fix_id FROM dirty""",
+)
+def fix_quarantine_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows kept and rows routed aside by accepted repairs: together the incoming table, each row once."""
+    replay = apply_fixes(dirty(spark, sf), ROUTE)
+    return replay.df.withColumn(FIX_ID, F.lit(None).cast("string")).unionByName(replay.routed)
+
+
+def _fill_customer(df: DataFrame) -> DataFrame:
+    return df.withColumn("customer_id", F.coalesce("customer_id", F.lit("UNKNOWN")))
+
+
+def _fill_and_round(df: DataFrame) -> DataFrame:
+    """Fills customers, and spoils the amounts of some orders that nobody asked about."""
+    spoiled = F.when(F.col("k") % 7 == 0, F.lit(5000.0)).otherwise(F.col("order_amount"))
+    return _fill_customer(df).withColumn("order_amount", spoiled)
+
+
+def _fill_all(df: DataFrame) -> DataFrame:
+    """Fills customers, and some that were there."""
+    return df.withColumn("customer_id", F.when(F.col("k") % 11 == 0, F.lit("UNKNOWN")).otherwise(F.coalesce("customer_id", F.lit("UNKNOWN"))))
+
+
+def _fill_and_lose(df: DataFrame) -> DataFrame:
+    """Fills customers, and loses orders that had one."""
+    return _fill_customer(df.filter("customer_id IS NULL OR k % 13 <> 0"))
+
+
+SPOILERS = {"fill": _fill_customer, "round": _fill_and_round, "all": _fill_all, "lose": _fill_and_lose}
+SPOILED_SQL = {
+    "fill": ("customer_id IS NULL", "FALSE", "TRUE"),
+    "round": (
+        "customer_id IS NULL OR (k % 7 = 0 AND order_amount IS DISTINCT FROM 5000)", "k % 7 = 0 AND order_amount IS DISTINCT FROM 5000", "TRUE"
+    ),
+    "all": (
+        "customer_id IS NULL OR (k % 11 = 0 AND customer_id IS DISTINCT FROM 'UNKNOWN')", "customer_id IS NOT NULL AND k % 11 = 0", "TRUE"
+    ),
+    "lose": ("customer_id IS NULL", "FALSE", "customer_id IS NULL OR k % 13 <> 0"),
+}
+
+
+@query(
+    "gate_change",
+    f"WITH {DIRTY_SQL}\n"
+    + "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS name, CAST(count_if(({changed}) AND ({left})) AS BIGINT) AS changed_rows,
+ CAST(count_if(({beside}) AND ({left})) AS BIGINT) AS collateral_rows, CAST(count_if({left}) AS BIGINT) AS rows_after,
+ count_if(({beside}) AND ({left})) = 0 AND count_if(NOT ({left})) = 0 AS passed FROM dirty"""
+        for name, (changed, beside, left) in SPOILED_SQL.items()
+    ),
+)
+def gate_change(spark: SparkSession, sf: str) -> DataFrame:
+    """A custom repair may change the column it is for, in rows that break the rule, and nothing else."""
+    incoming = dirty(spark, sf)
+    before = snapshot(incoming, [NO_CUSTOMER])
+    rows = []
+    for name in SPOILERS:
+        fix = Fix("custom", "customer_id", {"name": name})
+        (r,) = check_fixes(incoming, before, [NO_CUSTOMER], [(fix, NO_CUSTOMER)], False, SPOILERS)[2]
+        rows.append((name, r.changed_rows, r.collateral_rows, r.rows_after, r.passed))
+    return spark.createDataFrame(rows, "name string, changed_rows bigint, collateral_rows bigint, rows_after bigint, passed boolean")
+
+
+@query(
+    "gate_quarantine",
+    f"""WITH {DIRTY_SQL} SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count_if(NOT {OUT_OF_RANGE}) AS BIGINT) AS rows_after,
+ CAST(count_if({OUT_OF_RANGE}) AS BIGINT) AS routed_rows, count_if({OUT_OF_RANGE}) > 0 AS passed FROM dirty""",
+)
+def gate_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Routing rows aside passes where no row may be dropped: kept and routed rows add up."""
+    incoming = dirty(spark, sf)
+    before = snapshot(incoming, [AMOUNT_RANGE])
+    (r,) = check_fixes(incoming, before, [AMOUNT_RANGE], [(ROUTE[0], AMOUNT_RANGE)], True)[2]
+    return spark.createDataFrame(
+        [(r.rows_before, r.rows_after, r.routed_rows, r.passed)], "rows_before bigint, rows_after bigint, routed_rows bigint, passed boolean"
+    )

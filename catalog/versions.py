@@ -7,18 +7,25 @@ line number, every event a step in the life of the candidate named by its user.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog.fixture import query, table
+from tablecare.operators.sizing import scratch_path
 from tablecare.plans.registry import (
+    Registry,
     active,
     as_of,
+    candidate_states,
     candidates_by_failure,
     latest_status,
     log_summary,
     rollback_rows,
     suite_diff,
     undecided,
+    version_clashes,
+    version_sizes,
 )
+from tablecare.spec import Rule
 
 VERSIONS_SQL = """versions AS (SELECT CAST(l_linenumber AS BIGINT) AS version, CAST(l_suppkey % 5 - 1 AS INTEGER) AS ord,
  'r' || CAST(l_partkey AS VARCHAR) AS item_id, l_returnflag AS kind, l_linestatus AS "column",
@@ -145,3 +152,52 @@ def candidates_with_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
         .distinct()
     )
     return candidates_by_failure(candidates, diagnoses)
+
+
+@query(
+    "version_clashes",
+    f"""WITH {VERSIONS_SQL}, heads AS (SELECT version, recorded_at, kind AS actor FROM versions WHERE ord = -1),
+c AS (SELECT version, CAST(count(*) AS BIGINT) AS writers FROM heads GROUP BY version HAVING count(*) > 1)
+SELECT version, writers, recorded_at, actor FROM c JOIN heads USING (version)
+QUALIFY row_number() OVER (PARTITION BY version ORDER BY recorded_at, actor) = 1""",
+)
+def clashes(spark: SparkSession, sf: str) -> DataFrame:
+    return version_clashes(versions(spark, sf).withColumn("actor", F.col("kind")))
+
+
+# Markets that a suite knows from the start, and statuses that candidates propose, over the given tables.
+@query(
+    "registry_life_cycle",
+    """WITH seeds AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer),
+c AS (SELECT o_orderpriority AS name, row_number() OVER (ORDER BY o_orderpriority) AS i FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+a AS (SELECT count_if(i <= 2) AS promoted, count_if(i = 3) AS rejected, count_if(i > 3) AS pending FROM c),
+v AS (SELECT 1 AS version, n FROM seeds UNION ALL SELECT 1 + g, n + g FROM seeds, a, range(1, CAST(promoted + 1 AS BIGINT)) t(g)
+ UNION ALL SELECT 2 + promoted, n FROM seeds, a)
+SELECT 'version' AS record, CAST(version AS VARCHAR) AS name, CAST(n AS BIGINT) AS rows FROM v
+UNION ALL SELECT 'in force', 'rule', n FROM seeds
+UNION ALL SELECT 'status', 'approved', promoted FROM a WHERE promoted > 0
+UNION ALL SELECT 'status', 'rejected', rejected FROM a WHERE rejected > 0
+UNION ALL SELECT 'status', 'pending', pending FROM a WHERE pending > 0
+UNION ALL SELECT 'log', 'approved', promoted FROM a WHERE promoted > 0
+UNION ALL SELECT 'log', 'rejected', rejected FROM a WHERE rejected > 0
+UNION ALL SELECT 'log', 'rolled_back', 1""",
+)
+def registry_life_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Seed, add candidates, promote two one after the other (one twice), reject one, roll back; then read it all."""
+    markets = [r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    priorities = [r[0] for r in table(spark, sf, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    registry.seed([Rule("not_in_set", ("c_mktsegment",), {"values": [m]}) for m in markets])
+    proposed = [(Rule("not_in_set", ("o_orderpriority",), {"values": [p]}), "source", True, "") for p in priorities]
+    ids = registry.add_candidates("run-1", 1, proposed)
+    for candidate in ids[:2]:
+        registry.promote(candidate, "user:ann")
+    registry.promote(ids[:1], "user:ann")  # a second time changes nothing
+    for candidate in ids[2:3]:
+        registry.reject(candidate, "user:ben", "too narrow")
+    registry.rollback("rule", 1, "user:ann")
+    sizes = version_sizes(registry.versions("rule")).select(F.lit("version").alias("record"), F.col("version").cast("string").alias("name"), F.col("items").alias("rows"))
+    force = active(registry.versions("rule")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("in force").alias("record"), F.lit("rule").alias("name"), "rows")
+    states = candidate_states(registry.events()).select(F.lit("status").alias("record"), F.col("status").alias("name"), F.col("candidates").alias("rows"))
+    log = log_summary(registry.log()).select(F.lit("log").alias("record"), F.col("action").alias("name"), F.col("decisions").alias("rows"))
+    return sizes.unionByName(force).unionByName(states).unionByName(log)

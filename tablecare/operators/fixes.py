@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from tablecare.operators.keyflags import duplicate_keys, flag_by_keys
 from tablecare.operators.profile import ColumnProfile
 from tablecare.operators.rules import row_check
 from tablecare.operators.sizing import MAX_BROADCAST_BYTES
-from tablecare.operators.validate import Measure
+from tablecare.operators.validate import Measure, needs_reference
 from tablecare.spec import Fix, FixError, Rule, RuleError, rule_param
 
 logger = logging.getLogger(__name__)
@@ -76,7 +77,7 @@ def _new_value(df: DataFrame, fix: Fix) -> Column:
 def apply_fix(df: DataFrame, fix: Fix, transforms: Transforms | None = None) -> DataFrame:
     """One repair. All but ``keep_first`` and ``custom`` are a projection or a filter."""
     try:
-        if fix.action == "drop_where":
+        if fix.action in ("drop_where", "quarantine_where"):
             return df.filter(~fix_predicate(df, fix))
         if fix.action == "keep_first":
             return keep_first(df, fix.params["key"], fix.params["order"])
@@ -125,13 +126,28 @@ def quarantine_where(df: DataFrame, predicate: str) -> tuple[DataFrame, DataFram
     return df.filter(~hit), df.filter(hit)
 
 
+# Column of a side table that names the repair a row was routed by.
+FIX_ID = "fix_id"
+
+
+def routed_rows(df: DataFrame, fix: Fix) -> DataFrame:
+    """The second output of ``quarantine_where``: the rows it takes out, with its id."""
+    return df.filter(fix_predicate(df, fix)).withColumn(FIX_ID, F.lit(fix.fix_id))
+
+
+def gathered(routed: Sequence[DataFrame]) -> DataFrame | None:
+    """Side tables of several repairs as one; a column that only later ones have is null before."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), routed) if routed else None
+
+
 @dataclass
 class Replay:
-    """Result of chaining fixes: what applied, and what was skipped and why."""
+    """Result of chaining fixes: what applied, what was skipped and why, and the rows routed aside."""
 
     df: DataFrame
     applied: list[Fix] = field(default_factory=list)
     skipped: list[tuple[Fix, str]] = field(default_factory=list)
+    routed: DataFrame | None = None
 
 
 def schema_loss(before: T.StructType, after: T.StructType) -> str | None:
@@ -147,7 +163,7 @@ def schema_loss(before: T.StructType, after: T.StructType) -> str | None:
 
 def apply_fixes(df: DataFrame, fixes: Sequence[Fix], transforms: Transforms | None = None) -> Replay:
     """Chain fixes in order. One that no longer fits the table is skipped with a warning."""
-    replay = Replay(df)
+    replay, routed = Replay(df), []
     for fix in fixes:
         try:
             out = apply_fix(replay.df, fix, transforms)
@@ -158,8 +174,11 @@ def apply_fixes(df: DataFrame, fixes: Sequence[Fix], transforms: Transforms | No
             logger.warning("fix %s skipped: %s", fix.fix_id, problem)
             replay.skipped.append((fix, problem))
         else:
+            if fix.action == "quarantine_where":
+                routed.append(routed_rows(replay.df, fix))
             replay.df = out
             replay.applied.append(fix)
+    replay.routed = gathered(routed)
     return replay
 
 
@@ -185,12 +204,14 @@ def plan_fixes(
     repair_not_drop: bool,
     proposed: Mapping[str, Sequence[Fix]] | None = None,
     order: Sequence[str] = (),
+    quarantine_failures: bool = False,
 ) -> dict[str, list[Fix]]:
     """Repairs to try per failed rule id, best first.
 
     A proposed repair (by rule id or by reason text) comes first, then what fits the rule. Rows
     are only dropped where that is allowed; a failure without a sound repair gets none, and its
-    rows go to quarantine.
+    rows go to quarantine. With ``quarantine_failures`` routing them to a side table is a repair
+    of its own, the last one tried.
     """
     proposed = proposed or {}
     by_column = {p.column: p for p in profiles}
@@ -225,5 +246,10 @@ def plan_fixes(
                     Fix("keep_first", None, {"key": list(rule.columns), "order": keep},
                         f"only the first row per {rule.column} is kept")
                 )
+        if quarantine_failures and rule.level == "row" and rule.kind != "zscore_below" and not needs_reference(rule):
+            options.append(
+                Fix("quarantine_where", rule.columns[0] if rule.columns else None, {"rule": rule_param(rule)},
+                    f"rows breaking {rule.reason} are routed aside")
+            )
         plan[rule.rule_id] = list(dict.fromkeys(options))
     return plan

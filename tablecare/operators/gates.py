@@ -4,24 +4,44 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tablecare.functions.typed import col
-from tablecare.operators.fixes import Transforms, apply_fix, schema_loss
-from tablecare.operators.validate import PROBE, Measure, Tables, dry_run, measure, measures_of, validate
+from pyspark.sql import types as T
+
+from tablecare.functions.typed import any_of, col
+from tablecare.operators.fixes import Transforms, apply_fix, fix_predicate, schema_loss
+from tablecare.operators.keyflags import BadKeys, flag_by_keys
+from tablecare.operators.rules import row_check
+from tablecare.operators.validate import (
+    PROBE,
+    Counts,
+    Measure,
+    Tables,
+    bad_keys,
+    dry_run,
+    judged_by_keys,
+    measure,
+    measures_of,
+    validate,
+)
 from tablecare.spec import DEFAULT_TRIAL_ROWS, RULE_KINDS, Fix, FixError, Rule, RuleError, dedupe_rules
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """A table's row count and the measures of its suite."""
+    """A table's row count, the measures of its suite, and the bad keys of rules judged by keys.
+
+    ``counts`` are what was counted beside the suite, ``keys`` written tables by rule id: they hold
+    as long as the table does, so a rule that a repair cannot touch never shuffles its key again.
+    """
 
     rows: int
     measures: Mapping[str, Measure]
+    keys: Mapping[str, BadKeys] = field(default_factory=dict)
+    counts: Sequence[tuple[int, int, int]] = ()
 
     def failures(self) -> list[Measure]:
         return [m for m in self.measures.values() if not m.success]
@@ -41,19 +61,74 @@ class GateResult:
     after_count: int | None
     rows_before: int
     rows_after: int | None
+    changed_rows: int | None = None
+    collateral_rows: int | None = None
+    routed_rows: int = 0
 
 
 def snapshot(
-    df: DataFrame, rules: Sequence[Rule], tables: Tables | None = None, evaluate: Sequence[str] = ()
+    df: DataFrame,
+    rules: Sequence[Rule],
+    tables: Tables | None = None,
+    evaluate: Sequence[str] = (),
+    counts: Sequence[Counts] = (),
 ) -> Snapshot:
     """Measure a suite and, in the same pass, evaluate the named columns on every row.
 
-    A bare count would not do: columns nobody asks for are never computed.
+    A bare count would not do: columns nobody asks for are never computed. The bad keys of rules
+    judged by keys are found first, with one shuffle of their key each, and stay with the snapshot.
     """
     rules = dedupe_rules(rules)
-    rows = validate(df, rules, tables, probe=evaluate).collect()
-    total = next(r["element_count"] for r in rows if r["ord"] == PROBE)
-    return Snapshot(total, {m.rule.rule_id: m for m in measures_of(rules, rows)})
+    keys = {r.rule_id: bad_keys(df, r, tables) for r in rules if judged_by_keys(r)}
+    rows = validate(df, rules, tables, probe=evaluate, kept=keys, counts=counts).collect()
+    by_order = {r["ord"]: r for r in rows}
+    beside = [by_order[PROBE - 1 - i] for i in range(len(counts))]
+    return Snapshot(
+        by_order[PROBE]["element_count"],
+        {m.rule.rule_id: m for m in measures_of(rules, rows)},
+        keys,
+        [(r["element_count"], r["evaluated_count"], r["unexpected_count"]) for r in beside],
+    )
+
+
+# -- what a repair changes -----------------------------------------------------------------
+
+# Values before the repair, and whether the row was one to be repaired, side by side with the new row.
+BEFORE, TARGET, COUNTED = "__before", "__target", "__counted"
+
+
+def _watched(df: DataFrame, fix: Fix, rule: Rule, before: Snapshot) -> DataFrame:
+    """The table with what ``_changes`` compares: old values and whether the repair may touch the row.
+
+    A repair answers for the rows its own predicate names, else for those that break its rule. A
+    rule about the whole table names no rows, so all of them may change.
+    """
+    names = df.columns if fix.action == "custom" else [fix.column]
+    target: Column = F.lit(True)
+    if fix.action == "custom":
+        if {"predicate", "rule"} & set(fix.params):
+            target = fix_predicate(df, fix)
+        elif judged_by_keys(rule) and rule.rule_id in before.keys:
+            flagged = flag_by_keys(df, rule.columns, before.keys[rule.rule_id], TARGET)
+            return flagged.withColumn(BEFORE, F.struct(*[col(c) for c in names]))
+        elif rule.level == "row" and rule.kind != "zscore_below":
+            target = F.coalesce(row_check(rule, df.schema).violation, F.lit(False))
+    return df.withColumns({TARGET: target, BEFORE: F.struct(*[col(c) for c in names])})
+
+
+def _changes(df: DataFrame, fix: Fix, rule: Rule, schema: T.StructType) -> Counts:
+    """Rows outside the target that are still there, changed rows, and rows changed beside the target."""
+
+    def differs(names: Sequence[str]) -> Column:
+        comparable = [c for c in names if not isinstance(schema[c].dataType, (T.MapType, T.VariantType))]
+        return any_of([~col(c).eqNullSafe(F.col(BEFORE)[c]) for c in comparable]) if comparable else F.lit(False)
+
+    if fix.action != "custom":
+        return F.lit(False), differs([fix.column]), F.lit(False)
+    own = [fix.column] if fix.column is not None else list(rule.columns) or schema.names
+    others = [c for c in schema.names if c not in own]
+    changed = differs(schema.names)
+    return ~F.col(TARGET), changed, differs(others) | (changed & ~F.col(TARGET))
 
 
 def rewritten(df: DataFrame, fixes: Sequence[Fix]) -> list[str]:
@@ -97,17 +172,33 @@ def judge(
     after: Snapshot,
     repair_not_drop: bool,
     protect: bool = True,
+    routed: int = 0,
 ) -> GateResult:
-    """Rows kept, failure reduced, nothing else made worse."""
+    """Rows kept or routed, nothing changed beside the target, failure reduced, nothing else made worse.
+
+    ``after.counts`` holds the one triple of ``_changes`` where the repair was watched.
+    """
     was, now = before.measures[rule.rule_id], after.measures[rule.rule_id]
+    others, changed, collateral = after.counts[0] if after.counts else (None, None, None)
 
     def verdict(passed: bool, note: str) -> GateResult:
         return GateResult(
-            fix, rule, passed, note, was.unexpected_count, now.unexpected_count, before.rows, after.rows
+            fix, rule, passed, note, was.unexpected_count, now.unexpected_count, before.rows, after.rows,
+            changed, collateral, routed,
         )
 
-    if repair_not_drop and after.rows < before.rows:
+    if fix.action == "quarantine_where":
+        if after.rows + routed != before.rows:
+            return verdict(False, f"{after.rows} rows kept and {routed} routed of {before.rows}")
+    elif repair_not_drop and after.rows < before.rows:
         return verdict(False, f"deleted {before.rows - after.rows} rows, none may be dropped")
+    if collateral:
+        return verdict(False, f"changed {collateral} rows or values beside its target")
+    if fix.action == "custom" and rule.level in ("row", "key") and rule.kind != "zscore_below":
+        # rows that did not break the rule are all still there, once each
+        good = before.rows - was.unexpected_count
+        if others is not None and not {"predicate", "rule"} & set(fix.params) and others != good:
+            return verdict(False, f"left {others} of {good} rows beside its target")
     counted = rule.level in ("row", "key")
     if counted and now.unexpected_count >= was.unexpected_count:
         return verdict(False, f"changed nothing: {now.unexpected_count} of {was.unexpected_count} rows still fail")
@@ -151,26 +242,47 @@ def check_fixes(
     results: dict[str, GateResult] = {}
     runnable: list[tuple[Fix, Rule]] = []
     candidate = df
+    watched: dict[str, int] = {}
+    counts: list[Counts] = []
+    added: list[str] = []
+    routed = 0
     for fix, rule in pairs:
         was = before.measures[rule.rule_id].unexpected_count
+        follow = fix.action == "custom" or not fix.may_drop_rows
         try:
-            out = apply_fix(candidate, fix, transforms)
+            start = candidate
+            if follow:
+                start = _watched(candidate, fix, rule, before)
+            out = apply_fix(start, fix, transforms)
             problem = schema_loss(candidate.schema, out.schema)
+            if problem is None and follow and not {BEFORE, TARGET} <= set(out.columns):
+                problem = "drops columns that it does not know"
             if problem is None and fix.action == "custom":
                 problem = trial(candidate, fix, transforms)
+            if problem is None and fix.action == "quarantine_where":
+                routed = candidate.filter(fix_predicate(candidate, fix)).count()
         except (FixError, PySparkException) as error:
             out, problem = candidate, f"does not run: {_first_line(error)}"
         if problem is not None:
             results[fix.fix_id] = GateResult(fix, rule, False, problem, was, None, before.rows, None)
         else:
+            if follow:
+                watched[fix.fix_id] = len(counts)
+                names = [f"{COUNTED}{len(counts)}_{k}" for k in range(3)]
+                conditions = _changes(out, fix, rule, candidate.schema)
+                out = out.withColumns(dict(zip(names, conditions, strict=True))).drop(BEFORE, TARGET)
+                counts.append(tuple(F.col(n) for n in names))
+                added += names
             candidate = out
             runnable.append((fix, rule))
     if not runnable:
         return df, before, [results[f.fix_id] for f, _ in pairs]
 
     moved = [r for r in rules if any(touches(r, fix) for fix, _ in runnable)]
+    plain = candidate.drop(*added)
     try:
-        seen = snapshot(candidate, moved, tables, rewritten(candidate, [fix for fix, _ in runnable]))
+        seen = snapshot(candidate, moved, tables, rewritten(plain, [fix for fix, _ in runnable]), counts)
+        candidate = plain
     except PySparkException as error:
         if len(runnable) > 1:
             # One of them breaks on some row; find out which by taking them one at a time.
@@ -189,22 +301,24 @@ def check_fixes(
         return df, before, [results[f.fix_id] for f, _ in pairs]
 
     accepted: list[Fix] = []
-    merged = dict(before.measures)
+    merged, keys = dict(before.measures), dict(before.keys)
     for fix, rule in runnable:
         own = {r.rule_id: seen.measures[r.rule_id] for r in moved if touches(r, fix)}
         own.setdefault(rule.rule_id, before.measures[rule.rule_id])
-        result = judge(fix, rule, before, Snapshot(seen.rows, own), repair_not_drop, protect)
+        counted = [seen.counts[watched[fix.fix_id]]] if fix.fix_id in watched else []
+        result = judge(fix, rule, before, Snapshot(seen.rows, own, {}, counted), repair_not_drop, protect, routed)
         results[fix.fix_id] = result
         if result.passed:
             accepted.append(fix)
             merged.update(own)
+            keys.update({rule_id: bad for rule_id, bad in seen.keys.items() if rule_id in own})
     ordered = [results[f.fix_id] for f, _ in pairs]
     if not accepted:
         return df, before, ordered
     for fix in accepted if len(accepted) < len(runnable) else []:
         df = apply_fix(df, fix, transforms)
     rows = seen.rows if any(f.may_drop_rows for f in accepted) else before.rows
-    return (candidate if len(accepted) == len(runnable) else df), Snapshot(rows, merged), ordered
+    return (candidate if len(accepted) == len(runnable) else df), Snapshot(rows, merged, keys), ordered
 
 
 def independent(pairs: Sequence[tuple[Fix, Rule]], rules: Sequence[Rule]) -> list[tuple[Fix, Rule]]:

@@ -13,6 +13,7 @@ bad keys is narrow: one row per key. Three regimes, picked from its measured siz
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,25 +49,43 @@ def orphan_keys(df: DataFrame, keys: Sequence[str], ref: DataFrame, ref_columns:
     return key_counts(df.filter(keys_present(keys)), keys).join(known, on, "left_anti")
 
 
+@dataclass(frozen=True)
+class BadKeys:
+    """A written table of keys (``keys`` + ``__n``): how many, how many rows hold them, their width."""
+
+    frame: DataFrame
+    keys: int
+    rows: int
+    payload: int
+
+
+def kept_keys(bad: DataFrame, keys: Sequence[str]) -> BadKeys:
+    """Write a table of keys once, so that everyone who asks for it later reads it."""
+    saved = durable(bad, "keys")
+    size = saved.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(payload_bytes(*keys)), F.lit(0)).alias("payload"),
+    ).first()
+    return BadKeys(saved, size["keys"], size["rows"], size["payload"])
+
+
 def flag_by_keys(
     df: DataFrame,
     keys: Sequence[str],
-    bad: DataFrame,
+    bad: DataFrame | BadKeys,
     flag: str,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add a Boolean column: does the row's key appear in ``bad`` (``keys`` + ``__n``)?"""
-    saved = durable(bad, "keys")
-    size = saved.agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.sum(payload_bytes(*keys)).alias("payload"),
-    ).first()
-    if size["keys"] == 0:
+    size = bad if isinstance(bad, BadKeys) else kept_keys(bad, keys)
+    saved = size.frame
+    if size.keys == 0:
         return df.withColumn(flag, F.lit(False))
 
     renamed = [col(k).alias(f"__b{i}") for i, k in enumerate(keys)]
     on = all_of([col(k) == F.col(f"__b{i}") for i, k in enumerate(keys)])
-    if size["keys"] * ROW_OVERHEAD_BYTES + size["payload"] <= max_broadcast_bytes:
+    if size.keys * ROW_OVERHEAD_BYTES + size.payload <= max_broadcast_bytes:
         small = F.broadcast(saved.select(*renamed, F.lit(True).alias("__hit")))
         return df.join(small, on, "left").select(
             *[col(c) for c in df.columns], F.coalesce("__hit", F.lit(False)).alias(flag)

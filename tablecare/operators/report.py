@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecare.functions.masking import mask_structural, pii_columns
-from tablecare.functions.typed import col
+from tablecare.functions.typed import all_of, col
+from tablecare.operators.keyflags import BadKeys
 from tablecare.operators.profile import ColumnProfile, profile_columns, profiles_frame
+from tablecare.operators.sizing import MAX_BROADCAST_BYTES, ROW_OVERHEAD_BYTES, durable, payload_bytes
 from tablecare.operators.validate import REASONS, Measure, Tables, attribute, measure, measures_frame
 from tablecare.spec import DEFAULT_SAMPLE_ROWS, Rule, TableSpec
 
@@ -36,6 +38,10 @@ CATEGORIES = {
 OTHER_CATEGORY = "Data Entry Error"
 
 
+# Groups a reason's rows are dealt into before the last ranking.
+SAMPLE_SALTS = 64
+
+
 def sample_failures(
     flagged: DataFrame,
     primary_key: Sequence[str],
@@ -43,28 +49,47 @@ def sample_failures(
     mask: bool = True,
     reasons: str = REASONS,
     columns: Sequence[str] | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """At most ``max_rows`` rows per reason, smallest keys first: ``reason``, ``rank``, row columns.
 
-    The rank filter is pushed below the shuffle as a per-task limit, so a rule broken by a third
-    of the table still sends only ``max_rows`` rows per task.
+    Reason, key and a digest of the row are ranked in two rounds, first per reason and task group,
+    so a rule broken by a third of the table fills no task at any ``max_rows``. Wide rows only
+    meet the winners, whose size is measured before they are broadcast; equal rows count as often
+    as they occur and are fetched once.
     """
     columns = list(columns or [c for c in flagged.columns if c != reasons])
     hinted = set(pii_columns(flagged.schema, columns)) if mask else set()
-    rows = flagged.filter(F.size(reasons) > 0).select(
-        F.explode(reasons).alias("reason"), F.xxhash64(*[col(c) for c in columns]).alias("__tie"), *[col(c) for c in columns]
+    keys = [f"__k{i}" for i in range(len(primary_key))]
+    failing = flagged.filter(F.size(reasons) > 0).select(
+        reasons,
+        F.xxhash64(*[col(c) for c in columns]).alias("__tie"),
+        *[col(k).alias(n) for k, n in zip(primary_key, keys, strict=True)],
+        *[col(c) for c in columns],
+    )
+    narrow = failing.select(
+        F.explode(reasons).alias("reason"), "__tie", *keys, F.pmod(F.spark_partition_id(), F.lit(SAMPLE_SALTS)).alias("__salt")
+    )
+    order = [*[F.col(n).asc_nulls_first() for n in keys], F.col("__tie")]
+    place = F.row_number().over(Window.partitionBy("reason", "__salt").orderBy(*order))
+    first = narrow.withColumn("__place", place).filter(F.col("__place") <= max_rows)
+    rank = F.row_number().over(Window.partitionBy("reason").orderBy(*order))
+    winners = first.withColumn("rank", rank).filter(F.col("rank") <= max_rows).select("reason", "rank", "__tie", *keys)
+    winners = durable(winners, "samples")
+    size = winners.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(payload_bytes(*keys)), F.lit(0)).alias("b")).first()
+    wanted = winners.select(F.col("__tie").alias("__t"), *[F.col(n).alias(f"_{n}") for n in keys]).distinct()
+    if size["n"] * ROW_OVERHEAD_BYTES + size["b"] <= max_broadcast_bytes:
+        winners, wanted = F.broadcast(winners), F.broadcast(wanted)
+    same = all_of([F.col("__tie") == F.col("__t"), *[F.col(n).eqNullSafe(F.col(f"_{n}")) for n in keys]])
+    found = failing.join(wanted, same, "left_semi").groupBy("__tie", *keys)
+    found = found.agg(F.first(F.struct(*[col(c) for c in columns])).alias("__row")).select(
+        F.col("__tie").alias("__t"), *[F.col(n).alias(f"_{n}") for n in keys], "__row"
     )
-    order = [*[col(k).asc_nulls_first() for k in primary_key], F.col("__tie")]
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("reason").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= max_rows).select(
+    text = {c for c in hinted if flagged.schema[c].dataType.simpleString() == "string"}
+    return found.join(winners, same).select(
         "reason",
         F.col("rank").cast("bigint").alias("rank"),
-        *[
-            mask_structural(col(c)).alias(c)
-            if c in hinted and flagged.schema[c].dataType.simpleString() == "string"
-            else col(c)
-            for c in columns
-        ],
+        *[(mask_structural(F.col("__row")[c]) if c in text else F.col("__row")[c]).alias(c) for c in columns],
     )
 
 
@@ -124,12 +149,13 @@ def failure_report(
     max_rows: int = DEFAULT_SAMPLE_ROWS,
     mask: bool = True,
     tables: Tables | None = None,
+    kept: Mapping[str, BadKeys] | None = None,
 ) -> DataFrame:
     """One row per failed rule with its counts, column profile, masked samples and category.
 
-    Whatever the caller has computed already is reused: ``measures``, ``profiles``,
-    and ``flagged`` from ``attribute`` with the label ``rule_id``. Two rules of one kind on one
-    column share their reason text, so samples are matched by rule id.
+    Whatever the caller has computed already is reused: ``measures``, ``profiles``, the bad keys
+    ``kept`` with a snapshot, and ``flagged`` from ``attribute`` with the label ``rule_id``. Two
+    rules of one kind on one column share their reason text, so samples are matched by rule id.
     """
     spark = df.sparkSession
     names = [f.name for f in spec.fields(df.schema)]
@@ -137,7 +163,7 @@ def failure_report(
     result = measures_frame(spark, measures)
     if flagged is None:
         failed = [m.rule for m in measures if not m.success]
-        flagged = attribute(df, rules, failed, tables, label="rule_id")
+        flagged = attribute(df, rules, failed, tables, label="rule_id", kept=kept)
     profiles = profile_columns(df, names) if profiles is None else profiles
 
     profile_rows = profiles_frame(spark, profiles)

@@ -20,7 +20,15 @@ from tablecare.functions.typed import (
     sql_text,
     typed_literal,
 )
-from tablecare.operators.keyflags import duplicate_keys, flag_by_keys, key_counts, keys_present, orphan_keys
+from tablecare.operators.keyflags import (
+    BadKeys,
+    duplicate_keys,
+    flag_by_keys,
+    kept_keys,
+    key_counts,
+    keys_present,
+    orphan_keys,
+)
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.rules import column_statistics, row_check
 from tablecare.operators.sizing import MAX_BROADCAST_BYTES
@@ -29,12 +37,15 @@ from tablecare.spec import Rule, RuleError, dedupe_rules
 REASONS = "dq_reasons"
 
 Tables = Mapping[str, DataFrame]
+# Three conditions whose rows are counted in a validation's pass.
+Counts = tuple[Column, Column, Column]
 
 # Longer value lists become a table to join instead of constants in the plan.
 # A longer list of values is joined as a table; which plan runs changes no result.
 MAX_INLINE_VALUES = 1000
 
-# Order number and rule of the extra result row that a probing validation adds.
+# Order number and rule of the extra result row that a probing validation adds; rows of further
+# counts taken in the same pass come below it.
 PROBE = -1
 ROW_COUNT = Rule("row_count_between", (), {"min": 0})
 
@@ -114,7 +125,12 @@ def _time_number(value: Column, schema: T.StructType, name: str) -> Column:
 
 
 def _shared_pass(
-    df: DataFrame, rules: list[tuple[int, Rule]], tables: Tables, probe: Sequence[str] | None = None
+    df: DataFrame,
+    rules: list[tuple[int, Rule]],
+    tables: Tables,
+    probe: Sequence[str] | None = None,
+    kept: Mapping[str, BadKeys] | None = None,
+    counts: Sequence[Counts] = (),
 ) -> DataFrame:
     """All row rules and plain aggregates in one aggregate over one scan."""
     measures: dict[str, Column] = {"__n": F.count(F.lit(1))}
@@ -126,9 +142,16 @@ def _shared_pass(
         probed = [col(c) for c in probe if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
         measures["__digest"] = F.bit_xor(F.xxhash64(*probed)) if probed else F.lit(0)
         entries.append(_entry(PROBE, ROW_COUNT, "__n", "__n", "0", "__digest", "0", "true"))
+    for i, three in enumerate(counts):
+        measures |= {f"__c{i}_{k}": F.count_if(c) for k, c in enumerate(three)}
+        entries.append(_entry(PROBE - 1 - i, ROW_COUNT, f"__c{i}_0", f"__c{i}_1", f"__c{i}_2"))
     for order, rule in rules:
         own = f"__m{order}"
-        if rule.level == "row":
+        if kept and rule.rule_id in kept:
+            # its bad keys are counted already; what is left is a count of full keys
+            measures[f"__e{order}"] = F.count_if(keys_present(rule.columns))
+            entries.append(_entry(order, rule, "__n", f"__e{order}", f"{kept[rule.rule_id].rows}L"))
+        elif rule.level == "row":
             check = row_check(rule, df.schema, statistics)
             if check.evaluated_key not in evaluated_names:
                 evaluated_names[check.evaluated_key] = f"__e{order}"
@@ -289,13 +312,32 @@ def _table(tables: Tables, name: str) -> DataFrame:
 # -- public operators ----------------------------------------------------------------------
 
 
+def judged_by_keys(rule: Rule) -> bool:
+    """Are rows judged through a table of bad keys?"""
+    return rule.kind == "unique" or needs_reference(rule)
+
+
+def bad_keys(df: DataFrame, rule: Rule, tables: Tables | None = None) -> BadKeys:
+    """The keys that break a rule judged by keys, written once."""
+    if rule.kind == "unique":
+        return kept_keys(duplicate_keys(df, rule.columns), rule.columns)
+    return kept_keys(orphan_keys(df, rule.columns, *_reference(df, rule, tables or {})), rule.columns)
+
+
 def validate(
-    df: DataFrame, rules: Sequence[Rule], tables: Tables | None = None, probe: Sequence[str] | None = None
+    df: DataFrame,
+    rules: Sequence[Rule],
+    tables: Tables | None = None,
+    probe: Sequence[str] | None = None,
+    kept: Mapping[str, BadKeys] | None = None,
+    counts: Sequence[Counts] = (),
 ) -> DataFrame:
     """One result row per rule, in suite order (column ``ord``).
 
     ``probe`` adds a row (``ord`` -1) that carries the row count and proves that the columns it
-    names can be computed on every row.
+    names can be computed on every row. ``kept`` holds the bad keys of rules, by rule id, that are
+    known for this very table; such rules need no shuffle. ``counts`` adds a row each (``ord``
+    -2 and below) with the rows of three conditions as elements, evaluated and unexpected.
 
     Row rules and plain aggregates cost one scan together, rules on key groups one narrow
     shuffle per distinct key, reference rules one join of distinct keys each.
@@ -312,6 +354,8 @@ def validate(
                 field_of(df.schema, name)
         if rule.level == "schema":
             schema_only.append((order, rule))
+        elif kept and rule.rule_id in kept:
+            shared.append((order, rule))
         elif needs_reference(rule):
             references.append((order, rule))
         elif rule.kind == "unique" or (rule.level == "group" and not rule.params.get("approximate")):
@@ -320,8 +364,8 @@ def validate(
             shared.append((order, rule))
 
     parts = []
-    if shared or probe is not None:
-        parts.append(_shared_pass(df, shared, tables, probe))
+    if shared or probe is not None or counts:
+        parts.append(_shared_pass(df, shared, tables, probe, kept, counts))
     parts += [_grouped_pass(df, columns, members) for columns, members in grouped.items()]
     parts += [_reference_pass(df, order, rule, tables) for order, rule in references]
     if schema_only:
@@ -394,6 +438,7 @@ def attribute(
     reasons: str = REASONS,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     label: str = "reason",
+    kept: Mapping[str, BadKeys] | None = None,
 ) -> DataFrame:
     """Add the array of reasons each row breaks, in suite order.
 
@@ -401,9 +446,10 @@ def attribute(
 
     Only failed rules contribute, so rows tolerated through ``mostly`` stay clean. Row rules are
     evaluated again in place, which costs no shuffle; key rules go through ``flag_by_keys``.
-    Pass ``failed`` when the suite has been measured already.
+    Pass ``failed`` when the suite has been measured already, and in ``kept`` the bad keys found
+    then (``Snapshot.keys``), which spares their shuffle.
     """
-    tables = tables or {}
+    tables, kept = tables or {}, kept or {}
     rules = dedupe_rules(rules)
     if failed is None:
         failed = [m.rule for m in measure(df, rules, tables) if not m.success]
@@ -417,10 +463,7 @@ def attribute(
             condition = row_check(rule, df.schema, statistics).violation
         else:
             flag = f"__flag{i}"
-            if rule.kind == "unique":
-                bad = duplicate_keys(df, rule.columns)
-            else:
-                bad = orphan_keys(df, rule.columns, *_reference(df, rule, tables))
+            bad = kept[rule.rule_id] if rule.rule_id in kept else bad_keys(df, rule, tables)
             flagged = flag_by_keys(flagged, rule.columns, bad, flag, max_broadcast_bytes)
             condition = F.col(flag)
         parts.append(F.when(condition, F.lit(getattr(rule, label))))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.functions.typed import col
-from tablecare.operators.fixes import Transforms, plan_fixes
+from tablecare.operators.fixes import Transforms, gathered, plan_fixes, routed_rows
 from tablecare.operators.gates import GateResult, Snapshot, check_fixes, check_rules, independent, snapshot
 from tablecare.operators.profile import profile_columns
 from tablecare.operators.sizing import durable
@@ -34,6 +34,8 @@ class LoopOutcome:
     gates: list[GateResult] = field(default_factory=list)
     candidate_ids: list[str] = field(default_factory=list)
     iterations: list[dict] = field(default_factory=list)
+    # rows that accepted repairs took out of the table, with the fix id
+    routed: DataFrame | None = None
 
 
 def same_keys(a: DataFrame, b: DataFrame) -> bool:
@@ -68,16 +70,20 @@ def repair_round(
     tables: Tables | None,
     tried: set[str],
     order: Sequence[str] = (),
+    routed: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, Snapshot, list[GateResult]]:
     """Try the planned repairs of every failed rule, next choice after a rejection.
 
     Repairs that cannot influence each other share one measuring pass. ``tried`` holds repairs
-    rejected on this very table; they are not measured again until it changes.
+    rejected on this very table; they are not measured again until it changes. Rows that an
+    accepted repair routes aside are written and added to ``routed``.
     """
     failures = state.failures()
     columns = list(dict.fromkeys(c for m in failures if m.rule.level == "row" for c in m.rule.columns))
     profiles = profile_columns(df, columns, distinct="none") if columns else []
-    plan = plan_fixes(failures, profiles, df.schema, options.repair_not_drop, proposed, order)
+    plan = plan_fixes(
+        failures, profiles, df.schema, options.repair_not_drop, proposed, order, options.quarantine_failures
+    )
     queues = [(m.rule, list(plan[m.rule.rule_id])) for m in failures]
     results: list[GateResult] = []
     while True:
@@ -92,13 +98,16 @@ def repair_round(
                 heads.append((queue[0], rule))
         if not heads:
             return df, state, results
-        wave = independent(heads, rules)
+        wave, whole = independent(heads, rules), df
         df, state, outcome = check_fixes(
             df, state, rules, wave, options.repair_not_drop, transforms, tables
         )
         results += outcome
         if any(r.passed for r in outcome):
             tried.clear()
+        if routed is not None:
+            moved = [r.fix for r in outcome if r.passed and r.fix.action == "quarantine_where"]
+            routed += [durable(routed_rows(whole, fix), "routed") for fix in moved]
         for result in outcome:
             queue = next(q for rule, q in queues if rule.rule_id == result.rule.rule_id)
             queue.pop(0)
@@ -128,7 +137,8 @@ def heal(
     ``stop_reason`` is, in this order of testing, ``clean``, ``no_progress`` (two rounds in a row
     leave exactly the same keys failing), ``max_loops_reached`` or ``single_pass_mode``.
     A passing repair always changes the table at hand; it is registered only when repairs are
-    promoted automatically.
+    promoted automatically. The bad keys of every key rule live in the snapshot until a repair
+    touches the rule, and the failing keys of a round are a written table.
     """
     options = (options or RunOptions()).resolve(spec)
     rules = registry.active_rules()
@@ -136,6 +146,7 @@ def heal(
     outcome = LoopOutcome(df, df, state, 0, "clean")
     flagged = attribute(df, rules, [], tables)
     previous: tuple[DataFrame, tuple[int, int]] | None = None
+    routed: list[DataFrame] = []
     tried: set[str] = set()
     proposed_before: set[str] = set()
 
@@ -165,7 +176,7 @@ def heal(
                 suite_changed = True
 
         outcome.df, outcome.state, gates = repair_round(
-            outcome.df, outcome.state, rules, options, proposed_fixes, transforms, tables, tried
+            outcome.df, outcome.state, rules, options, proposed_fixes, transforms, tables, tried, routed=routed
         )
         accepted = [g.fix for g in gates if g.passed]
         ids = registry.add_gate_results(run_id, loop, gates)
@@ -180,8 +191,9 @@ def heal(
             rules = registry.active_rules()
             outcome.state = snapshot(outcome.df, rules, tables)
         if accepted or suite_changed or previous is None:
-            flagged = attribute(outcome.df, rules, [m.rule for m in outcome.state.failures()], tables)
-            keys = failing_keys(flagged, spec.primary_key)
+            failed = [m.rule for m in outcome.state.failures()]
+            flagged = attribute(outcome.df, rules, failed, tables, kept=outcome.state.keys)
+            keys = durable(failing_keys(flagged, spec.primary_key), "failing-keys")
             current = (keys, key_fingerprint(keys))
             stuck = previous is not None and current[1] == previous[1] and same_keys(current[0], previous[0])
         else:
@@ -210,7 +222,7 @@ def heal(
             break
         previous = current
 
-    outcome.flagged = flagged
+    outcome.flagged, outcome.routed = flagged, gathered(routed)
     return outcome
 
 

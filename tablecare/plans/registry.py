@@ -3,7 +3,8 @@
 Four append-only tables; what is current is always derived. The functions at the top work on
 any DataFrame of the right shape, the ``Registry`` class binds them to tables under one folder.
 A version is a header row (``ord`` -1) followed by one row per rule or repair, so an empty
-version exists too. One writer per registry is assumed; there is no lock service.
+version exists too. There is no lock service: a writer that finds its version taken by another one
+after writing refuses to go on (``version_clashes``), and a clashed version counts for nobody.
 """
 
 from __future__ import annotations
@@ -111,6 +112,25 @@ def candidates_by_failure(candidates: DataFrame, diagnoses: DataFrame) -> DataFr
     return candidates.join(renamed, ["run_id", "source_rule_id"])
 
 
+def version_clashes(versions: DataFrame) -> DataFrame:
+    """Versions that more than one writer recorded, with the header that counts: the earliest, then by actor."""
+    headers = versions.filter(F.col("ord") == HEADER).groupBy("version")
+    return headers.agg(
+        F.count(F.lit(1)).alias("writers"),
+        F.min(F.struct("recorded_at", "actor")).alias("first"),
+    ).filter(F.col("writers") > 1).select("version", "writers", "first.recorded_at", "first.actor")
+
+
+def version_sizes(versions: DataFrame) -> DataFrame:
+    """Items per version, empty versions included."""
+    return versions.groupBy("version").agg(F.count_if(F.col("ord") > HEADER).alias("items"))
+
+
+def candidate_states(events: DataFrame) -> DataFrame:
+    """Candidates per artifact and last status."""
+    return latest_status(events).groupBy("artifact", "status").agg(F.count(F.lit(1)).alias("candidates"))
+
+
 def log_summary(log: DataFrame) -> DataFrame:
     """Decisions per artifact and action, with the first and the last of them."""
     return log.groupBy("artifact", "action").agg(
@@ -158,6 +178,15 @@ class Registry:
     def version(self, artifact: str) -> int:
         return latest_version(self.versions(artifact))
 
+    def _append_versions(self, artifact: str, rows: Sequence[tuple]) -> None:
+        """Write new versions, then look whether another writer has recorded one of them as well."""
+        self._append(f"{artifact}_versions", VERSION_SCHEMA, rows)
+        mine = sorted({row[0] for row in rows})
+        if mine:
+            clashes = version_clashes(self.versions(artifact).filter(F.col("version").isin(mine))).collect()
+            if clashes:
+                raise RegistryError(f"another writer recorded {artifact} versions {sorted(r['version'] for r in clashes)}")
+
     def active_rules(self) -> list[Rule]:
         rows = active(self.versions("rule")).orderBy("ord").collect()
         return [Rule.load(r["kind"], r["column"], r["params"]) for r in rows]
@@ -183,7 +212,7 @@ class Registry:
         """First version of the suite. Refused once there is one."""
         if self.version("rule") != 0:
             raise RegistryError("the suite is calibrated already")
-        self._append("rule_versions", VERSION_SCHEMA, self._version_rows(1, dedupe_rules(rules), actor))
+        self._append_versions("rule", self._version_rows(1, dedupe_rules(rules), actor))
         return 1
 
     # -- review queue ----------------------------------------------------------------------
@@ -275,7 +304,7 @@ class Registry:
             )
             statuses.append(status)
         for artifact, rows in new_rows.items():
-            self._append(f"{artifact}_versions", VERSION_SCHEMA, rows)
+            self._append_versions(artifact, rows)
         self._append("candidate_events", EVENT_SCHEMA, events)
         self._append("promotion_log", LOG_SCHEMA, log)
         return statuses
@@ -318,7 +347,7 @@ class Registry:
             rows = [tuple({**r.asDict(), "recorded_at": at, "actor": actor}[n] for n in names) for r in restored]
             if not rows:
                 raise RegistryError(f"version {to_version} is not recorded")
-        self._append(f"{artifact}_versions", VERSION_SCHEMA, rows)
+        self._append_versions(artifact, rows)
         self._append(
             "promotion_log",
             LOG_SCHEMA,

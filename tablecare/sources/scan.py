@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,14 @@ class ScanError(ValueError):
     """The source cannot be read."""
 
 
-def scan(spark: SparkSession, spec: TableSpec, path: str | None = None, fmt: str | None = None) -> DataFrame:
-    """Read a table of the spec, lazily.
+def scan(
+    spark: SparkSession,
+    spec: TableSpec,
+    path: str | Sequence[str] | None = None,
+    fmt: str | None = None,
+    source_column: str | None = None,
+) -> DataFrame:
+    """Read a table of the spec, lazily; from several paths as one, with each row's file if asked for.
 
     With a declared schema no pass over the data is needed to find the types; without one, text
     formats are inferred. A value that does not parse becomes null and shows up under the null
@@ -43,7 +50,8 @@ def scan(spark: SparkSession, spec: TableSpec, path: str | None = None, fmt: str
     elif fmt == "csv":
         reader = reader.option("inferSchema", "true")
     try:
-        return reader.load(path)
+        frame = reader.load(path if isinstance(path, str) else list(path))
+        return frame if source_column is None else frame.withColumn(source_column, F.col("_metadata.file_path"))
     except AnalysisException as error:
         raise ScanError(f"cannot read {fmt} at {path}: {str(error).splitlines()[0]}") from error
 

@@ -15,7 +15,7 @@ RUN_SCHEMA = (
     "run_id string, table_name string, source_ref string, started_at timestamp, finished_at timestamp, "
     "status string, phase_reached string, total_rows bigint, failed_rule_count bigint, "
     "candidates_generated bigint, fixes_replayed bigint, iterations_run bigint, stop_reason string, "
-    "quarantine_path string, error string"
+    "quarantine_path string, error string, routed_rows bigint"
 )
 
 
@@ -44,6 +44,17 @@ def write_clean(flagged: DataFrame, root: str, run_id: str, reasons: str = REASO
     return path
 
 
+def write_routed(routed: DataFrame, root: str, run_id: str) -> str:
+    """Append the rows that repairs routed aside, with the fix id, under the run's partition."""
+    path = f"{root}/routed"
+    routed.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    return path
+
+
+def read_routed(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/routed").filter(F.col("run_id") == run_id)
+
+
 def append_report(report: DataFrame, root: str, name: str, run_id: str) -> None:
     """Append a short report (failures, diagnoses, loop history, ...) keyed by its run."""
     report.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("append").partitionBy("run_id").json(

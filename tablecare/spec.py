@@ -71,6 +71,8 @@ class RunOptions:
     export_quarantined: bool = True
     max_sample_rows: int = DEFAULT_SAMPLE_ROWS
     mask_pii: bool = True
+    # rows that no other repair settles are routed to a side table
+    quarantine_failures: bool = False
 
     def resolve(self, spec: TableSpec) -> RunOptions:
         unknown = set(spec.overrides) - set(self.__dataclass_fields__)
@@ -310,6 +312,7 @@ FIX_ACTIONS: dict[str, tuple[tuple[str, ...], bool]] = {
     "replace_where": (("value",), False),
     "null_out": ((), False),
     "drop_where": ((), True),
+    "quarantine_where": ((), True),
     "regex_replace": (("pattern", "replacement"), False),
     "trim": ((), False),
     "lower": ((), False),
@@ -325,8 +328,9 @@ FIX_ACTIONS: dict[str, tuple[tuple[str, ...], bool]] = {
 class Fix:
     """One declarative repair: an action, a target column and parameters, never code.
 
-    ``replace_where``, ``null_out`` and ``drop_where`` take a SQL ``predicate`` or a stored
-    ``rule`` whose violation is the predicate.
+    ``replace_where``, ``null_out``, ``drop_where`` and ``quarantine_where`` take a SQL
+    ``predicate`` or a stored ``rule`` whose violation is the predicate. ``quarantine_where`` has two
+    outputs: the rows kept, and the rows routed to a side table under the fix's id.
     """
 
     action: str
@@ -341,11 +345,12 @@ class Fix:
         missing = [p for p in required if p not in self.params]
         if missing:
             raise FixError(f"fix '{self.action}' lacks parameters {missing}")
-        if self.action in ("replace_where", "null_out", "drop_where") and not {"predicate", "rule"} & set(self.params):
+        located = ("replace_where", "null_out", "drop_where", "quarantine_where")
+        if self.action in located and not {"predicate", "rule"} & set(self.params):
             raise FixError(f"fix '{self.action}' needs a predicate or a rule")
         if self.action == "clamp" and not {"min", "max"} & set(self.params):
             raise FixError("fix 'clamp' needs min or max")
-        if self.column is None and self.action not in ("drop_where", "keep_first", "custom"):
+        if self.column is None and self.action not in ("drop_where", "quarantine_where", "keep_first", "custom"):
             raise FixError(f"fix '{self.action}' needs a target column")
 
     @property

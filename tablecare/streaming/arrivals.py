@@ -1,4 +1,4 @@
-"""File arrival as a stream: per-batch runs, row reasons, content de-duplication, key ledger.
+"""File arrival as a stream: per-batch runs, row reasons, content de-duplication, repeated keys.
 
 A trigger of ``availableNow`` is the scheduled form: it works through whatever is new and ends;
 the clock is whoever starts it. Stream checkpoints serialize the runs of one table.
@@ -6,24 +6,24 @@ the clock is whoever starts it. Stream checkpoints serialize the runs of one tab
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablecare.functions.typed import col
 from tablecare.operators.keyflags import flag_by_keys, key_counts, keys_present
 from tablecare.operators.rules import row_check
+from tablecare.operators.sizing import durable
 from tablecare.operators.validate import REASONS
 from tablecare.sources.sinks import empty_where_missing
 from tablecare.spec import Rule, RuleError, TableSpec, dedupe_rules
 
 # The schema of Spark's binary file source.
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-# Fixed value: what one binary value can hold. Larger files have no digest and always count as new.
-MAX_VALUE_BYTES = 2**31 - 1
 DIGEST_SCHEMA = "table_name string, digest string"
 
 
@@ -68,20 +68,66 @@ def run_per_batch(
 # -- identical content ---------------------------------------------------------------------
 
 
+def line_sums(lines: DataFrame) -> DataFrame:
+    """(uri, lines, w0, w1, p0, p1) per file of a text scan with the columns ``uri``, ``block`` and ``value``.
+
+    Two 56-bit hashes of every line are summed, and summed again times the line's number, both
+    exactly. A task sees a piece of a file and numbers its lines from anywhere; from a piece's sums
+    follow those for any other start, so the pieces of a file fold in place order to the same sums
+    however it was cut. Another order of the lines changes the second pair.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    lanes = [F.xxhash64("value"), F.xxhash64(F.lit(7), "value")]
+    numbered = lines.select(
+        "uri", "block", number.alias("at"), *[F.shiftright(h, 8).cast("decimal(18,0)").alias(f"h{i}") for i, h in enumerate(lanes)]
+    )
+    pieces = numbered.groupBy("uri", "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("at").alias("first"),
+        *[F.sum(f"h{i}").cast("decimal(38,0)").alias(f"w{i}") for i in range(2)],
+        *[F.sum(F.col(f"h{i}") * F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)").alias(f"p{i}") for i in range(2)],
+    )
+    # lines of the file in front of the piece, less the number its first line had
+    ahead = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).cast("decimal(12,0)")
+    placed = pieces.withColumn("shift", shift)
+    return placed.groupBy("uri").agg(
+        F.sum("n").alias("lines"),
+        *[F.sum(f"w{i}").cast("decimal(38,0)").alias(f"w{i}") for i in range(2)],
+        *[F.sum((F.col(f"p{i}") + F.col("shift") * F.col(f"w{i}")).cast("decimal(38,0)")).alias(f"p{i}") for i in range(2)],
+    )
+
+
 def file_digests(spark: SparkSession, paths: str | Sequence[str], fmt: str) -> DataFrame:
-    """Path and SHA-256 of files, each hashed as one value on an executor.
+    """Path and digest of files of any size: equal for equal bytes, else different.
 
-    A binary value ends at 2 GB; a larger file cannot be compared and is left out.
+    The digest covers the length, and every line's bytes in place order; what does not parse counts
+    as well. Files are read in pieces, so one of any size is hashed by many tasks; a single line is
+    a value and ends at 2 GB. Where the reader strips a compression, the text below it counts.
+    Empty files are not listed, as no reader lists them.
     """
-    files = spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
-    return files.load([paths] if isinstance(paths, str) else list(paths)).select(
-        "path", F.sha2("content", 256).alias("digest")
+    chosen = [paths] if isinstance(paths, str) else list(paths)
+    # no folder name is taken for a column
+    found = {"pathGlobFilter": f"*.{fmt}", "recursiveFileLookup": "true"}
+    listed = spark.read.format("binaryFile").schema(BINARY_SCHEMA).options(**found).load(chosen)
+    files = listed.select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    text = spark.read.format("text").options(lineSep="\n", **found).load(chosen)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    sums = ["lines", "w0", "w1", "p0", "p1"]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in sums]
+    return files.join(line_sums(lines), "uri", "left").select(
+        "path", F.sha2(F.concat_ws(":", F.col("length").cast("string"), *parts), 256).alias("digest")
     )
 
 
-def landed_files(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
-    """Stream of newly landed files by path and length; contents are not read."""
+def landed_files(spark: SparkSession, directory: str, fmt: str, max_files: int | None = None) -> DataFrame:
+    """Stream of newly landed files by path and length, in folders too; contents are not read."""
     files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", f"*.{fmt}")
+    files = files.option("recursiveFileLookup", "true")
+    if max_files is not None:
+        files = files.option("maxFilesPerTrigger", max_files)
     return files.load(directory).select("path", "length")
 
 
@@ -128,9 +174,23 @@ class ContentLedger:
         except AnalysisException as error:
             return empty_where_missing(self.spark, error, DIGEST_SCHEMA)
 
-    def commit(self, table_name: str, digest: str) -> None:
-        row = self.spark.createDataFrame([(table_name, digest)], DIGEST_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(self.path)
+    def commit(self, table_name: str, digests: str | Sequence[str]) -> None:
+        """Add the contents of a batch in one write."""
+        digests = [digests] if isinstance(digests, str) else digests
+        rows = self.spark.createDataFrame([(table_name, d) for d in digests], DIGEST_SCHEMA)
+        rows.coalesce(1).write.mode("append").parquet(self.path)
+
+
+def unseen_files(spark: SparkSession, spec: TableSpec, paths: Sequence[str], ledger: ContentLedger) -> list[tuple[str, str]]:
+    """(path, digest) of the files with content that is new, the first path of each content, in order.
+
+    One job hashes all files, one meets the ledger; the driver sees a path and a digest per file.
+    """
+    if not paths:
+        return []
+    found = file_digests(spark, paths, spec.fmt).withColumn("table_name", F.lit(spec.name))
+    new = new_content(durable(found, "digests"), ledger.frame(), ["table_name"], "digest", "path")
+    return sorted((r["path"], r["digest"]) for r in new.collect())
 
 
 def run_new_files(
@@ -142,33 +202,45 @@ def run_new_files(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Call ``handle(path)`` for each landed file with new content.
+    """Call ``handle(path)`` for each landed file with new content, told apart by its bytes.
 
-    Files are told apart by their bytes, at any size; one that is too large to be held as a value
-    is always new, as a file in doubt is processed and never skipped. A digest is committed only
-    after its file went through, so a failed run is tried again. The driver sees one path and one
-    digest per file; rows are read by the run itself.
+    A digest is committed only after its file went through, so a failed run is tried again.
     """
 
     def batch(files: DataFrame, _batch_id: int) -> None:
-        sizes = {r["path"]: r["length"] for r in files.collect()}
-        known_size = sorted(p for p, length in sizes.items() if length <= MAX_VALUE_BYTES)
-        found = file_digests(spark, known_size, spec.fmt).collect() if known_size else []
-        digests = {r["path"]: r["digest"] for r in found}
-        mine = ledger.frame().filter((F.col("table_name") == spec.name) & F.col("digest").isin(list(digests.values())))
-        known = {r["digest"] for r in mine.collect()}
-        for path in sorted(sizes):
-            digest = digests.get(path)
-            if digest is None:
-                handle(path)
-            elif digest not in known:
-                handle(path)
-                ledger.commit(spec.name, digest)
-                known.add(digest)
+        for path, digest in unseen_files(spark, spec, [r["path"] for r in files.select("path").collect()], ledger):
+            handle(path)
+            ledger.commit(spec.name, digest)
 
     return run_per_batch(landed_files(spark, directory, spec.fmt), batch, checkpoint, available_now)
 
 
+def run_new_batches(
+    spark: SparkSession,
+    spec: TableSpec,
+    directory: str,
+    ledger: ContentLedger,
+    handle: Callable[[list[str], str], None],
+    checkpoint: str,
+    available_now: bool = True,
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """Call ``handle(paths, batch_id)`` once per micro-batch, with all its files of new content.
+
+    The batch id follows from the contents, so a batch that is tried again has the same one,
+    whatever stream brings it. The digests are committed together after the batch went through.
+    """
+
+    def batch(files: DataFrame, _batch_id: int) -> None:
+        new = unseen_files(spark, spec, [r["path"] for r in files.select("path").collect()], ledger)
+        if new:
+            digests = [digest for _, digest in new]
+            handle([path for path, _ in new], hashlib.sha256("".join(sorted(digests)).encode()).hexdigest())
+            ledger.commit(spec.name, digests)
+
+    return run_per_batch(landed_files(spark, directory, spec.fmt, max_files), batch, checkpoint, available_now)
+
+
 # -- keys across batches -------------------------------------------------------------------
 
 

@@ -11,9 +11,13 @@ from tablecare.operators.calibrate import calibrate
 from tablecare.operators.fixes import keep_first
 from tablecare.operators.gates import rewritten, snapshot
 from tablecare.operators.keyflags import duplicate_keys, flag_by_keys
+from tablecare.operators import gates, report
+from tablecare.operators import validate as validation
 from tablecare.operators.report import sample_failures
 from tablecare.operators.validate import attribute, validate
-from tablecare.spec import Fix, between, in_set, not_null, unique
+from tablecare.plans.registry import Registry
+from tablecare.plans.run import run
+from tablecare.spec import Fix, RunOptions, between, in_set, not_null, unique
 
 
 def plan_of(df):
@@ -55,10 +59,14 @@ def test_beyond_the_broadcast_limit_hot_and_null_keys_are_spread(spark, sf_dir):
 
 
 @pytest.mark.parametrize("build", ["samples", "keep_first", "status"])
-def test_rank_filters_work_before_the_shuffle(spark, sf_dir, build):
+def test_rank_filters_work_before_the_shuffle(spark, sf_dir, build, monkeypatch):
     if build == "samples":
+        # the winners are written; what writes them is the plan to look at
         flagged = attribute(dirty(spark, sf_dir), [not_null("customer_id")], [not_null("customer_id")])
-        df = sample_failures(flagged, ["order_id"])
+        written = []
+        monkeypatch.setattr(report, "durable", lambda df, label: written.append(df) or df)
+        sample_failures(flagged, ["order_id"])
+        (df,) = written
     elif build == "keep_first":
         df = keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
     else:
@@ -90,3 +98,31 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
 def test_filters_reach_the_files(spark, sf_dir):
     plan = plan_of(queries()["registry_rollback"](spark, sf_dir))
     assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,2)]" in plan
+
+
+def test_samples_move_no_wide_row(spark, sf_dir):
+    flagged = attribute(dirty(spark, sf_dir), [not_null("customer_id")], [not_null("customer_id")])
+    plan = plan_of(sample_failures(flagged, ["order_id"], max_rows=5000))
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "Window" not in plan
+    # what is shuffled after the join is one row per winner
+    assert plan.index("LeftSemi") > plan.index("hashpartitioning")
+
+
+def test_a_run_shuffles_an_untouched_key_once(spark, sf_dir, tmp_path, monkeypatch):
+    rules = [unique("order_id"), not_null("customer_id"), between("order_amount", 1000, 500000), unique("customer_id", "k")]
+    registry = Registry(spark, str(tmp_path / "registry"))
+    registry.seed(rules)
+    asked = []
+    found = validation.bad_keys
+    for module in (validation, gates):
+        monkeypatch.setattr(module, "bad_keys", lambda df, rule, tables=None: asked.append(rule.columns) or found(df, rule, tables))
+    fill = {"not_null on 'customer_id'": [Fix("fill_null", "customer_id", {"value": "UNKNOWN"})]}
+    result = run(
+        spark, ORDERS, registry, str(tmp_path / "out"), df=dirty(spark, sf_dir), proposed_fixes=fill,
+        options=RunOptions(repair_not_drop=True),
+    )
+    assert result.metadata["iterations_run"] == 2 and result.metadata["failed_rule_count"] >= 3
+    # measured, reported, repaired in two rounds, flagged and written; the filled column's key twice
+    assert asked.count(("order_id",)) == 1 and asked.count(("customer_id", "k")) == 2
+    flagged = attribute(dirty(spark, sf_dir), rules, rules, kept=snapshot(dirty(spark, sf_dir), rules).keys)
+    assert "hashpartitioning" not in plan_of(flagged)

@@ -9,6 +9,7 @@ from tablecare.plans.registry import (
     log_summary,
     suite_diff,
     undecided,
+    version_clashes,
     version_rows,
 )
 from tablecare.spec import Fix, between, not_null, unique
@@ -90,3 +91,18 @@ def test_whole_life(spark, registry):
         ("rule", "approved"): 2, ("fix", "auto_promoted"): 1, ("fix", "rejected"): 1,
         ("rule", "rolled_back"): 1, ("fix", "rolled_back"): 1,
     }
+
+
+def test_two_writers_of_one_version_are_found(spark, tmp_path):
+    first, second = Registry(spark, str(tmp_path)), Registry(spark, str(tmp_path))
+    first.seed([not_null("a")])
+    (candidate,) = first.add_candidates("run", 1, [(not_null("b"), "source", True, "")])
+    (other,) = first.add_candidates("run", 1, [(not_null("c"), "source", True, "")])
+    second.version = lambda artifact: 1  # has read the version before the first one wrote
+    first.promote(candidate, "user:ann")
+    with pytest.raises(RegistryError, match="another writer"):
+        second.promote(other, "user:ben")
+    (clash,) = version_clashes(first.versions("rule")).collect()
+    assert (clash.version, clash.writers, clash.actor) == (2, 2, "user:ann")
+    assert first.candidates("pending").count() == 1  # the refused promotion left no event
+    assert version_clashes(first.versions("fix")).isEmpty()

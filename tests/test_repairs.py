@@ -315,3 +315,61 @@ def test_judge_is_pure(orders):
     before = snapshot(orders, RULES)
     fix = Fix("fill_null", "customer", {"value": "?"})
     assert not judge(fix, RULES[0], before, before, True).passed
+
+
+# -- changes beside the target, rows routed aside ------------------------------------------
+
+
+def test_custom_repairs_answer_for_what_they_change(orders):
+    transforms = {
+        "fill": lambda df: df.fillna({"customer": "?"}),
+        "other column": lambda df: df.fillna({"customer": "?"}).withColumn("amount", F.col("amount") + 1),
+        "good rows": lambda df: df.withColumn("customer", F.lit("?")),
+        "doubles rows": lambda df: df.fillna({"customer": "?"}).unionByName(df.filter("customer IS NOT NULL").limit(1)),
+        "hides": lambda df: df.fillna({"customer": "?"}).select("id", "customer", "amount", "method"),
+    }
+    results = {n: gate(orders, Fix("custom", None, {"name": n}), RULES[0], True, transforms)[2] for n in transforms}
+    assert {n: r.passed for n, r in results.items()} == {n: n == "fill" for n in transforms}
+    assert (results["fill"].changed_rows, results["fill"].collateral_rows) == (8, 0)
+    assert results["other column"].collateral_rows == 39 and results["good rows"].collateral_rows == 32
+    assert "left 33 of 32 rows" in results["doubles rows"].note and "does not know" in results["hides"].note
+
+
+def test_declared_repairs_count_their_changes(orders):
+    result = gate(orders, Fix("clamp", "amount", {"min": 0, "max": 35}), RULES[1])[2]
+    assert result.passed and (result.changed_rows, result.collateral_rows) == (5, 0)
+
+
+def test_key_rules_let_their_rows_change(orders):
+    def renumber(df):
+        return df.withColumn("id", F.when((F.col("id") == 8) & F.col("amount").isNull(), 99).otherwise(F.col("id")))
+
+    def renumber_more(df):
+        return renumber(df).withColumn("id", F.when(F.col("id") == 20, 120).otherwise(F.col("id")))
+
+    transforms = {"one": renumber, "more": renumber_more}
+    assert gate(orders, Fix("custom", None, {"name": "one"}), RULES[3], True, transforms)[2].passed
+    worse = gate(orders, Fix("custom", None, {"name": "more"}), RULES[3], True, transforms)[2]
+    assert not worse.passed and worse.collateral_rows == 1
+
+
+def test_routing_keeps_every_row_once(orders):
+    fix = Fix("quarantine_where", "amount", {"rule": rule_param(RULES[1])})
+    after, state, result = gate(orders, fix, RULES[1])
+    assert result.passed and (result.rows_before, result.rows_after, result.routed_rows) == (40, 35, 5)
+    assert state.rows == after.count() == 35
+    replay = apply_fixes(orders, [fix, Fix("quarantine_where", None, {"predicate": "method = 'BAD'"})])
+    assert replay.df.count() + replay.routed.count() == 40
+    assert {r["fix_id"]: r["count"] for r in replay.routed.groupBy("fix_id").count().collect()}[fix.fix_id] == 5
+    assert apply_fixes(orders, []).routed is None
+    with pytest.raises(FixError):
+        Fix("quarantine_where", "amount")
+
+
+def test_plan_routes_last_and_only_if_asked(orders):
+    failures = [m for m in measure(orders, RULES) if not m.success]
+    plain = plan_fixes(failures, [], orders.schema, True)
+    routed = plan_fixes(failures, [], orders.schema, True, quarantine_failures=True)
+    assert not any(f.action == "quarantine_where" for fixes in plain.values() for f in fixes)
+    for rule in RULES:
+        assert ([f.action for f in routed[rule.rule_id]][-1:] == ["quarantine_where"]) == (rule.level == "row")
