@@ -9,9 +9,10 @@ the pieces do not cover. Where no piece continues across a blank, texts are cut
 blanks, which changes no id: the distinct words of a batch are encoded together, and a worker
 remembers their ids.
 
-Every batch is verified: ``verify_rows`` of its texts also go through the ``sentencepiece``
-library, those with the rarest characters first; if one differs, the whole batch is taken from
-that library. Null texts are empty, give no pieces and decode to the empty text. Rows need no
+Everything is verified against the ``sentencepiece`` library: each distinct word when a worker first
+meets it, and every text that is not cut into words, or holds a word on which the two differ, as a
+whole; that library's ids count where they differ. A word is also decoded once, so that a text
+decodes to itself if its words do. Null texts are empty, give no pieces and decode to the empty text. Rows need no
 unique ids, and other columns pass through untouched.
 """
 
@@ -164,38 +165,50 @@ class PieceCodec:
         m = self.model
         # words can be encoded one by one where they are cut and written exactly like this
         self.cuts = self.by_word.pre_tokenizer is not None and m.dummy_prefix and m.escape_blanks
-        self.cuts = self.cuts and not m.charsmap and not m.remove_extra_blanks
+        # (a unigram model weighs the whole text, and equal sums may fall either way)
+        self.cuts = self.cuts and not m.charsmap and not m.remove_extra_blanks and m.model_type == BPE
         self.words: dict[str, bytes] = {}
+        # words on which the libraries differ, and words that do not decode to themselves
+        self.differing: set[str] = set()
+        self.unfaithful: set[str] = set()
 
     def _plain(self, text: str) -> bool:
         """Is every blank of the text single and between words?"""
-        return self.cuts and text != "" and text[0] != " " and "  " not in text and MARKER not in text
+        return self.cuts and text != "" and text[0] != " " and text[-1] != " " and "  " not in text and MARKER not in text
 
-    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of plain texts from those of their words; new words are encoded together."""
-        split = [t.split(" ") for t in texts]
+    def _learn(self, split: list[list[str]]) -> None:
+        """Ids of words not met before, from both libraries, and whether they decode to the word."""
         new = list(set().union(*split).difference(self.words))
         if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self.words.clear()
+            self.words.clear(), self.differing.clear(), self.unfaithful.clear()
             new = list(set().union(*split))
-        coded = self.by_word.encode_batch_fast([MARKER + w for w in new], add_special_tokens=False)
-        self.words.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, s)), "<u4") for s in split]
-
-    def encode(self, texts: list[str], verify_rows: int) -> tuple[list[np.ndarray], bool]:
-        """Ids of each text, and whether the verified texts agreed."""
-        plain = [self._plain(t) for t in texts]
-        easy = iter(self._by_words([t for t, p in zip(texts, plain, strict=True) if p]))
-        hard = [t for t, p in zip(texts, plain, strict=True) if not p]
-        rest = iter(self.tokenizer.encode_batch_fast(hard, add_special_tokens=False))
-        ids = [next(easy) if p else np.asarray(next(rest).ids, "<u4") for p in plain]
-        # the widest characters and the longest runs of blanks are where pipelines could differ
-        unusual = sorted(range(len(texts)), key=lambda i: (texts[i].isascii(), "  " not in texts[i], len(texts[i]), i))
-        chosen = unusual[:verify_rows]
-        expected = self.reference.encode([texts[i] for i in chosen], num_threads=1)
-        if all(ids[i].tolist() == e for i, e in zip(chosen, expected, strict=True)):
-            return ids, True
-        return [np.asarray(i, "<u4") for i in self.reference.encode(texts, num_threads=1)], False
+        coded = [e.ids for e in self.by_word.encode_batch_fast([MARKER + w for w in new], add_special_tokens=False)]
+        self.words.update((w, np.asarray(c, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
+        expected = self.reference.encode(new, num_threads=1)
+        self.differing.update(w for w, c, e in zip(new, coded, expected, strict=True) if c != e)
+        back = self.tokenizer.decode_batch(coded, skip_special_tokens=False)
+        self.unfaithful.update(w for w, t in zip(new, back, strict=True) if w != t)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids of each text, whether both libraries agreed on it, and whether it decodes to itself."""
+        ids: list = [None] * len(texts)
+        parity, faithful = [True] * len(texts), [True] * len(texts)
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if self._plain(t)}
+        self._learn(list(plain.values()))
+        if self.differing:
+            plain = {i: words for i, words in plain.items() if self.differing.isdisjoint(words)}
+        find = self.words.__getitem__
+        for i, words in plain.items():
+            ids[i] = np.frombuffer(b"".join(map(find, words)), "<u4")
+            faithful[i] = not self.unfaithful or self.unfaithful.isdisjoint(words)
+        rest = [i for i in range(len(texts)) if i not in plain]
+        hard = [texts[i] for i in rest]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
+        expected = self.reference.encode(hard, num_threads=1) if hard else []
+        back = self.tokenizer.decode_batch(expected, skip_special_tokens=False)
+        for i, c, e, t in zip(rest, coded, expected, back, strict=True):
+            ids[i], parity[i], faithful[i] = np.asarray(e, "<u4"), c == e, t == texts[i]
+        return ids, parity, faithful
 
     def decode(self, ids: list) -> list[str]:
         return self.tokenizer.decode_batch([np.asarray(i).tolist() for i in ids], skip_special_tokens=False)
@@ -210,7 +223,7 @@ def codec(path: str, threads: int) -> PieceCodec:
 
 
 def encode_pieces(
-    docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", verify_rows: int = 8, threads: int = 2
+    docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", threads: int = 2
 ) -> DataFrame:
     """``docs`` with the piece ids of each text (``fresh`` renames on a clash)."""
     ids = fresh(docs.columns, ids)
@@ -220,7 +233,7 @@ def encode_pieces(
         for batch in batches:
             texts = text_column(batch, text)
             for lo in range(0, len(batch), BATCH):
-                got, _ = own.encode(texts[lo : lo + BATCH].to_pylist(), verify_rows)
+                got, _, _ = own.encode(texts[lo : lo + BATCH].to_pylist())
                 lists = pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))
                 yield append_columns(batch.slice(lo, BATCH), **{ids: lists})
 
@@ -242,11 +255,11 @@ def decode_pieces(frame: DataFrame, model_path: str, ids: str = "ids", text: str
     return frame.mapInArrow(decoded, extended(frame.schema, **{text: T.StringType()}))
 
 
-def piece_summary(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", verify_rows: int = 8, threads: int = 2) -> DataFrame:
+def piece_summary(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", threads: int = 2) -> DataFrame:
     """Per row: doc_id, n_pieces, n_byte_pieces, ids_crc32 (little-endian unsigned 32-bit ids), parity and round_trip.
 
-    ``round_trip`` tells whether the ids decode to the text itself, ``parity`` whether the verified
-    texts of the row's batch had the same ids in both libraries.
+    ``round_trip`` tells whether the ids decode to the text itself, ``parity`` whether both
+    libraries gave the same ids.
     """
     plain = docs.select(doc_id, text).toDF("doc_id", "text")
 
@@ -257,13 +270,13 @@ def piece_summary(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
             keys = batch.column(batch.schema.get_field_index("doc_id"))
             for lo in range(0, len(batch), BATCH):
                 part = texts[lo : lo + BATCH].to_pylist()
-                arrays, parity = own.encode(part, verify_rows)
+                arrays, parity, faithful = own.encode(part)
                 columns = [
                     pa.array([len(a) for a in arrays], pa.int64()),
                     pa.array([int(own.is_byte[a].sum()) for a in arrays], pa.int64()),
                     pa.array([zlib.crc32(a.tobytes()) for a in arrays], pa.int64()),
-                    pa.array([parity] * len(part)),
-                    pa.array([a == b for a, b in zip(own.decode(arrays), part, strict=True)], pa.bool_()),
+                    pa.array(parity, pa.bool_()),
+                    pa.array(faithful, pa.bool_()),
                 ]
                 names = ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "parity", "round_trip"]
                 yield pa.RecordBatch.from_arrays([keys[lo : lo + BATCH], *columns], names=names)

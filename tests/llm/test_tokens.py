@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tablecare.llm.encoders import encoder
 from tablecare.llm.packing import pack, sweeps
-from tablecare.llm.pieces import PieceCodec, decode_pieces, encode_pieces, piece_summary
+from tablecare.llm.pieces import PieceCodec, decode_pieces, encode_pieces, fields, piece_summary
 from tablecare.llm.token_counts import token_counts
 from tests.llm.tables import TEXTS, awkward, empty
 
@@ -121,17 +122,63 @@ def test_piece_ids_equal_the_library_and_decode(spark, sf_dir):
     assert piece_summary(empty(spark), PIECES).count() == 0
 
 
-def test_a_batch_that_differs_comes_from_the_reference(monkeypatch):
+def test_texts_that_differ_come_from_the_reference(monkeypatch):
+    texts = ["some words", "more words", "  more", ""]
     codec = PieceCodec(PIECES)
+    monkeypatch.setattr(codec, "by_word", Tokenizer.from_file(BYTE_BPE))
     monkeypatch.setattr(codec, "tokenizer", Tokenizer.from_file(BYTE_BPE))
-    monkeypatch.setattr(codec, "_plain", lambda text: False)
-    ids, parity = codec.encode(["some words", "more words"], 1)
-    assert not parity and [i.tolist() for i in ids] == codec.reference.encode(["some words", "more words"])
+    ids, parity, _ = codec.encode(texts)
+    assert parity == [False, False, False, True] and [i.tolist() for i in ids] == codec.reference.encode(texts)
+
+
+def test_texts_that_do_not_decode_say_so(monkeypatch):
+    codec = PieceCodec(PIECES)
+    codec.encode(["one two"])
+    monkeypatch.setattr(codec, "unfaithful", {"two"})
+    assert codec.encode(["one two", "one one", "two", "one  two"])[2] == [False, True, False, True]
 
 
 def test_remembered_words_start_over(monkeypatch):
     monkeypatch.setattr("tablecare.llm.pieces.REMEMBERED_WORDS", 3)
     codec = PieceCodec(PIECES)
-    for text in ("a b c", "d e a", "b f", "", "x  y", " z"):
-        assert [i.tolist() for i in codec.encode([text], 0)[0]] == codec.reference.encode([text])
+    for text in ("a b c", "d e a", "b f", "", "x  y", " z", "z ", " "):
+        (ids,), (parity,), (faithful,) = codec.encode([text])
+        assert ids.tolist() == codec.reference.encode(text) and parity and faithful
     assert len(codec.words) <= 3
+
+
+def unigram_file(path):
+    """The pieces of the given file under the unigram model type, with scores that make no ties."""
+
+    def sized(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + sized(n >> 7)
+
+    def message(number, body):
+        return bytes([number << 3 | 2]) + sized(len(body)) + body
+
+    with open(PIECES, "rb") as file:
+        data = file.read()
+    draw, out = np.random.default_rng(1), b""
+    for number, value in fields(data):
+        if number == 1:
+            piece = dict(fields(value))
+            score = -len(piece[1].decode()) ** 0.5 - 6 - draw.random() if piece.get(3, 1) == 1 else 0.0
+            out += message(1, message(1, piece[1]) + b"\x15" + struct.pack("<f", score) + b"\x18" + sized(piece.get(3, 1)))
+        else:
+            assert number != 2 or value.count(b"\x18\x02") == 1  # its field 3, model type 2
+            out += message(number, value.replace(b"\x18\x02", b"\x18\x01") if number == 2 else value)
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_a_unigram_model(spark, sf_dir, tmp_path):
+    codec = PieceCodec(unigram_file(tmp_path / "unigram.model"))
+    assert codec.model.model_type == 1 and not codec.cuts
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").limit(60).collect()]
+    tried = [*texts, "", " ", "a  b", " x", "日本語 😀 é", "ﬁ ①", *(t or "" for t in TEXTS[:8])]
+    ids, parity, faithful = codec.encode(tried)
+    assert [i.tolist() for i in ids] == codec.reference.encode(tried) and all(faithful)
+    own = [e.ids for e in codec.tokenizer.encode_batch(tried, add_special_tokens=False)]
+    assert parity == [i.tolist() == o for i, o in zip(ids, own, strict=True)]
+
+    assert sum(parity) >= 0.8 * len(tried)  # sums that are almost equal may fall either way
