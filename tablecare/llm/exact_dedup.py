@@ -83,8 +83,9 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     keyed = docs.withColumn(mark, F.sha2(normalised(F.col(text)), 256))
     lost = verdict.where("NOT kept")
     twins = lost.where("doc_id <=> keep_id").limit(1).count() > 0
-    chosen = (verdict.where("kept") if twins else lost).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_sha"))
+    ident, sha = fresh(keyed.columns, "verdict_id"), fresh(keyed.columns, "verdict_sha")
+    chosen = (verdict.where("kept") if twins else lost).select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha))
+    same = F.col(doc_id).eqNullSafe(F.col(ident)) & (F.col(mark) == F.col(sha))
     if not twins:
         return keyed.join(chosen, same, "left_anti").drop(mark)
     # rows that agree in id and text stand for each other; one of each stays

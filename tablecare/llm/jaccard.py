@@ -271,13 +271,14 @@ def _index_groups(found: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _members(plain: DataFrame, recs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rec, members) of the wanted sets, from one text each."""
-    asked = wanted.distinct().join(recs, "rec").select("rec", F.col("one").alias("_one"))
+    """(rec, members) of the wanted sets, from one text each, found by its id and digest."""
+    asked = wanted.distinct().join(recs, "rec").select("rec", F.col("one.doc_id").alias("_one"), F.col("one.digest").alias("digest"))
     asked = durable(asked, "asked")
     width = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("_one").cast("string"))).alias("b")).first()
     small = (width["n"] * 64 + (width["b"] or 0)) <= MAX_BROADCAST_BYTES
     side = F.broadcast(asked) if small else asked
-    texts = plain.join(side, F.col("doc_id").eqNullSafe(F.col("_one"))).select("rec", "text")
+    # the digest is the key, since many rows may share an id or have none
+    texts = plain.join(side, "digest").where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("rec", "text")
     return durable(texts.mapInArrow(_member_sets(words), "rec long, members binary").dropDuplicates(["rec"]), "members")
 
 
@@ -305,8 +306,8 @@ def _verdict(docs: DataFrame, words: int, p: int, q: int, doc_id: str, text: str
     schema = f"doc_id {id_type}, digest long, n long, rec long, own array<long>, above array<long>, odd binary"
     found = durable(plain.mapInArrow(_summaries(words, p, q), schema), "summaries")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
-    of_set = (first.alias("first"), F.max("n").alias("n"), F.first("odd").alias("odd"))
-    recs = durable(found.where("rec IS NOT NULL").groupBy("rec").agg(*of_set).withColumn("one", F.col("first.doc_id")), "sets")
+    of_set = (first.alias("first"), F.min(F.struct("doc_id", "digest")).alias("one"), F.max("n").alias("n"), F.first("odd").alias("odd"))
+    recs = durable(found.where("rec IS NOT NULL").groupBy("rec").agg(*of_set), "sets")
     groups = _index_groups(found, p, q)
 
     # leaders and the sets that they may link to
@@ -363,7 +364,7 @@ def one_per_component(
     found = durable(_verdict(docs, words, p, q, doc_id, text), "near")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("digest").eqNullSafe(F.col("first_digest"))
     lost = found.where(F.col("first_digest").isNotNull() & ~stays)
-    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("digest").alias("_digest")).distinct()
-    mark = fresh([*docs.columns, "_lost", "_digest"], "digest")
-    same = F.col(doc_id).eqNullSafe(F.col("_lost")) & (F.col(mark) == F.col("_digest"))
+    mark, ident, of_lost = (fresh(docs.columns, n) for n in ("digest", "lost_id", "lost_digest"))
+    lost = lost.select(F.col("doc_id").alias(ident), F.col("digest").alias(of_lost)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(ident)) & (F.col(mark) == F.col(of_lost))
     return docs.withColumn(mark, _digest(text)).join(lost, same, "left_anti").drop(mark)

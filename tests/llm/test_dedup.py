@@ -148,3 +148,28 @@ def test_sketches_rule_out_no_link():
                 assert possible == may_link(parity(b), parity(a), len(b), len(a), p, q)
                 ruled_out += not possible
     assert ruled_out > 30
+
+
+def test_stages_leave_helper_names_alone(spark):
+    taken = ["_id", "_sha", "_lost", "_digest", "digest", "lost_id", "lost_digest", "verdict_id", "verdict_sha", "text_sha256"]
+    docs = awkward(spark).withColumns({name: F.lit(name) for name in taken})
+    for stage in (drop_exact_duplicates, one_per_component):
+        plain, named = stage(awkward(spark)), stage(docs)
+        assert named.columns == docs.columns
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+        assert sorted(map(key, plain.collect())) == sorted(map(key, named.collect()))
+
+
+def test_many_texts_under_one_id(spark):
+    """Near copies and strangers under one id, and without id: as many texts are fetched as there are sets."""
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base[: k % 60], f"x{k}", *base[k % 60 + 1 :]]) for k in range(1500)]
+    far = [" ".join(f"{k}y{i}" for i in range(8)) for k in range(1500)]
+    for ident in (7, None):
+        docs = spark.createDataFrame([(ident, t) for t in near + far], "doc_id long, text string")
+        got = jaccard_components(docs, words=3, p=90, q=100).collect()
+        assert len(got) == 3000 and {r.component_id for r in got} == {ident}
+    docs = spark.createDataFrame([(7, t) for t in near[:300] + far[:50]], "doc_id long, text string")
+    kept = one_per_component(docs, words=3, p=80, q=100)
+    want = jaccard_labels(dict(enumerate(near[:300] + far[:50])), 3, 80, 100)
+    assert kept.count() == len({label for _, label in want.values()})
