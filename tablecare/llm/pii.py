@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ from tablecare.llm.frames import durable, fresh
 
 KINDS = ["email", "ip", "card", "phone"]
 PIECE = 1000  # code points
+RUN = 128  # values that a fold runs over at a time
+FAR = 2**31 - 1
 LABELERS = ["pattern", "format", "gazetteer", "context", "edge"]
 MARK, STAND_IN = "\ue000", "\ue001"
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -62,21 +65,47 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
-def _spans(parts: Column) -> Column:
-    """The matches with positions and their surroundings."""
-    none = F.array().cast(f"array<{SPAN}>")
+def with_running(frame: DataFrame, wanted: dict[str, str], zero: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each entry (new column: array column) the running fold of what stands before each value.
 
-    def step(seen: Column, i: Column) -> Column:
-        part = F.get(parts, i)
-        stop = seen["at"] + F.length(part)
+    Arrays are cut into blocks of ``RUN``: an array that a fold lets grow is copied at each step, so
+    the work is the number of values times the block's length, not times their number.
+    """
+    start = F.lit(zero)
+    nested = "array<array<int>>"
+
+    def folded(values: Column, first: Column) -> Column:
+        step = lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    cut = {new: fresh([*frame.columns, *wanted], f"blocks_{n}") for n, new in enumerate(wanted)}
+    ahead = {new: fresh([*frame.columns, *wanted], f"ahead_{n}") for n, new in enumerate(wanted)}
+
+    def in_blocks(old: str) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(old) - 1) / RUN).cast("int"))
+        whole = F.transform(numbers, lambda b: F.slice(F.col(old), b * RUN + 1, F.lit(RUN)))
+        return F.when(F.size(old) > 0, whole).otherwise(F.array().cast(nested))
+
+    blocks = {cut[new]: in_blocks(old) for new, old in wanted.items()}
+    totals = {new: F.transform(F.col(cut[new]), lambda x: F.aggregate(x, start, lambda a, b: join(a, b))) for new in wanted}
+    frame = frame.withColumns(blocks).withColumns({ahead[new]: folded(totals[new], start) for new in wanted})
+    flat = {new: F.flatten(F.zip_with(F.col(cut[new]), F.col(ahead[new]), folded)) for new in wanted}
+    return frame.withColumns(flat).drop(*cut.values(), *ahead.values())
+
+
+def _spans(cut: str, starts: str) -> Column:
+    """The matches with positions and their surroundings; ``starts`` are the places of all parts."""
+    parts, places = F.col(cut), F.col(starts)
+
+    def span(i: Column) -> Column:
+        part, start = F.get(parts, i), F.get(places, i)
         before, after = F.right(F.get(parts, i - 1), F.lit(24)), F.left(F.get(parts, i + 1), F.lit(1))
-        own = F.struct(seen["at"].alias("start"), stop.alias("stop"), part.alias("value"), before.alias("before"), after.alias("after"))
-        found = F.when(i % 2 == 1, F.concat(seen["found"], F.array(own).cast(f"array<{SPAN}>"))).otherwise(seen["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
+        return F.struct(
+            start.alias("start"), (start + F.length(part)).alias("stop"), part.alias("value"), before.alias("before"), after.alias("after")
+        )
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step)
-    return F.when(F.size(parts) > 1, folded["found"]).otherwise(none)
+    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), span).cast(f"array<{SPAN}>")
+    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -140,7 +169,7 @@ def with_candidates(docs: DataFrame, text: str, to: str) -> DataFrame:
     plain = fresh(columns, "plain")
     found = docs.withColumn(plain, F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN))
     sources = [(k, True, STRICT[k]) for k in KINDS] + [(k, False, p) for k, p in LOOSE.items()]
-    cuts, spans = [], []
+    cuts = []
     for n, (kind, strict, pattern) in enumerate(sources):
         cut = fresh(columns, f"cut_{n}")
         # what every match needs spares most texts the pattern
@@ -150,11 +179,13 @@ def with_candidates(docs: DataFrame, text: str, to: str) -> DataFrame:
             needs = F.col(plain).contains("+") if (kind, strict) == ("phone", True) else F.col(plain).rlike("[0-9]")
         found = found.withColumn(cut, F.when(needs, _parts(F.col(plain), pattern)).otherwise(F.array(F.lit(""))))
         cuts.append(cut)
-    for n, cut in enumerate(cuts):
-        span = fresh(columns, f"span_{n}")
-        found = found.withColumn(span, _spans(F.col(cut)))
-        spans.append(span)
-    found = found.drop(plain, *cuts)
+    sizes = {fresh(columns, f"sizes_{n}"): cut for n, cut in enumerate(cuts)}
+    found = found.withColumns({size: F.transform(F.col(cut), F.length) for size, cut in sizes.items()})
+    starts = {fresh(columns, f"starts_{n}"): size for n, size in enumerate(sizes)}
+    found = with_running(found, starts, 0, lambda a, b: a + b)
+    spans = [fresh(columns, f"span_{n}") for n in range(len(cuts))]
+    found = found.withColumns({span: _spans(cut, start) for span, cut, start in zip(spans, cuts, starts, strict=True)})
+    found = found.drop(plain, *cuts, *sizes, *starts)
 
     def candidate(kind: str, strict: bool):
         def build(span: Column) -> Column:
@@ -173,16 +204,28 @@ def with_candidates(docs: DataFrame, text: str, to: str) -> DataFrame:
 
     every = [F.transform(F.col(s), candidate(k, strict)) for s, (k, strict, _) in zip(spans, sources, strict=True)]
     found = found.withColumn(to, F.concat(*every).cast(f"array<{CANDIDATE}>")).drop(*spans)
-    # loose spans are proposed where no base span lies, and card-like ones from 13 digits on
-    firm = fresh([*columns, to], "firm")
-    found = found.withColumn(firm, F.filter(F.col(to), lambda c: c["base"]))
-
-    def open_place(c: Column) -> Column:
-        clash = F.exists(F.col(firm), lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    # Loose spans are proposed where no base span lies, and card-like ones from 13 digits on. In order
+    # of their starts, a span meets a base span if one before it stops later or one after it starts earlier.
+    taken = [*columns, to]
+    stops, upto, later, starts = (fresh(taken, n) for n in ("stops", "upto", "later", "base_starts"))
+    by_place = lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c.alias("c"))
+    found = found.withColumn(to, F.transform(F.array_sort(F.transform(F.col(to), by_place)), lambda p: p["c"]))
+    base_stop = F.transform(F.col(to), lambda c: F.when(c["base"], c["stop"]).otherwise(0))
+    base_start = F.transform(F.reverse(F.col(to)), lambda c: F.when(c["base"], c["start"]).otherwise(FAR))
+    found = found.withColumns({stops: base_stop, starts: base_start})
+    found = with_running(found, {upto: stops}, 0, F.greatest)
+    found = with_running(found, {later: starts}, FAR, F.least)
+    # side by side, as a column that a lambda takes from outside may be computed anew for each element
+    beside = F.zip_with(F.col(to), F.col(upto), lambda c, u: F.struct(c.alias("c"), u.alias("upto")))
+    beside = F.zip_with(beside, F.reverse(F.col(later)), lambda t, n: F.struct(t["c"].alias("c"), t["upto"].alias("upto"), n.alias("next")))
+
+    def open_place(t: Column) -> Column:
+        c = t["c"]
+        clash = (t["upto"] > c["start"]) | (t["next"] < c["stop"])
         long_enough = (c["kind"] != KINDS.index("card")) | (c["stop"] - c["start"]).between(13, 40)
         return c["base"] | (long_enough & ~clash)
 
-    return found.withColumn(to, F.filter(F.col(to), open_place)).drop(firm)
+    return found.withColumn(to, F.transform(F.filter(beside, open_place), lambda t: t["c"])).drop(stops, upto, later, starts)
 
 
 @dataclass
@@ -300,16 +343,16 @@ def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") ->
         around = F.array_join(F.slice(F.col(pieces), first + 1, F.greatest(number, F.lit(0))), "")
         return F.when(stop > start, F.substring(around, start - first * PIECE + 1, stop - start)).otherwise("")
 
-    def step(seen: Column, s: Column) -> Column:
-        gap = F.concat(between(seen["at"], s["start"]), F.get(names, s["kind"]))
-        out = F.when(s["start"] >= seen["at"], F.concat(seen["out"], F.array(gap))).otherwise(seen["out"])
-        return F.struct(F.greatest(seen["at"], s["stop"]).alias("at"), out.alias("out"))
+    stops, upto, last = (fresh(placed.columns, n) for n in ("stops", "upto", "last"))
+    placed = placed.withColumn(stops, F.transform(F.col(spans), lambda s: s["stop"]))
+    placed = with_running(placed, {upto: stops}, 0, F.greatest)
+    placed = placed.withColumn(last, F.coalesce(F.array_max(F.col(stops)), F.lit(0)))
+
+    def replaced(s: Column, at: Column) -> Column:
+        return F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.get(names, s["kind"]))).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    folded = fresh(placed.columns, "folded")
-    placed = placed.withColumn(folded, F.aggregate(F.col(spans), start, step))
-    rest = F.concat(F.array_join(F.col(folded)["out"], ""), between(F.col(folded)["at"], F.length(F.col(text))))
+    rest = F.concat(F.array_join(F.zip_with(F.col(spans), F.col(upto), replaced), ""), between(F.col(last), F.length(F.col(text))))
     clean = F.when(F.size(spans) > 0, rest).otherwise(F.col(text))
-    done = placed.withColumn(text, clean).drop(spans, pieces, folded)
+    done = placed.withColumn(text, clean).drop(spans, pieces, stops, upto, last)
     counted = size and size.lower() in {c.lower() for c in docs.columns}
     return done.withColumn(size, F.length(text).cast(docs.schema[size].dataType)) if counted else done

@@ -113,3 +113,24 @@ def test_redaction_of_awkward_rows(spark):
     assert by_id[12].n_chars == len(by_id[12].text)
     assert by_id[3].text is None and by_id[1].text == TEXTS[0] and by_id[9].text == TEXTS[8]
     assert redact(empty(spark)).count() == 0
+
+
+def test_running_folds(spark):
+    rows = [(n, [(i * 37) % 11 for i in range(n)]) for n in (0, 1, 2, 127, 128, 129, 300, 1000)]
+    frame = spark.createDataFrame(rows, "n int, v array<int>")
+    got = pii.with_running(pii.with_running(frame, {"total": "v"}, 0, lambda a, b: a + b), {"top": "v", "blocks_0": "v"}, 0, F.greatest)
+    assert got.columns == ["n", "v", "total", "top", "blocks_0"]
+    for r in got.collect():
+        assert r.total == [sum(r.v[:i]) for i in range(r.n)]
+        assert r.top == r.blocks_0 == [max([0, *r.v[:i]]) for i in range(r.n)]
+
+
+def test_loose_spans_beside_base_spans(spark):
+    """Which loose spans stay, against testing every pair."""
+    texts = ["call 437-555-0689, or +1 437-555-0689; 4111-1111-1111-1111 x me (at) here.org a@b.com " * n for n in (1, 3, 60)]
+    marked = with_candidates(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "c")
+    for r in marked.collect():
+        base = [(c.start, c.stop) for c in r.c if c.base]
+        assert base and all(c.base or not any(a < c.stop and c.start < b for a, b in base) for c in r.c)
+        n = r.text.count("me (at)")
+        assert sum(not c.base for c in r.c) >= 2 * n and sum(c.base for c in r.c) >= 2 * n
