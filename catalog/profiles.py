@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,11 @@ from tablecare.functions.masking import mask_structural, mask_table
 from tablecare.operators.calibrate import calibrate, calibrated_bounds, suite_frame
 from tablecare.operators.profile import exact_medians, profile
 from tablecare.operators.report import CATEGORIES, OTHER_CATEGORY, diagnose, evidence, failure_report
+from tablecare.operators.sizing import scratch_path
+from tablecare.operators.sketches import SketchStore
 from tablecare.operators.validate import validate
+from tablecare.sources.scan import scan_baseline
+from tablecare.sources.sinks import append_report, read_report
 from tablecare.spec import EMAIL_REGEX
 
 # Spark type names of the SQL types in use.
@@ -298,3 +304,63 @@ def evidence_read_back(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+
+
+# -- kept sketches, written baseline, written reports --------------------------------------
+
+SKETCHED = ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+
+
+@query(
+    "profile_sketches",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) - count({c}) AS BIGINT) AS null_count,
+ {f"CAST(min({c}) AS DOUBLE)" if c in ("l_orderkey", "l_quantity", "l_extendedprice") else "CAST(NULL AS DOUBLE)"} AS min_num,
+ {f"CAST(max({c}) AS DOUBLE)" if c in ("l_orderkey", "l_quantity", "l_extendedprice") else "CAST(NULL AS DOUBLE)"} AS max_num,
+ TRUE AS distinct_near, TRUE AS median_near FROM lineitem"""
+        for c in SKETCHED
+    ),
+)
+def profile_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches leave sketches; merged, their counts are exact and the rest is within its bounds."""
+    lines = table(spark, sf, "lineitem").select(*SKETCHED)
+    store = SketchStore(spark, scratch_path(spark, "sketches"), "lineitem")
+    for batch in range(3):
+        store.add(lines.filter(F.col("l_orderkey") % 3 == batch), f"batch-{batch}")
+    store.add(lines.filter(F.col("l_orderkey") % 3 == 2), "batch-2")  # again: replaces itself
+    rows = []
+    for p in store.profiles():
+        exact = lines.agg(F.count_distinct(p.column).alias("d")).first()["d"]
+        near = True
+        if p.median is not None:
+            middle = F.lit(p.median).cast(lines.schema[p.column].dataType)
+            ranks = lines.agg(F.avg((F.col(p.column) < middle).cast("int")).alias("a"), F.avg((F.col(p.column) <= middle).cast("int")).alias("b")).first()
+            near = ranks["a"] <= 0.54 and ranks["b"] >= 0.46
+        rows.append((p.column, p.row_count, p.null_count, p.min_num, p.max_num, abs(p.distinct_count - exact) <= 0.08 * exact + 1, near))
+    return spark.createDataFrame(
+        rows, "column string, row_count bigint, null_count bigint, min_num double, max_num double, distinct_near boolean, median_near boolean"
+    )
+
+
+@query("calibrate_baseline_path", f"WITH {DIRTY_SQL}\n" + "\nUNION ALL\n".join(SUITE_ROWS))
+def calibrate_baseline_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The suite from a baseline that lies under the spec's path."""
+    path = scratch_path(spark, "baseline")
+    base(spark, sf).select(*ORDER_COLUMNS).write.parquet(path)
+    spec = dataclasses.replace(ORDERS, fmt="parquet", options={}, baseline_path=path)
+    return calibrated_bounds(suite_frame(spark, calibrate(scan_baseline(spark, spec), spec)))
+
+
+@query(
+    "report_read_back",
+    f"""WITH {DIRTY_SQL} SELECT 'run-' || CAST(k % 3 AS VARCHAR) AS run_id, payment_method, CAST(count(*) AS BIGINT) AS rows,
+ min(order_amount) AS low FROM dirty GROUP BY ALL""",
+)
+def report_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of three runs, appended one after the other and read back, one of them by its run."""
+    root = scratch_path(spark, "reports")
+    for run_id in range(3):
+        rows = dirty(spark, sf).filter(F.col("k") % 3 == run_id).groupBy("payment_method")
+        append_report(rows.agg(F.count(F.lit(1)).alias("rows"), F.min("order_amount").alias("low")), root, "methods", f"run-{run_id}")
+    one, all_runs = read_report(spark, root, "methods", "run-1"), read_report(spark, root, "methods")
+    return one.unionByName(all_runs.filter("run_id <> 'run-1'")).select("run_id", "payment_method", "rows", "low")

@@ -17,6 +17,7 @@ from tablecare.operators.gates import Snapshot, snapshot
 from tablecare.operators.profile import profile_columns, profiles_frame
 from tablecare.operators.report import diagnose, evidence, failure_report
 from tablecare.operators.sizing import durable
+from tablecare.operators.sketches import SketchStore
 from tablecare.operators.validate import REASONS, Tables, measures_frame, validate
 from tablecare.plans.loop import LoopOutcome, RuleProposer, heal
 from tablecare.plans.registry import Registry
@@ -62,6 +63,7 @@ def run(
     source_column: str | None = None,
     key_ledger: KeyLedger | None = None,
     batch_id: str | None = None,
+    sketches: SketchStore | None = None,
 ) -> RunResult:
     """Calibrate once, replay accepted repairs, validate, report, repair, split and record.
 
@@ -72,7 +74,8 @@ def run(
     With ``source_column`` every row carries its file, and a report counts rows per file. With a
     ``key_ledger`` and the ``batch_id``, rows whose key an earlier batch brought go to quarantine,
     and the batch's keys are committed at the end. Rows that repairs route aside go to a side
-    table under the run.
+    table under the run. With a sketch store the batch leaves a mergeable profile of its columns
+    as they came in.
     """
     options = (options or RunOptions()).resolve(spec)
     out_root = out_root.rstrip("/")
@@ -109,6 +112,8 @@ def run(
         metadata["fixes_replayed"] = len(replay.applied)
         df = replay.df
 
+        if sketches is not None:
+            sketches.add(df, batch_id or run_id, [f.name for f in spec.fields(df.schema)])
         initial = snapshot(df, rules, tables)
         metadata |= {
             "phase_reached": "validated",
@@ -197,7 +202,10 @@ class _Closing:
 def _write_failure_reports(spark, df, rules, spec, initial, options, out_root, run_id, tables) -> None:
     measures = list(initial.measures.values())
     result = measures_frame(spark, measures)
-    profiles = profile_columns(df, [f.name for f in spec.fields(df.schema)])
+    # the report shows the columns of failed rules, so no other is profiled
+    asked = {c for m in measures if not m.success for c in m.rule.columns}
+    names = [f.name for f in spec.fields(df.schema) if f.name in asked]
+    profiles = profile_columns(df, names, options.profile_distinct, options.profile_median)
     report = failure_report(
         df, rules, spec, measures, None, profiles, options.max_sample_rows, options.mask_pii, tables, initial.keys
     )

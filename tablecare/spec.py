@@ -73,12 +73,18 @@ class RunOptions:
     mask_pii: bool = True
     # rows that no other repair settles are routed to a side table
     quarantine_failures: bool = False
+    # how a run profiles the columns of failed rules: ``exact``, or ``approx`` within one scan
+    profile_distinct: str = "exact"
+    profile_median: str = "exact"
 
     def resolve(self, spec: TableSpec) -> RunOptions:
         unknown = set(spec.overrides) - set(self.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown run options in spec '{spec.name}': {sorted(unknown)}")
         merged = replace(self, **spec.overrides)
+        for mode in (merged.profile_distinct, merged.profile_median):
+            if mode not in ("exact", "approx", "none"):
+                raise ValueError(f"unknown profile mode '{mode}'")
         for mode in (merged.fix_promotion, merged.rule_promotion):
             if mode not in ("auto", "manual"):
                 raise ValueError(f"promotion mode must be 'auto' or 'manual', not '{mode}'")

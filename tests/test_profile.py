@@ -6,13 +6,14 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from catalog.fixture import dirty
 from tablecare.functions.masking import mask_structural, mask_table, pii_columns
 from tablecare.operators.profile import distinct_counts, exact_medians, profile_columns
 from tablecare.operators.quantiles import exact_quantiles
+from tablecare.operators.sketches import SketchStore, column_sketches
 from tablecare.spec import RuleError
-from pyspark.sql import functions as F
 
 
 def lower_quantile(values, q):
@@ -104,3 +105,38 @@ def test_only_hinted_text_is_masked(spark):
     df = spark.createDataFrame([("ORD-000010", "jane@example.com", 42.5, 7)], "order_id string, customer_email string, amount double, phone int")
     assert pii_columns(df.schema) == ["customer_email", "phone"]
     assert tuple(mask_table(df).first()) == ("ORD-000010", "xxxx@xxxxxxx.xxx", 42.5, 7)
+
+
+# -- sketches ------------------------------------------------------------------------------
+
+
+def test_sketches_merge_to_the_profile_of_all_rows(spark, tmp_path):
+    df = spark.range(0, 40_000).selectExpr(
+        "id", "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 1000 AS DOUBLE) END AS x", "concat('v', id % 7) AS s",
+        "timestamp_micros(id * 1000000) AS t", "CASE WHEN id % 4 = 0 THEN DOUBLE('NaN') ELSE 1D END AS nan", "CAST(NULL AS INT) AS nothing",
+    )
+    store = SketchStore(spark, str(tmp_path), "t")
+    assert store.profiles() == []
+    for i in range(5):
+        store.add(df.filter(f"id % 5 = {i}"), f"b{i}")
+    store.add(df.filter("id < 0"), "empty")
+    got = {p.column: p for p in store.profiles()}
+    want = {p.column: p for p in profile_columns(df)}
+    assert set(got) == set(want)
+    for name, p in got.items():
+        w = want[name]
+        same = ("dtype", "row_count", "null_count", "null_ratio", "min_num", "max_num", "min_ts", "max_ts")
+        assert [getattr(p, f) for f in same] == [getattr(w, f) for f in same], name
+        assert p.mean_num == pytest.approx(w.mean_num) and abs(p.distinct_count - w.distinct_count) <= 0.06 * w.distinct_count
+    assert abs(got["x"].median_num - want["x"].median_num) <= 40 and got["nothing"].median is None
+    seconds = lambda text: spark.sql(f"SELECT unix_seconds(TIMESTAMP '{text}')").first()[0]
+    assert abs(seconds(got["t"].median_ts) - 20_000) <= 0.04 * 40_000
+    store.add(df.filter("id % 5 = 0"), "b0")
+    assert {p.column: p.row_count for p in store.profiles()}["id"] == 40_000
+    assert {p.column: p.row_count for p in store.profiles(["b0"])}["id"] == 8_000
+
+
+def test_sketches_take_one_scan_and_no_key_shuffle(spark, sf_dir):
+    plan = column_sketches(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_returnflag"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "hashpartitioning" not in text and "l_shipdate" not in text
