@@ -12,8 +12,18 @@ from tablecare.functions.typed import all_of, col
 from tablecare.operators.keyflags import BadKeys
 from tablecare.operators.profile import ColumnProfile, profile_columns, profiles_frame
 from tablecare.operators.sizing import MAX_BROADCAST_BYTES, ROW_OVERHEAD_BYTES, durable, payload_bytes
-from tablecare.operators.validate import REASONS, Measure, Tables, attribute, measure, measures_frame
-from tablecare.spec import DEFAULT_SAMPLE_ROWS, Rule, TableSpec
+from tablecare.operators.validate import (
+    REASONS,
+    Measure,
+    Tables,
+    attribute,
+    bad_keys,
+    judged_by_keys,
+    measures_frame,
+    measures_of,
+    validate,
+)
+from tablecare.spec import DEFAULT_SAMPLE_ROWS, Rule, TableSpec, dedupe_rules
 
 # Diagnosis categories.
 CATEGORIES = {
@@ -54,9 +64,9 @@ def sample_failures(
     """At most ``max_rows`` rows per reason, smallest keys first: ``reason``, ``rank``, row columns.
 
     Reason, key and a digest of the row are ranked in two rounds, first per reason and task group,
-    so a rule broken by a third of the table fills no task at any ``max_rows``. Wide rows only
-    meet the winners, whose size is measured before they are broadcast; equal rows count as often
-    as they occur and are fetched once.
+    so a rule broken by a third of the table fills no task at any ``max_rows``. Failing rows are
+    written once, in place; wide ones only meet the winners, whose size is measured before they are
+    broadcast. Equal rows count as often as they occur and are fetched once.
     """
     columns = list(columns or [c for c in flagged.columns if c != reasons])
     hinted = set(pii_columns(flagged.schema, columns)) if mask else set()
@@ -67,6 +77,7 @@ def sample_failures(
         *[col(k).alias(n) for k, n in zip(primary_key, keys, strict=True)],
         *[col(c) for c in columns],
     )
+    failing = durable(failing, "failing")  # the rules are evaluated once; below, few columns are read
     narrow = failing.select(
         F.explode(reasons).alias("reason"), "__tie", *keys, F.pmod(F.spark_partition_id(), F.lit(SAMPLE_SALTS)).alias("__salt")
     )
@@ -159,12 +170,18 @@ def failure_report(
     """
     spark = df.sparkSession
     names = [f.name for f in spec.fields(df.schema)]
-    measures = measure(df, rules, tables) if measures is None else measures
+    if measures is None:
+        rules = dedupe_rules(rules)
+        kept = {**(kept or {}), **{r.rule_id: bad_keys(df, r, tables) for r in rules if judged_by_keys(r) and r.rule_id not in (kept or {})}}
+        measures = measures_of(rules, validate(df, rules, tables, kept=kept).collect())
     result = measures_frame(spark, measures)
     if flagged is None:
         failed = [m.rule for m in measures if not m.success]
         flagged = attribute(df, rules, failed, tables, label="rule_id", kept=kept)
-    profiles = profile_columns(df, names) if profiles is None else profiles
+    if profiles is None:
+        # a profile stands beside each failed rule on one column
+        asked = {m.rule.column for m in measures if not m.success}
+        profiles = profile_columns(df, [n for n in names if n in asked])
 
     profile_rows = profiles_frame(spark, profiles)
     described = profile_rows.select("column", "dtype", F.struct(*profile_rows.columns).alias("profile"))
