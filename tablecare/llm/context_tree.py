@@ -8,17 +8,21 @@ Because block probabilities depend on counts alone, they come from one distribut
 sequences, whatever the order of the texts; the weights of all depths along a path then give the
 probability of the next byte, and its logarithm the code length.
 
-The corpus counts cover all training texts. The tree keeps the ``max_contexts`` most frequent
-contexts or slightly fewer (the size of the model, as a parameter); what lies below a kept
-context without a node of its own is one leaf that counts the rest. Words are known by 64-bit
-hash. Base scores look frequent words up in a bounded table and join all others to the counts.
+The tree keeps every context of the training texts, so it grows with them. It is a table of
+(byte with its context, log10 of its probability) for all that occur in any text, computed by
+subtrees: all contexts that share their last two bytes lie in one task, which works through them
+pair by pair; the two depths above are 256 by 255 binary decisions on the driver, whatever the
+size of the corpus. Frequent entries are looked up in a bounded broadcast, all others by a join;
+words for the base scores go the same way. Words are known by 64-bit hash.
 
 Null and empty texts score the end symbol alone. Rows need no unique ids. Without training texts
-every byte has probability 1/256.
+every byte has probability 1/256. Columns other than the id and the text are not read, so extra
+columns of any name do no harm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.frames import durable
-from tablecare.llm.textnum import Words, each_chunk
+from tablecare.llm.textnum import Words, each_chunk, mix
 
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8
 WORDS, GRAMS = 0, 1
 FLUSH = 2_000_000
 BINS_PER_DOUBLING = 16
+TOP = 2  # contexts of this many bytes are the roots of the subtrees
+SLICE = 400_000  # entries of whole subtrees that are worked on at a time
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +72,11 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+    return keys[start], np.add.reduceat(counts, start, axis=0) if len(start) else counts
 
 
 def _counted(depth: int):
-    """Per task, how often it holds each word and each byte with its context."""
+    """Per task, how often it holds each word and each byte with its context: in all texts, and in those to learn from."""
 
     def counts(batches):
         held = {WORDS: [], GRAMS: []}
@@ -84,17 +90,16 @@ def _counted(depth: int):
             if len(keys) > FLUSH or least == 0:
                 held[kind] = []
                 kinds = pa.array(np.full(len(keys), kind, np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [kinds, pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "key", "n"]
-                )
-
-        for _, words in each_chunk(batches, "text"):
-            out, _, place = stream(words)
-            key = out.astype(np.uint64)
-            for k in range(1, depth + 1):
-                key |= context_byte(out, place, k).astype(np.uint64) << np.uint64(8 * k)
-            for kind, values in ((WORDS, words.hash), (GRAMS, key)):
-                held[kind].append(_merged(values, np.ones(len(values), np.int64)))
+                numbers = [pa.array(np.ascontiguousarray(v)) for v in (keys.view(np.int64), n[:, 0], n[:, 1])]
+                yield pa.RecordBatch.from_arrays([kinds, *numbers], names=["kind", "key", "seen", "n"])
+
+        for batch, words in each_chunk(batches, "text"):
+            learned = batch.column(batch.schema.get_field_index("training")).to_numpy(zero_copy_only=False).astype(np.int64)
+            out, start, place = stream(words)
+            key = grams_of(out, place, depth)
+            for kind, values, first in ((WORDS, words.hash, words.first), (GRAMS, key, np.append(start, len(out)))):
+                marks = np.repeat(learned, np.diff(first))
+                held[kind].append(_merged(values, np.stack([np.ones(len(values), np.int64), marks], axis=1)))
                 yield from flush(kind, FLUSH)
         for kind in (WORDS, GRAMS):
             yield from flush(kind, 0)
@@ -102,6 +107,14 @@ def _counted(depth: int):
     return counts
 
 
+def grams_of(out: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Every byte with its context: the byte itself lowest, the byte ``k`` places before it at bit ``8 k``."""
+    key = out.astype(np.uint64)
+    for k in range(1, depth + 1):
+        key |= context_byte(out, place, k).astype(np.uint64) << np.uint64(8 * k)
+    return key
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """The logarithm of the gamma function for x >= 1/2, by Stirling's series at x + 6."""
     y = x + 6
@@ -110,96 +123,216 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at the 255 inner nodes of a byte's binary tree (node 0 is unused)."""
-    nodes = np.zeros((len(counts), 512))
-    nodes[:, 256:] = counts
-    for lo in (128, 64, 32, 16, 8, 4, 2, 1):
-        nodes[:, lo : 2 * lo] = nodes[:, 2 * lo : 4 * lo : 2] + nodes[:, 2 * lo + 1 : 4 * lo : 2]
-    return nodes[:, 0:512:2], nodes[:, 1:512:2]
-
-
 def _block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The log of the Krichevsky-Trofimov probability of a block with these counts."""
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
+def nearest_first(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The keys with the nearest context byte highest and the byte itself lowest, so that subtrees are ranges."""
+    out = keys & np.uint64(255)
+    for k in range(1, depth + 1):
+        out |= (keys >> np.uint64(8 * k) & np.uint64(255)) << np.uint64(8 * (depth - k + 1))
+    return out
+
+
 @dataclass
-class ContextTree:
-    """``child[node, byte]`` is the node one byte further back (0: none); ``log10_p[node, byte]`` the
-    probability of a byte where the walk back ends at a node."""
-
-    child: np.ndarray
-    log10_p: np.ndarray
-    depth: int
-
-
-def build_tree(depth_of: np.ndarray, context: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
-    """The tree from the kept contexts (parents included) and their counts per next byte."""
-    n = len(context)
-    order = np.lexsort((context, depth_of))
-    depth_of, context, counts = depth_of[order], context[order], counts[order].astype(np.float64)
-    place = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(depth_of, context, strict=True))}
-    parent = np.zeros(n, np.int64)
-    child = np.zeros((n, 256), np.int32)
-    for i in range(1, n):
-        d, c = int(depth_of[i]), int(context[i])
-        parent[i] = place[d - 1, c & ((1 << (8 * (d - 1))) - 1)]
-        child[parent[i], c >> (8 * (d - 1))] = i
-    inner = child.any(axis=1)
-    rest = counts.copy()
-    np.subtract.at(rest, parent[1:], counts[1:])
-    below = np.zeros((n, 256))
-    own = np.ones((n, 256), np.float32)  # weight of the node itself against all that is longer
-    one = np.zeros((n, 256), np.float32)  # its estimate for a one
-    for d in range(depth, -1, -1):
-        level = np.flatnonzero(depth_of == d)
-        for part in np.array_split(level, max(1, len(level) // 2048)):
-            zeros, ones = _bits(counts[part])
-            one[part] = (ones + 0.5) / (zeros + ones + 1)
-            block = _block(zeros, ones)
-            mixed = block.copy()
-            split = inner[part]
-            if split.any():
-                longer = below[part[split]] + _block(*_bits(rest[part[split]]))
-                mixed[split] = np.logaddexp(block[split], longer) - np.log(2)
-                own[part[split]] = np.exp(block[split] - np.log(2) - mixed[split])
-            if d:
-                np.add.at(below, parent[part], mixed)
-    left = np.ones((n, 256), np.float32)  # weight that is left for what is longer than the parent
-    seen = np.zeros((n, 256), np.float32)
-    seen[0] = own[0] * one[0]
-    for d in range(1, depth + 1):
-        level = np.flatnonzero(depth_of == d)
-        up = parent[level]
-        left[level] = left[up] * (1 - own[up])
-        seen[level] = seen[up] + left[level] * own[level] * one[level]
-    ends = np.flatnonzero(inner)
-    zeros, ones = _bits(rest[ends])
-    seen[ends] += left[ends] * (1 - own[ends]) * (ones + 0.5) / (zeros + ones + 1)
-    p = np.clip(seen, 1e-9, 1 - 1e-6).astype(np.float64)
-    reach = np.zeros((n, 512), np.float32)
-    for lo in (1, 2, 4, 8, 16, 32, 64, 128):
-        reach[:, 2 * lo : 4 * lo : 2] = reach[:, lo : 2 * lo] + np.log10(1 - p[:, lo : 2 * lo])
-        reach[:, 2 * lo + 1 : 4 * lo : 2] = reach[:, lo : 2 * lo] + np.log10(p[:, lo : 2 * lo])
-    return ContextTree(child, np.ascontiguousarray(reach[:, 256:]), depth)
-
-
-def text_scores(words: Words, tree: ContextTree) -> np.ndarray:
-    """log10 of the probability of each text of a chunk."""
-    out, start, place = stream(words)
-    state = np.zeros(len(out), np.int32)
-    on = np.arange(len(out))
-    for k in range(1, tree.depth + 1):
-        step = tree.child[state[on], context_byte(out, place, k)[on]]
-        on, step = on[step > 0], step[step > 0]
-        state[on] = step
-    return np.add.reduceat(tree.log10_p[state, out].astype(np.float64), start) if len(out) else np.zeros(0)
+class Nodes:
+    """The binary decisions of one bit place in all contexts of one length."""
+
+    of: np.ndarray  # the decision that an entry (context, byte) takes part in
+    first: np.ndarray  # a decision's first entry
+    up: np.ndarray  # the same decision in the context one byte shorter
+    zeros: np.ndarray
+    ones: np.ndarray
+    mixed: np.ndarray  # log of the weighted block probability
+    own: np.ndarray  # weight of the context itself against all that are longer
+
+    @property
+    def one(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted block probability (log) of inner nodes and the weight of their own estimates."""
+    block = _block(zeros, ones)
+    mixed = np.logaddexp(block, below) - np.log(2)
+    return mixed, np.exp(block - np.log(2) - mixed)
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For context lengths ``depth`` down to ``TOP``: sorted entries, their counts, and their places one length up."""
+    out = []
+    for d in range(depth, TOP - 1, -1):
+        shorter = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+        up_keys, up = np.unique(shorter, return_inverse=True) if d > TOP else (keys, np.arange(len(keys)))
+        out.append((keys, n, up))
+        keys, n = up_keys, np.bincount(up, n, len(up_keys))
+    return out
+
+
+def bit_place(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], j: int) -> list[Nodes]:
+    """The decisions on bit ``j`` (0: highest) of a byte, from the longest contexts up, weighted bottom-up."""
+    cut = []
+    for keys, _, _ in levels:
+        group = keys >> np.uint64(8 - j)
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        cut.append((np.cumsum(new) - 1, np.flatnonzero(new)))
+    out, below = [], None
+    for i, (keys, n, up) in enumerate(levels):
+        of, first = cut[i]
+        total = np.add.reduceat(n, first)
+        ones = np.add.reduceat(n * (keys >> np.uint64(7 - j) & np.uint64(1)), first)
+        if below is None:
+            mixed, own = _block(total - ones, ones), np.ones(len(first))
+        else:
+            mixed, own = weigh(total - ones, ones, below)
+        parent = cut[i + 1][0][up[first]] if i + 1 < len(levels) else first
+        out.append(Nodes(of, first, parent, total - ones, ones, mixed, own))
+        if i + 1 < len(levels):
+            below = np.bincount(parent, mixed, len(cut[i + 1][1]))
+    return out
+
+
+def _root_places(levels, nodes: list[Nodes], j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last byte and the decision (1 to 255, as in a heap) of the shortest contexts' nodes."""
+    keys = levels[-1][0][nodes[-1].first]
+    return (keys >> np.uint64(16)).astype(np.int64), ((keys & np.uint64(255)) >> np.uint64(8 - j) | np.uint64(1 << j)).astype(np.int64)
+
+
+def subtree_roots(keys: np.ndarray, n: np.ndarray, depth: int) -> list[np.ndarray]:
+    """(last byte, decision, zeros, ones, mixed) of all contexts of two bytes, from whole subtrees in sorted order."""
+    levels = _levels(keys, n, depth)
+    parts = []
+    for j in range(8):
+        nodes = bit_place(levels, j)
+        parts.append((*_root_places(levels, nodes, j), nodes[-1].zeros, nodes[-1].ones, nodes[-1].mixed))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+@dataclass
+class Trunk:
+    """For every last byte and decision: the estimate of a one from contexts of 0 and 1 bytes, and the weight left for longer ones."""
+
+    seen: np.ndarray
+    left: np.ndarray
+
+
+def trunk(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Trunk:
+    """From counts and block probabilities (last byte, decision) of the contexts of one byte."""
+    mixed, own = weigh(zeros, ones, below)
+    one = (ones + 0.5) / (zeros + ones + 1)
+    z, o = zeros.sum(axis=0), ones.sum(axis=0)
+    _, root = weigh(z, o, mixed.sum(axis=0))
+    return Trunk(root * (o + 0.5) / (z + o + 1) + (1 - root) * own * one, (1 - root) * (1 - own))
+
+
+def entry_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: Trunk) -> np.ndarray:
+    """log10 of the probability of every entry (context, byte) of whole subtrees in sorted order."""
+    levels = _levels(keys, n, depth)
+    out = np.zeros(len(keys))
+    for j in range(8):
+        nodes = bit_place(levels, j)
+        place = _root_places(levels, nodes, j)
+        seen, left = top.seen[place], top.left[place]
+        for i in range(len(nodes) - 1, -1, -1):
+            at = nodes[i]
+            if i + 1 < len(nodes):
+                seen, left = seen[at.up], left[at.up]
+            seen = seen + left * at.own * at.one
+            left = left * (1 - at.own)
+        p = np.clip(seen, 1e-15, 1 - 1e-15)[nodes[0].of]
+        out += np.log10(np.where(keys >> np.uint64(7 - j) & np.uint64(1), p, 1 - p))
+    return out
+
+
+def _subtrees(batches, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys as given and nearest first, and training counts, of some whole subtrees at a time."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    given, n = (np.concatenate(v) for v in zip(*parts, strict=True))
+    keys = nearest_first(given.view(np.uint64), depth)
+    order = np.argsort(keys)
+    given, keys, n = given[order], keys[order], n[order].astype(np.float64)
+    root = keys >> np.uint64(8 * (depth - TOP + 1))
+    ends = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(keys))
+    lo = 0
+    while lo < len(keys):
+        fits = ends[(ends > lo) & (ends <= lo + SLICE)]
+        hi = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, lo, "right")])
+        yield given[lo:hi], keys[lo:hi], n[lo:hi]
+        lo = hi
+
+
+def _rooted(depth: int):
+    def roots(batches):
+        for _, keys, n in _subtrees(batches, depth):
+            last, node, *numbers = subtree_roots(keys, n, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (last, node, *numbers)], names=["last", "node", "zeros", "ones", "mixed"])
+
+    return roots
+
+
+def _entries(depth: int, shared):
+    def entries(batches):
+        for given, keys, n in _subtrees(batches, depth):
+            values = entry_scores(keys, n, depth, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(given), pa.array(values)], names=["key", "value"])
+
+    return entries
+
+
+def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, value): log10 of the probability of each byte in its context, from counts (key, n); n may be 0."""
+    if not TOP <= depth <= 7:
+        raise ValueError(f"depth must lie between {TOP} and 7")
+    root = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    dealt = grams.select("key", "n").repartition(root)
+    roots = dealt.mapInArrow(_rooted(depth), "last long, node long, zeros double, ones double, mixed double")
+    # at most 256 last bytes by 255 decisions
+    sums = roots.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "mixed"))).toArrow()
+    last, node, *numbers = (sums.column(c).to_numpy() for c in ("last", "node", "zeros", "ones", "mixed"))
+    tables = [np.zeros((256, 256)) for _ in numbers]
+    for table, values in zip(tables, numbers, strict=True):
+        table[last, node] = values
+    shared = grams.sparkSession.sparkContext.broadcast(trunk(*tables))
+    return dealt.mapInArrow(_entries(depth, shared), "key long, value double")
+
+
+class Lookup:
+    """Values of 64-bit keys in a few hashed tables without chains; what finds no place is left out."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, levels: int = 5):
+        self.tables = []
+        for level in range(levels):
+            bits = max(1, int(len(keys)).bit_length())
+            table, value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
+            at = self._slots(keys, level, bits)
+            table[at], value[at] = keys, values
+            self.tables.append((bits, table, value))
+            out = table[at] != keys
+            keys, values = keys[out], values[out]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return (mix(keys + np.uint64(level)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where it is not held."""
+        out = np.full(len(keys), np.nan)
+        on, asked = np.arange(len(keys)), keys
+        for level, (bits, table, value) in enumerate(self.tables):
+            at = self._slots(asked, level, bits)
+            same = table[at] == asked
+            out[on[same]] = value[at[same]]
+            on, asked = on[~same], asked[~same]
+        return out
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest ``n``, at most ``most``; rows of about equal ``n`` come together or not at all."""
-    size = F.floor(F.log2("n") * BINS_PER_DOUBLING).cast("int")
+    """The rows with the largest ``seen``, at most ``most``; rows of about equal ``seen`` come together or not at all."""
+    size = F.floor(F.log2("seen") * BINS_PER_DOUBLING).cast("int")
     bins = counts.groupBy(size.alias("bin")).agg(F.count("*").alias("rows")).orderBy(F.desc("bin")).collect()
     kept, least = 0, None
     for r in bins:
@@ -210,53 +343,36 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(size >= least) if least is not None else counts.limit(0)
 
 
-def _per_depth(grams: DataFrame, depth: int) -> DataFrame:
-    """(depth, context, byte, n) of every count, for all context lengths."""
-    mask = lambda d: (1 << (8 * d)) - 1
-    context = F.shiftrightunsigned("key", 8)
-    rows = F.array(*(F.struct(F.lit(d).alias("depth"), context.bitwiseAND(F.lit(mask(d))).alias("context")) for d in range(depth + 1)))
-    return grams.select(F.explode(rows).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").select("c.*", "byte", "n")
-
-
-def fit_context_tree(grams: DataFrame, depth: int = DEPTH, max_contexts: int = 16_384) -> ContextTree:
-    """The tree from counts (key, n) of bytes with their contexts."""
-    rows = _per_depth(grams, depth)
-    kept = durable(_most_frequent(rows.groupBy("depth", "context").agg(F.sum("n").alias("n")), max_contexts), "contexts")
-    # at most max_contexts rows of 20 bytes
-    chosen = F.broadcast(kept.select("depth", "context"))
-    found = rows.join(chosen, ["depth", "context"]).groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")).toArrow()
-    d, c, b, n = (found.column(k).to_numpy() for k in range(4))
-    if not len(d):
-        d, c, b, n = (np.zeros(1, np.int64) for _ in range(4))
-    nodes, at = np.unique(d.astype(np.int64) << 48 | c, return_inverse=True)
-    counts = np.zeros((len(nodes), 256))
-    counts[at, b] = n
-    return build_tree(nodes >> 48, nodes & ((1 << 48) - 1), counts, depth)
-
-
-def _scored(shared, top_words: np.ndarray, top_scores: np.ndarray, end_score: float, end_known: bool):
-    """Per text: tokens, the base score of its frequent words, its model score, and the other words with their counts."""
+def _scored(shared, end_score: float, end_known: bool, depth: int):
+    """Per text: tokens, the scores of its frequent words and bytes, and its other words (with their counts) and bytes."""
 
     def scores(batches):
-        tree = shared.value
+        top_words, top_scores, top_known, top_grams = shared.value
         for batch, words in each_chunk(batches, "text"):
             row = np.repeat(np.arange(words.rows), np.diff(words.first))
             at = np.minimum(np.searchsorted(top_words, words.hash), max(len(top_words) - 1, 0))
             hit = top_words[at] == words.hash if len(top_words) else np.zeros(len(row), bool)
             base = np.bincount(row[hit], top_scores[at[hit]], words.rows) + end_score
-            known = np.bincount(row[hit], minlength=words.rows) + int(end_known)
+            known = np.bincount(row[hit], top_known[at[hit]], words.rows).astype(np.int64) + int(end_known)
             r, h = row[~hit], words.hash[~hit]
             order = np.lexsort((h, r))
             r, h = r[order], h[order]
             new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])) if len(r) else np.zeros(0, np.int64)
             times = np.diff(np.append(new, len(r)))
             ends = np.searchsorted(r[new], np.arange(words.rows + 1)).astype(np.int32)
+            out, start, place = stream(words)
+            key = grams_of(out, place, depth)
+            value = top_grams.find(key)
+            missed = np.flatnonzero(np.isnan(value))
+            value[missed] = 0
+            missed_ends = np.searchsorted(missed, np.append(start, len(out))).astype(np.int32)
+            score = np.add.reduceat(value, start) if len(out) else np.zeros(0)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (h[new].view(np.int64), times)]
+            lists.append(pa.ListArray.from_arrays(pa.array(missed_ends), pa.array(key[missed].view(np.int64))))
             tokens = np.diff(words.first).astype(np.int64) + 1
-            numbers = [pa.array(v) for v in (tokens, known.astype(np.int64), base, text_scores(words, tree))]
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            names = ["doc_id", "n_tokens", "known", "base", "score", "words", "times"]
-            yield pa.RecordBatch.from_arrays([ids, *numbers, *lists], names=names)
+            names = ["doc_id", "n_tokens", "known", "base", "top_score", "words", "times", "grams"]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in (tokens, known, base, score)), *lists], names=names)
 
     return scores
 
@@ -267,45 +383,58 @@ def language_model_scores(
     doc_id: str = "doc_id",
     text: str = "text",
     depth: int = DEPTH,
-    max_contexts: int = 16_384,
+    max_frequent_grams: int = 1_048_576,
     max_frequent_words: int = 131_072,
 ) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score; ``training`` marks the rows to learn from."""
+    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score; ``training`` marks the rows to learn from.
+
+    The two maxima bound what is broadcast (16 bytes an entry); all other words and bytes are joined.
+    """
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"))
-    learned = plain.where("training").select("text")
-    counts = learned.mapInArrow(_counted(depth), "kind int, key long, n long")
-    counts = durable(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    grams = counts.where(F.col("kind") == GRAMS).select("key", "n")
-    words = counts.where(F.col("kind") == WORDS).select("key", "n")
-    tree = fit_context_tree(grams, depth, max_contexts)
+    marked = F.coalesce(training, F.lit(False))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), marked.alias("training"))
+    counts = plain.select("text", "training").mapInArrow(_counted(depth), "kind int, key long, seen long, n long")
+    counts = durable(counts.groupBy("kind", "key").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n")), "counts")
+    grams = counts.where(F.col("kind") == GRAMS)
+    words = counts.where(F.col("kind") == WORDS)
     # every text ends once, so the ends are counted with the bytes
     ends = grams.where(F.col("key").bitwiseAND(F.lit(255)) == END).agg(F.sum("n").alias("n")).first()["n"] or 0
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     train_tokens = (total["n"] or 0) + ends
     scale = train_tokens + 0.1 * (total["v"] + (ends > 0) + 1)
-    top = _most_frequent(words, max_frequent_words).toArrow()
+    share = F.log10((F.col("n") + 0.1) / scale)
+    values = words.select("kind", "key", share.alias("value"), (F.col("n") > 0).alias("seen_before"))
+    bytes_of = durable(context_tree(grams, depth), "context-tree").select(F.lit(GRAMS).alias("kind"), "key", "value", F.lit(True).alias("seen_before"))
+    top = _most_frequent(words, max_frequent_words).select("key", "n").toArrow()
     top_words, top_counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(top_words)
+    # at most max_frequent_grams rows of 16 bytes
+    often = F.broadcast(_most_frequent(grams, max_frequent_grams).select("key"))
+    top_grams = bytes_of.join(often, "key").select("key", "value").toArrow()
+    lookup = Lookup(top_grams.column(0).to_numpy().view(np.uint64), top_grams.column(1).to_numpy())
     top_scores = np.log10((top_counts[order] + 0.1) / scale)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((top_words[order], top_scores, top_counts[order] > 0, lookup))
     end_score = float(np.log10((ends + 0.1) / scale))
     id_type = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, known long, base double, score double, words array<long>, times array<long>"
-    scored = plain.select("doc_id", "text").mapInArrow(_scored(shared, top_words[order], top_scores, end_score, ends > 0), schema)
+    schema = f"doc_id {id_type}, n_tokens long, known long, base double, top_score double, words array<long>, times array<long>, grams array<long>"
+    scored = plain.select("doc_id", "text").mapInArrow(_scored(shared, end_score, ends > 0, depth), schema)
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-        "row", F.col("w.words").alias("key"), F.col("w.times").alias("times")
+    other_words = scored.select("row", F.lit(WORDS).alias("kind"), F.explode(F.arrays_zip("words", "times")).alias("w"))
+    other_words = other_words.select("row", "kind", F.col("w.words").alias("key"), F.col("w.times").alias("times"))
+    other_bytes = scored.select("row", F.lit(GRAMS).alias("kind"), F.explode("grams").alias("key"), F.lit(1).cast("long").alias("times"))
+    rare = other_words.unionByName(other_bytes).join(values.unionByName(bytes_of), ["kind", "key"])
+    worth = F.col("times") * F.col("value")
+    is_word = F.col("kind") == WORDS
+    rare = rare.groupBy("row").agg(
+        F.sum(F.when(is_word, worth)).alias("rare_base"),
+        F.sum(F.when(is_word & F.col("seen_before"), F.col("times"))).alias("rare_known"),
+        F.sum(F.when(~is_word, worth)).alias("rare_score"),
     )
-    rare = rare.join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    share = F.col("times") * F.log10((F.col("n") + 0.1) / scale)
-    seen = F.when(F.col("n") > 0, F.col("times")).otherwise(0)
-    rare = rare.groupBy("row").agg(F.sum(share).alias("rare_base"), F.sum(seen).alias("rare_known"))
-    return scored.drop("words", "times").join(rare, "row", "left").select(
+    return scored.drop("words", "times", "grams").join(rare, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("top_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tablecare.llm.context_tree import _block, build_tree, language_model_scores, log_gamma
+from tablecare.llm.context_tree import DEPTH, END, Lookup, _block, context_tree, language_model_scores, log_gamma
 from tablecare.llm.frames import crc_fold
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.queries import QUERIES
@@ -92,47 +92,100 @@ def test_log_gamma_and_block_probability():
     assert math.isclose(float(np.exp(_block(np.array([1.0]), np.array([1.0])))[0]), 1 / 8)
 
 
-def weighted(sequence_counts, context, depth):
-    """Block probability of a node and the next-byte mixture, by the textbook recursion over one bit node."""
-    zeros, ones = sequence_counts.get(context, (0, 0))
-    own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
-    if len(context) == depth or not any(k[len(k) - len(context) :] == context for k in sequence_counts if len(k) == len(context) + 1):
-        return own, None
-    longer = sum(weighted(sequence_counts, k, depth)[0] for k in sequence_counts if len(k) == len(context) + 1 and k[1:] == context)
-    return np.logaddexp(own, longer) - math.log(2), math.exp(own - math.log(2) - (np.logaddexp(own, longer) - math.log(2)))
-
-
-def test_tree_matches_the_recursion_and_sums_to_one():
+class PlainTree:
+    """Context-tree weighting over bytes by the textbook recursion, one decision at a time."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children = depth, Counter(), {}
+        for text in texts:
+            padded = bytes([END]) * depth + text
+            for i in range(depth, len(padded)):
+                for d in range(depth + 1):
+                    context = padded[i - d : i]
+                    if d:
+                        self.children.setdefault(context[1:], set()).add(context)
+                    for j in range(8):
+                        self.counts[context, j, padded[i] >> (8 - j), padded[i] >> (7 - j) & 1] += 1
+        self.blocks = {}
+
+    def split(self, context, j, high):
+        return self.counts[context, j, high, 0], self.counts[context, j, high, 1]
+
+    def own_block(self, context, j, high):
+        z, o = self.split(context, j, high)
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    def block(self, context, j, high):
+        key = context, j, high
+        if key not in self.blocks:
+            own = self.own_block(*key)
+            if len(context) < self.depth:
+                below = sum(self.block(c, j, high) for c in self.children.get(context, ()))
+                own = np.logaddexp(own, below) - math.log(2)
+            self.blocks[key] = own
+        return self.blocks[key]
+
+    def log10(self, context, byte):
+        total = 0.0
+        for j in range(8):
+            high, bit, p, left = byte >> (8 - j), byte >> (7 - j) & 1, 0.0, 1.0
+            for d in range(self.depth + 1):
+                here = context[len(context) - d :]
+                z, o = self.split(here, j, high)
+                own = 1.0 if d == self.depth else math.exp(self.own_block(here, j, high) - math.log(2) - self.block(here, j, high))
+                p, left = p + left * own * (o + 0.5) / (z + o + 1), left * (1 - own)
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    def score(self, text):
+        padded = bytes([END]) * self.depth + text
+        return sum(self.log10(padded[i - self.depth : i], padded[i]) for i in range(self.depth, len(padded)))
+
+
+def key_of(context, byte):
+    return byte | sum(b << (8 * k) for k, b in enumerate(reversed(context), 1))
+
+
+def test_tree_matches_the_recursion_and_sums_to_one(spark):
     text = b"abracadabra abracadabra banana bandana"
-    depth = 2
-    counts, nodes = {}, {}
-    for d in range(depth + 1):
-        for i in range(depth, len(text)):
-            context = text[i - d : i]
-            counts.setdefault(context, Counter())[text[i]] += 1
-            key = sum(b << (8 * k) for k, b in enumerate(reversed(context)))
-            nodes.setdefault((d, key), Counter())[text[i]] += 1
-    table = np.zeros((len(nodes), 256))
-    for row, c in enumerate(nodes.values()):
-        for b, n in c.items():
-            table[row, b] = n
-    tree = build_tree(np.array([d for d, _ in nodes]), np.array([c for _, c in nodes]), table, depth)
-    assert np.allclose((10.0 ** tree.log10_p.astype(float)).sum(axis=1), 1, atol=1e-4)
-    # the first decision (top bit) is never one in ASCII, so compare the third, between 0x40 and 0x60
-    first = {c: (sum(n for b, n in v.items() if 0x40 <= b < 0x60), sum(n for b, n in v.items() if 0x60 <= b < 0x80)) for c, v in counts.items()}
-    _, root_weight = weighted(first, b"", depth)
-    assert 0 < root_weight < 1
-    node = tree.child[tree.child[0, ord("a")], ord("r")]
-    p = 10.0 ** tree.log10_p[node].astype(float)
-    upper = p[0x60:0x80].sum() / p[0x40:0x80].sum()
-    path = [b"", b"a", b"ra"]
-    estimates = [(first[c][1] + 0.5) / (sum(first[c]) + 1) for c in path]
-    expected, left = 0.0, 1.0
-    for c, e in zip(path, estimates, strict=True):
-        weight = weighted(first, c, depth)[1]
-        weight = 1.0 if weight is None else weight
-        expected, left = expected + left * weight * e, left * (1 - weight)
-    assert math.isclose(upper, expected, rel_tol=1e-3)
+    for depth in (2, 3):
+        plain = PlainTree([text], depth)
+        padded = bytes([END]) * depth + text
+        entries = Counter((padded[i - depth : i], padded[i]) for i in range(depth, len(padded)))
+        # every byte after a known context, after one known in part, and after an unknown one
+        whole = [b"abr"[-depth:], b"xra"[-depth:], b"xyz"[-depth:]]
+        entries.update({(c, b): 0 for c in whole for b in range(256)})
+        rows = [(key_of(c, b), n) for (c, b), n in entries.items()]
+        got = dict(map(tuple, context_tree(spark.createDataFrame(rows, "key long, n long"), depth).collect()))
+        assert len(got) == len(entries)
+        for context, byte in entries:
+            assert math.isclose(got[key_of(context, byte)], plain.log10(context, byte), rel_tol=1e-6, abs_tol=1e-9)
+        for c in whole:
+            assert math.isclose(sum(10 ** got[key_of(c, b)] for b in range(256)), 1, rel_tol=1e-6)
+
+
+def test_document_scores_equal_the_recursion(spark):
+    texts = ["the cat sat on the mat", "The  cat ate\tthe rat", "", None, "zebra crossing the cat", "the cat sat on the mat", "naïve café the cat"]
+    learned = {0, 1, 2, 3, 5}
+    normal = [" ".join(WORD.findall((t or "").translate(LOWERED))).encode() + bytes([END]) for t in texts]
+    plain = PlainTree([normal[i] for i in learned], DEPTH)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # all entries joined, a part of them, all of them looked up
+    for most in (0, 40, 10_000):
+        got = language_model_scores(docs, F.col("doc_id").isin(*learned), max_frequent_grams=most).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert math.isclose(r.score, plain.score(normal[r.doc_id]), rel_tol=1e-6)
+
+
+def test_lookup_holds_what_it_returns():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 48, 20_000).astype(np.uint64))
+    values = rng.normal(size=len(keys))
+    found = Lookup(keys, values).find(keys)
+    assert (np.isnan(found) | (found == values)).all() and np.isnan(found).mean() < 0.01
+    assert np.isnan(Lookup(keys[::2], values[::2]).find(keys[1::2])).all()
+    assert np.isnan(Lookup(keys[:0], values[:0]).find(keys)).all()
 
 
 def test_base_scores_equal_a_plain_count(spark, sf_dir):
@@ -143,7 +196,7 @@ def test_base_scores_equal_a_plain_count(spark, sf_dir):
     c = Counter(t for i in learned for t in tokens[i])
     total = sum(c.values())
     # a small table of frequent words sends most words through the join
-    rows = language_model_scores(docs, ~held_out, max_frequent_words=50, max_contexts=500).collect()
+    rows = language_model_scores(docs, ~held_out, max_frequent_words=50, max_frequent_grams=500).collect()
     assert len(rows) == len(tokens)
     for r in rows:
         own = tokens[r.doc_id]
