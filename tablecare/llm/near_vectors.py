@@ -8,11 +8,13 @@ precision; a leaf above ``leaf_rows`` is first split further the same way inside
 found in any tree are united.
 
 Dense clusters never enter the forest, whose cuts would part them. A pivot is set wherever the
-sample shows more links than fill half a leaf. Rows within the link angle of a pivot are the core
-of its cell (a row has one core at most); whatever they link to lies within twice that angle. Core
-and surroundings are compared whole, in pairs of slices dealt over tasks, so that core rows have
-all of their links; core rows within half the link angle all link and are counted without being
-compared. Cells give link counts and enough links to connect their rows, not a row per link.
+sample shows more links than fill half a leaf. A cell's radius is the largest angle at which the sample
+has a row that is nearest to the pivot, the link angle at most. Rows within it are the core of the
+cell (a row has one core at most); whatever they link to lies within the radius plus the link
+angle. Core and surroundings are compared whole, in pairs of slices dealt over tasks, so that core
+rows have all of their links; core rows within half the link angle all link and are counted
+without being compared. Cells give link counts and enough links to connect their rows, not a row
+per link. Rows beyond every radius take part in the forest.
 
 Equal vectors are one throughout and count as links of each other. Vectors that are null, empty,
 zero or hold null or non-finite numbers link with nothing; vectors of different length neither.
@@ -106,17 +108,17 @@ def blocks(vectors: np.ndarray, rows: np.ndarray, most: int, spill: float, draw)
 
 @dataclass
 class Cells:
-    """Unit pivots of dense clusters, and the cosines that bound their inner core, core and surroundings."""
+    """Unit pivots of dense clusters, the cosine that bounds an inner core, and per pivot those of core and surroundings."""
 
     pivots: np.ndarray
     inner: float
-    core: float
-    around: float
+    core: np.ndarray
+    around: np.ndarray
 
     def owners(self, cosines: np.ndarray) -> np.ndarray:
         """The cell whose core each row belongs to, or -1."""
         nearest = cosines.argmax(axis=1)
-        return np.where(cosines[np.arange(len(cosines)), nearest] >= self.core, nearest, -1)
+        return np.where(cosines[np.arange(len(cosines)), nearest] >= self.core[nearest], nearest, -1)
 
 
 def fit_cells(sample: np.ndarray, threshold: float, least: float) -> Cells:
@@ -124,7 +126,6 @@ def fit_cells(sample: np.ndarray, threshold: float, least: float) -> Cells:
     angle = float(np.arccos(np.clip(threshold, -1, 1)))
     core = min(threshold, np.cos(angle)) - 1e-9
     inner = float(np.cos(angle / 2 - 1e-7)) if angle > 2e-7 else 2.0
-    cells = Cells(np.zeros((0, sample.shape[1])), inner, core, float(np.cos(min(np.pi, 2 * angle))) - 1e-6)
     left, tried, pivots = sample.astype(np.float32), 0, []
     while tried < len(left):
         asked = left[tried : tried + 512]
@@ -143,9 +144,16 @@ def fit_cells(sample: np.ndarray, threshold: float, least: float) -> Cells:
         tried -= np.count_nonzero(near[:tried])
         left = left[~near]
         pivots.append(middle.astype(np.float64))
-    if pivots:
-        cells.pivots = unit(np.array(pivots))
-    return cells
+    pivots = unit(np.array(pivots)) if pivots else np.zeros((0, sample.shape[1]))
+    farthest = np.ones(len(pivots))
+    for lo in range(0, len(sample) if len(pivots) else 0, 4096):
+        cosines = sample[lo : lo + 4096] @ pivots.T
+        nearest = cosines.argmax(axis=1)
+        at = cosines[np.arange(len(cosines)), nearest]
+        np.minimum.at(farthest, nearest[at >= core], at[at >= core])
+    # rows that the sample does not show reach a little further
+    radius = np.minimum(angle, np.arccos(np.clip(farthest, -1, 1)) * 1.05 + 1e-6)
+    return Cells(pivots, inner, np.maximum(core, np.cos(radius)), np.cos(np.minimum(np.pi, radius + angle)) - 1e-6)
 
 
 def _placed(cells: Cells, length: int):
@@ -329,11 +337,24 @@ def near_vectors(
     named = named.withColumn("label", F.coalesce("label", "key")).join(degree, "key", "left")
     smallest = named.groupBy("label").agg(F.min("one").alias("component"))
     named = named.join(smallest, "label").select(
-        "k1", "k2", "component", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")
+        "k1", "k2", "copies", "component", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
-    out = keyed.drop("vector").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("sound"), F.col("component")).otherwise(F.col("vec_id"))
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    named = durable(named, "named")
+    total = named.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    # fewer than a thousand vectors have more than a thousandth of all rows each
+    hot = F.col("copies") > total / 1000
+    often = named.where(hot).select("k1", "k2", F.col("component").alias("hot_component"), F.col("links").alias("hot_links"))
+    seldom = named.where(~hot).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "component", "links")
+    out = keyed.drop("vector").join(F.broadcast(often), ["k1", "k2"], "left")
+    # rows that are settled by now, or link with nothing, are spread by their own id and find no partner
+    open_row = F.col("sound") & F.col("hot_links").isNull()
+    out = out.withColumn("open_row", open_row).withColumn("j1", F.when(open_row, F.col("k1")).otherwise(F.xxhash64("vec_id", F.rand(7))))
+    asked, found = out.alias("asked"), seldom.alias("found")
+    same = (F.col("asked.j1") == F.col("found.j1")) & (F.coalesce("asked.k2", F.lit(0)) == F.col("found.j2")) & F.col("asked.open_row")
+    out = asked.join(found, same, "left")
+    component = F.when(F.col("sound"), F.coalesce("hot_component", "component")).otherwise(F.col("vec_id"))
+    links = F.coalesce("hot_links", "links", F.lit(0)).cast("long")
+    out = out.select("vec_id", links.alias("n_links"), component.alias("component_id"))
     kept = F.when(F.col("vec_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("vec_id") == F.col("component_id"))
     return out.withColumn("kept", kept)
 

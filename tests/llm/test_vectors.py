@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tablecare.llm.components import components
-from tablecare.llm.near_vectors import near_vectors
+from tablecare.llm.near_vectors import fit_cells, near_vectors, unit
 
 
 def brute(vectors, threshold=0.9):
@@ -53,6 +53,41 @@ def test_a_cluster_of_a_third_of_the_rows_keeps_its_links(spark, tmp_path):
     assert all(a == b for a, b in alike)
 
 
+def test_clusters_that_share_a_direction_are_not_copied_to_each_other():
+    draw = np.random.default_rng(3)
+    shared = draw.normal(size=64) * 1.5
+    centres = shared + draw.normal(size=(40, 64))
+    rows = unit(np.repeat(unit(centres), 500, axis=0) + draw.normal(size=(20_000, 64)) * 0.02)
+    between = unit(centres) @ unit(centres).T
+    assert np.median(between) > 0.6
+    cells = fit_cells(rows, 0.9, 128)
+    assert len(cells.pivots) == 40
+    cosines = rows @ cells.pivots.T
+    assert (cells.owners(cosines) >= 0).all()
+    assert (cosines >= cells.around).sum() <= 4 * len(rows)
+    # what a core row links to lies within its cell's surroundings
+    ask = draw.choice(len(rows), 500, replace=False)
+    a, b = np.nonzero(rows[ask] @ rows.T >= 0.9)
+    owner = cells.owners(cosines)[ask[a]]
+    assert (cosines[b, owner] >= cells.around[owner]).all()
+
+
+def test_clusters_seen_through_a_small_sample(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    size = 64
+    centres = np.repeat(draw.normal(size=(12, size)), 5000, axis=0)
+    vectors = (centres + draw.normal(size=centres.shape) * 0.25)[draw.permutation(len(centres))]
+    column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), size).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": column}), str(tmp_path / "v.parquet"))
+    # one row of thirty is in the sample, as of two million with the default
+    got = near_vectors(spark.read.parquet(str(tmp_path / "v.parquet")), sample_rows=2000).orderBy("vec_id").toPandas()
+    rows = draw.choice(len(vectors), 2000, replace=False)
+    normal = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (normal[rows] @ normal.T >= 0.9).sum(axis=1) - 1
+    links = got.n_links.to_numpy()[rows]
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
