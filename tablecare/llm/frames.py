@@ -9,7 +9,17 @@ from pyspark.sql import types as T
 
 from tablecare.operators.sizing import durable, scratch_path, shared_dir
 
-__all__ = ["append_columns", "crc_fold", "durable", "extended", "fresh", "labelled_sample", "scratch_path", "shared_dir"]
+__all__ = [
+    "append_columns",
+    "crc_fold",
+    "durable",
+    "extended",
+    "fresh",
+    "labelled_sample",
+    "labelled_texts",
+    "scratch_path",
+    "shared_dir",
+]
 
 
 def fresh(columns: list[str], wanted: str) -> str:
@@ -36,6 +46,18 @@ def labelled_sample(labels: DataFrame, doc_id: str, label: str, max_rows: int) -
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
+    """(doc_id, text, label), one row per id of ``labelled_sample`` that ``docs`` holds, so ``max_rows`` at most.
+
+    Where an id comes with several texts, the one with the smallest hash counts, whatever its
+    share of the rows; they are reduced before the shuffle. A null text is empty.
+    """
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = known.join(F.broadcast(labelled_sample(labels, doc_id, label, max_rows)), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return joined.groupBy("doc_id", "label").agg(first).select("doc_id", "first.text", "label")
+
+
 def extended(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.llm.frames import append_columns, extended, fresh, labelled_sample
-from tablecare.llm.textnum import each_chunk
+from tablecare.llm.frames import append_columns, extended, fresh, labelled_texts
+from tablecare.llm.textnum import each_chunk, mix
 
 BUCKET_BITS = 15
 DIMENSIONS = 32
@@ -108,8 +108,9 @@ def pooled(words, vectors: np.ndarray) -> np.ndarray:
             v = vectors[own]
             out[i, :DIMENSIONS] = v.mean(axis=0)
             out[i, DIMENSIONS : 2 * DIMENSIONS] = v.std(axis=0)
-            _, counts = np.unique(own, return_counts=True)
-            pairs = np.unique(own[1:] * (1 << BUCKET_BITS) + own[:-1])
+            whole = words.hash[a:z]
+            _, counts = np.unique(whole, return_counts=True)
+            pairs = np.unique(mix(whole[:-1]) + whole[1:])
             shares += [len(counts) / len(own), counts.max() / len(own)]
             shares += [len(pairs) / max(len(own) - 1, 1), words.lengths[a:z].mean() / 10]
         else:
@@ -183,8 +184,6 @@ def fit_quality(
 ) -> QualityModel:
     """Token vectors from all ``docs``; the network from at most ``max_train_rows`` labelled ones."""
     vectors = word_vectors(docs, text)
-    sample = labelled_sample(labels, doc_id, label, max_train_rows)
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def rows(batches):
         for batch, words in each_chunk(batches, "text", SAME, KINDS):
@@ -193,7 +192,8 @@ def fit_quality(
             part = [batch.column("tie").cast(pa.int64()), batch.column("label"), lists]
             yield pa.RecordBatch.from_arrays(part, names=["tie", "label", "x"])
 
-    joined = known.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("tie"), "text", "label")
+    joined = labelled_texts(docs, labels, doc_id, text, label, max_train_rows)
+    joined = joined.select(F.xxhash64("doc_id", "text").alias("tie"), "text", "label")
     got = joined.mapInArrow(rows, "tie long, label int, x array<double>").toPandas().sort_values("tie")
     y = got["label"].to_numpy(np.float64)
     width = 2 * DIMENSIONS + SHARES

@@ -3,8 +3,8 @@
 A logistic regression over the presence of words. Each training text that names a group gets a
 counterfactual twin in which the term is swapped for another of its set; the loss adds
 ``fairness * (z(text) - z(twin))**2`` on the log-odds, so that naming a group as such does not
-move the score. The words that can serve as features are the ``n_features`` most telling ones of
-the training texts, and the identity terms.
+move the score. Every word of the training texts is a feature, scaled by how much it tells
+of the labels, and so are the identity terms; nothing is cut off.
 
 Null and empty texts have no words and get the model's base rate. Repeated rows are scored
 alike; other columns pass through untouched. Without any usable label every score is 0.
@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.llm.frames import append_columns, extended, fresh, labelled_sample
+from tablecare.llm.frames import append_columns, extended, fresh, labelled_texts
 from tablecare.llm.textnum import byte_table, each_chunk, hashed_words
 
 # Terms that name a group, in sets whose members may stand for each other.
@@ -61,81 +62,66 @@ def _presence(words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // len(vocabulary), both % len(vocabulary)
 
 
-def _class_counts(text: str):
-    """Per chunk, how many texts of either label hold each word."""
-
-    def counted(batches):
-        for batch, words in each_chunk(batches, text, WORD_TABLE):
-            labels = np.asarray(batch.column("label"))
-            rows = np.repeat(np.arange(words.rows), np.diff(words.first))
-            order = np.lexsort((rows, words.hash))
-            h, r = words.hash[order], rows[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            h, r = h[new], r[new]
-            values, start = np.unique(h, return_index=True)
-            if len(values):
-                toxic = np.add.reduceat(labels[r].astype(np.int64), start)
-                total = np.diff(np.append(start, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), pa.array(toxic), pa.array(total)], names=["word", "toxic", "total"]
-                )
-
-    return counted
-
-
-def _design(text: str, vocabulary: np.ndarray):
-    """Per labelled text, the features it holds."""
+def _distinct_words(text: str):
+    """Per labelled text, the hashes of its distinct words."""
 
     def rows(batches):
         for batch, words in each_chunk(batches, text, WORD_TABLE):
-            r, f = _presence(words, vocabulary)
-            ends = np.searchsorted(r, np.arange(words.rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "features"])
+            own = [np.unique(words.hash[a:z]) for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in own])])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(own).view(np.int64)))
+            part = [batch.column("tie"), batch.column("label"), lists.cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(part, names=["tie", "label", "words"])
 
     return rows
 
 
-def _telling_words(joined: DataFrame, text: str, n_features: int) -> np.ndarray:
-    """The words whose share of toxic texts lies furthest from the average, measured in deviations."""
-    counts = joined.mapInArrow(_class_counts(text), "word long, toxic long, total long")
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-    size = joined.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
-    if not size["n"] or not size["p"] or size["p"] == size["n"]:
-        return np.zeros(0, np.uint64)
-    rate = size["p"] / size["n"]
-    # squared distance from the expected number of toxic texts, in units of its variance
-    telling = (F.col("toxic") - F.col("total") * rate) ** 2 / (F.col("total") * rate * (1 - rate) + 1)
-    best = counts.where("total >= 3").select("word", telling.alias("g")).orderBy(F.desc("g"), "word").limit(n_features)
-    return np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64)
-
-
-def _fit(rows, width: int, twins: dict[int, list[int]], fairness: float, ridge: float, steps: int):
-    """Weights and bias by full-batch Adam on log loss, ridge and counterfactual penalty."""
-    y = np.array([r["label"] for r in rows], np.float64)
-    lists = [np.asarray(r["features"], np.int64) for r in rows]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+def _telling(y, row, col, width: int) -> np.ndarray:
+    """Per feature, how far its number of toxic texts lies from the expected one, in variances.
+
+    A word that few texts hold cannot lie far off, so its scale is small and it learns slowly.
+    """
+    rate = y.mean()
+    total, toxic = np.bincount(col, minlength=width), np.bincount(col, y[row], width)
+    return (toxic - total * rate) ** 2 / (total * rate * (1 - rate) + 1) / 16
+
+
+def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float, ridge: float, steps: int):
+    """Weights and bias by full-batch Adam on log loss, ridge and counterfactual penalty.
+
+    Text ``row[k]`` (ascending) holds feature ``col[k]``; ``y`` are the labels. Features are scaled by
+    ``_telling``, so the ridge weighs heaviest on words that tell little.
+    """
+    scale = _telling(y, row, col, width)
     # the swap moves each text by (weight of the other term - weight of its own)
-    own = [(i, f, twins[f][i % len(twins[f])]) for i, x in enumerate(lists) for f in x.tolist() if f in twins]
+    named = np.flatnonzero(np.isin(col, list(twins)))
+    pairs = zip(row[named].tolist(), col[named].tolist(), strict=True)
+    own = [(i, f, twins[f][i % len(twins[f])]) for i, f in pairs]
     cr, cf, ct = (np.array(v, np.int64) for v in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
-    w, b = np.zeros(width), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    by_feature = np.argsort(col, kind="stable")
+    used, start = np.unique(col[by_feature], return_index=True)
+    by_feature = row[by_feature]
+    filled, first = np.unique(row, return_index=True)
+    w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    n = len(y)
+    n, grad, z = len(y), np.zeros(width), np.zeros(len(y))
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, w[col], n)
-        error = (1 / (1 + np.exp(-z)) - y) / n
-        grad = np.bincount(col, error[row], width) + ridge * w
-        shift = np.bincount(cr, w[ct] - w[cf], n)
+        scaled = w * scale
+        if len(used):
+            z[filled] = np.add.reduceat(scaled[col], first)
+        error = (1 / (1 + np.exp(-np.clip(b + z, -40, 40))) - y) / n
+        shift = np.bincount(cr, scaled[ct] - scaled[cf], n)
         pull = 2 * fairness * shift[cr] / n
-        grad += np.bincount(ct, pull, width) - np.bincount(cf, pull, width)
+        grad[:] = np.bincount(ct, pull, width) - np.bincount(cf, pull, width)
+        if len(used):
+            grad[used] += np.add.reduceat(error[by_feature], start)
+        grad = grad * scale + ridge * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, b
+    return w * scale, b
 
 
 def fit_toxicity(
@@ -145,37 +131,41 @@ def fit_toxicity(
     text: str = "text",
     label: str = "toxic",
     max_train_rows: int = 20_000,
-    n_features: int = 1_000,
     fairness: float = 5.0,
     ridge: float = 3e-4,
-    steps: int = 400,
+    steps: int = 200,
 ) -> ToxicityModel:
     """Fit on at most ``max_train_rows`` labelled documents, chosen by hash of the id."""
-    sample = labelled_sample(labels, doc_id, label, max_train_rows)
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    joined = known.join(F.broadcast(sample), "doc_id").select("text", "label")
-    telling = _telling_words(joined, "text", n_features)
+    joined = labelled_texts(docs, labels, doc_id, text, label, max_train_rows)
+    joined = joined.select(F.xxhash64("doc_id", "text").alias("tie"), "text", "label")
+    # bounded by ``max_train_rows`` texts; the order does not depend on the tasks
+    got = joined.mapInArrow(_distinct_words("text"), "tie long, label int, words array<long>").toArrow()
+    got = got.sort_by("tie").combine_chunks()
+    y = got["label"].to_numpy().astype(np.float64)
+    sizes = pc.list_value_length(got["words"]).to_numpy().astype(np.int64)
+    hashes = pc.list_flatten(got["words"]).to_numpy().astype(np.int64).view(np.uint64)
     sets = [hashed_words(s, WORD_TABLE) for s in IDENTITY_SETS]
-    vocabulary = np.unique(np.concatenate([telling, *sets]))
-    place = {int(h): i for i, h in enumerate(vocabulary)}
-    twins = {place[int(h)]: [place[int(o)] for o in s if o != h] for s in sets for h in s}
-    rows = joined.mapInArrow(_design("text", vocabulary), "label int, features array<int>").collect()
-    if not rows or not len(telling):
-        rate = 0.0 if not rows else float(np.mean([r["label"] for r in rows]))
-        bias = -30.0 if rate == 0 else 30.0 if rate == 1 else float(np.log(rate / (1 - rate)))
+    vocabulary = np.unique(np.concatenate([hashes, *sets]))
+    if not len(y) or y.min() == y.max():
+        bias = 30.0 if len(y) and y[0] == 1 else -30.0
         return ToxicityModel(vocabulary, np.zeros(len(vocabulary)), bias)
-    weights, bias = _fit(rows, len(vocabulary), twins, fairness, ridge, steps)
+    place = {int(h): i for h in np.concatenate(sets) for i in [int(np.searchsorted(vocabulary, h))]}
+    twins = {place[int(h)]: [place[int(o)] for o in s if o != h] for s in sets for h in s}
+    row, col = np.repeat(np.arange(len(y)), sizes), np.searchsorted(vocabulary, hashes)
+    weights, bias = _fit(y, row, col, len(vocabulary), twins, fairness, ridge, steps)
     return ToxicityModel(vocabulary, weights, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic in ``score`` (renamed by ``fresh`` on a clash)."""
     score = fresh(docs.columns, score)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
+        own = shared.value
         for batch, words in each_chunk(batches, text, WORD_TABLE):
-            r, f = _presence(words, model.vocabulary)
-            z = model.bias + np.bincount(r, model.weights[f], words.rows)
-            yield append_columns(batch, **{score: pa.array(1 / (1 + np.exp(-z)))})
+            r, f = _presence(words, own.vocabulary)
+            z = own.bias + np.bincount(r, own.weights[f], words.rows)
+            yield append_columns(batch, **{score: pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))})
 
     return docs.mapInArrow(scored, extended(docs.schema, **{score: T.DoubleType()}))

@@ -6,11 +6,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablecare.llm.context_tree import DEPTH, END, Lookup, _block, context_tree, language_model_scores, log_gamma
-from tablecare.llm.frames import crc_fold
+from tablecare.llm.frames import crc_fold, labelled_texts
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.queries import QUERIES
 from tablecare.llm.textnum import LOWER, Words, hashed_words, raw
-from tablecare.llm.toxicity import IDENTITY_SETS, fit_toxicity, score_toxicity
+from tablecare.llm.toxicity import IDENTITY_SETS, _fit, _telling, fit_toxicity, score_toxicity
 from tests.llm.tables import LOWER as LOWERED
 from tests.llm.tables import TEXTS, WORD, awkward, empty, shingles
 
@@ -212,3 +212,50 @@ def test_language_model_on_awkward_rows(spark):
     assert language_model_scores(empty(spark), F.lit(True)).count() == 0
     for r in language_model_scores(docs.where("doc_id = 4"), F.lit(False)).collect():
         assert math.isclose(r.score, -8 * math.log10(2), rel_tol=1e-4) and r.n_known == 0 and r.base_score == 0
+
+
+def test_toxicity_gradient_and_scores_equal_a_plain_computation(spark):
+    rows = [(i, f"w{i % 5} w{i % 3} " + ("awful man" if i % 4 == 0 else "fine woman")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = fit_toxicity(docs, marks)
+    known = {int(h): w for h, w in zip(model.vocabulary, model.weights, strict=True)}
+    # every word of the labelled texts is a feature, however rare
+    for _, text in rows:
+        assert {int(h) for h in hashed_words(text.split())} <= set(known)
+    for r in score_toxicity(docs, model).collect():
+        z = model.bias + sum(known[int(h)] for h in set(hashed_words(r.text.split()).tolist()))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-12
+        assert (r.score >= 0.5) == (r.doc_id % 4 == 0)
+
+
+def test_fitted_weights_are_where_the_loss_is_flat():
+    draw = np.random.default_rng(3)
+    y = (draw.random(60) < 0.4).astype(float)
+    row = np.repeat(np.arange(60), 4)
+    col = np.concatenate([draw.choice(12, 4, replace=False) for _ in range(60)])
+    twins = {0: [1], 1: [0]}
+    scaled, bias = _fit(y, row, col, 12, twins, fairness=2.0, ridge=0.05, steps=4000)
+    scale = _telling(y, row, col, 12)
+
+    def loss(w, b):
+        z = b + np.bincount(row, (w * scale)[col], 60)
+        shift = np.zeros(60)
+        for i, f in zip(row, col, strict=True):
+            if f in twins:
+                shift[i] += w[1 - f] * scale[1 - f] - w[f] * scale[f]
+        return np.mean(np.logaddexp(0, z) - y * z) + 2.0 * np.mean(shift**2) + 0.025 * (w**2).sum()
+
+    w = np.divide(scaled, scale, out=np.zeros(12), where=scale > 0)
+    for f in range(12):
+        step = np.zeros(12)
+        step[f] = 1e-5
+        assert abs(loss(w + step, bias) - loss(w - step, bias)) / 2e-5 < 2e-3
+
+
+def test_a_labelled_id_with_many_texts_is_one_row(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    got = labelled_texts(docs, marks, "doc_id", "text", "toxic", 10).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.label) for r in got] == [(1, 1), (2, 0), (3, 1)]
+    assert got[1].text == "" and labelled_texts(docs, marks, "doc_id", "text", "toxic", 2).count() <= 2
