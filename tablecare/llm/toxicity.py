@@ -86,6 +86,13 @@ def _telling(y, row, col, width: int) -> np.ndarray:
     return (toxic - total * rate) ** 2 / (total * rate * (1 - rate) + 1) / 16
 
 
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
+
+
 def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float, ridge: float, steps: int):
     """Weights and bias by full-batch Adam on log loss, ridge and counterfactual penalty.
 
@@ -98,10 +105,12 @@ def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float,
     pairs = zip(row[named].tolist(), col[named].tolist(), strict=True)
     own = [(i, f, twins[f][i % len(twins[f])]) for i, f in pairs]
     cr, cf, ct = (np.array(v, np.int64) for v in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
-    by_feature = np.argsort(col, kind="stable")
-    used, start = np.unique(col[by_feature], return_index=True)
-    by_feature = row[by_feature]
-    filled, first = np.unique(row, return_index=True)
+    order = np.argsort(col, kind="stable")
+    by_feature, start = row[order], _starts(col[order])
+    used = col[order[start]]
+    del order
+    first = _starts(row)
+    filled = row[first]
     w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     n, grad, z = len(y), np.zeros(width), np.zeros(len(y))
@@ -140,10 +149,11 @@ def fit_toxicity(
     joined = joined.select(F.xxhash64("doc_id", "text").alias("tie"), "text", "label")
     # bounded by ``max_train_rows`` texts; the order does not depend on the tasks
     got = joined.mapInArrow(_distinct_words("text"), "tie long, label int, words array<long>").toArrow()
-    got = got.sort_by("tie").combine_chunks()
+    got = got.sort_by("tie")
     y = got["label"].to_numpy().astype(np.float64)
     sizes = pc.list_value_length(got["words"]).to_numpy().astype(np.int64)
-    hashes = pc.list_flatten(got["words"]).to_numpy().astype(np.int64).view(np.uint64)
+    hashes = pc.list_flatten(got["words"]).to_numpy().view(np.uint64) if len(y) else np.zeros(0, np.uint64)
+    del got
     sets = [hashed_words(s, WORD_TABLE) for s in IDENTITY_SETS]
     vocabulary = np.unique(np.concatenate([hashes, *sets]))
     if not len(y) or y.min() == y.max():
@@ -152,6 +162,7 @@ def fit_toxicity(
     place = {int(h): i for h in np.concatenate(sets) for i in [int(np.searchsorted(vocabulary, h))]}
     twins = {place[int(h)]: [place[int(o)] for o in s if o != h] for s in sets for h in s}
     row, col = np.repeat(np.arange(len(y)), sizes), np.searchsorted(vocabulary, hashes)
+    del hashes
     weights, bias = _fit(y, row, col, len(vocabulary), twins, fairness, ridge, steps)
     return ToxicityModel(vocabulary, weights, bias)
 
