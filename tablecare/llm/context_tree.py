@@ -36,7 +36,9 @@ from tablecare.llm.textnum import Words, each_chunk, mix
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8
 WORDS, GRAMS = 0, 1
-FLUSH = 2_000_000
+FLUSH = 1_000_000  # entries that a task holds before it merges them, and passes them on if that leaves as many
+TEXT_BYTES = 512 * 1024  # bytes of text that are worked on at a time: a byte takes some hundred bytes of arrays
+SENT = 131_072  # entries that leave a task in one piece
 BINS_PER_DOUBLING = 16
 TOP = 2  # contexts of this many bytes are the roots of the subtrees
 SLICE = 400_000  # entries of whole subtrees that are worked on at a time
@@ -68,13 +70,28 @@ def context_byte(out: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
     return got
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # the parts are sorted already
     keys, counts = keys[order], counts[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    start = _runs(keys)
     return keys[start], np.add.reduceat(counts, start, axis=0) if len(start) else counts
 
 
+def tallied(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order; how often each comes, and how often among ``learned`` ones."""
+    every, other = np.sort(keys), np.sort(keys[~learned])
+    start, other_start = _runs(every), _runs(other)
+    distinct, seen = every[start], np.diff(np.append(start, len(every)))
+    n = seen.copy()
+    n[np.searchsorted(distinct, other[other_start])] -= np.diff(np.append(other_start, len(other)))
+    return distinct, np.stack([seen, n], axis=1)
+
+
 def _counted(depth: int):
     """Per task, how often it holds each word and each byte with its context: in all texts, and in those to learn from."""
 
@@ -85,21 +102,23 @@ def _counted(depth: int):
             if sum(len(k) for k, _ in held[kind]) <= least:
                 return
             keys, n = (np.concatenate(v) for v in zip(*held[kind], strict=True))
+            held[kind] = []
             keys, n = _merged(keys, n)
             held[kind] = [(keys, n)]
             if len(keys) > FLUSH or least == 0:
                 held[kind] = []
-                kinds = pa.array(np.full(len(keys), kind, np.int32))
-                numbers = [pa.array(np.ascontiguousarray(v)) for v in (keys.view(np.int64), n[:, 0], n[:, 1])]
-                yield pa.RecordBatch.from_arrays([kinds, *numbers], names=["kind", "key", "seen", "n"])
-
-        for batch, words in each_chunk(batches, "text"):
-            learned = batch.column(batch.schema.get_field_index("training")).to_numpy(zero_copy_only=False).astype(np.int64)
+                for at in range(0, len(keys), SENT):
+                    part = slice(at, at + SENT)
+                    numbers = [pa.array(np.ascontiguousarray(v)) for v in (keys[part].view(np.int64), n[part, 0], n[part, 1])]
+                    kinds = pa.array(np.full(len(numbers[0]), kind, np.int32))
+                    yield pa.RecordBatch.from_arrays([kinds, *numbers], names=["kind", "key", "seen", "n"])
+
+        for batch, words in each_chunk(batches, "text", limit=TEXT_BYTES):
+            learned = batch.column(batch.schema.get_field_index("training")).to_numpy(zero_copy_only=False).astype(bool)
             out, start, place = stream(words)
             key = grams_of(out, place, depth)
             for kind, values, first in ((WORDS, words.hash, words.first), (GRAMS, key, np.append(start, len(out)))):
-                marks = np.repeat(learned, np.diff(first))
-                held[kind].append(_merged(values, np.stack([np.ones(len(values), np.int64), marks], axis=1)))
+                held[kind].append(tallied(values, np.repeat(learned, np.diff(first))))
                 yield from flush(kind, FLUSH)
         for kind in (WORDS, GRAMS):
             yield from flush(kind, 0)
@@ -348,7 +367,7 @@ def _scored(shared, end_score: float, end_known: bool, depth: int):
 
     def scores(batches):
         top_words, top_scores, top_known, top_grams = shared.value
-        for batch, words in each_chunk(batches, "text"):
+        for batch, words in each_chunk(batches, "text", limit=TEXT_BYTES):
             row = np.repeat(np.arange(words.rows), np.diff(words.first))
             at = np.minimum(np.searchsorted(top_words, words.hash), max(len(top_words) - 1, 0))
             hit = top_words[at] == words.hash if len(top_words) else np.zeros(len(row), bool)

@@ -133,9 +133,11 @@ def hashed_words(words: list[str], table: np.ndarray = LOWER) -> np.ndarray:
     return Words(offsets, data, 0, len(words), table).hash
 
 
-def each_chunk(batches, text: str, table: np.ndarray = LOWER, runs=None) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of the batches with the words of their texts."""
+def each_chunk(
+    batches, text: str, table: np.ndarray = LOWER, runs=None, limit: int = CHUNK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of the batches, of at most ``limit`` bytes of text or one row, with the words of their texts."""
     for batch in batches:
         offsets, data = raw(text_column(batch, text))
-        for lo, hi in ranges(offsets):
+        for lo, hi in ranges(offsets, limit):
             yield batch.slice(lo, hi - lo), Words(offsets, data, lo, hi, table, runs)

@@ -1,11 +1,26 @@
 import math
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tablecare.llm.context_tree import DEPTH, END, Lookup, _block, context_tree, language_model_scores, log_gamma
+from tablecare.llm.context_tree import (
+    DEPTH,
+    END,
+    SENT,
+    WORDS,
+    Lookup,
+    _block,
+    _counted,
+    _scored,
+    context_tree,
+    language_model_scores,
+    log_gamma,
+    tallied,
+)
 from tablecare.llm.frames import crc_fold, labelled_texts
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.queries import QUERIES
@@ -178,6 +193,51 @@ def test_document_scores_equal_the_recursion(spark):
             assert math.isclose(r.score, plain.score(normal[r.doc_id]), rel_tol=1e-6)
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_task_counts_and_scores_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"etaoin shrdlu ", np.uint8)
+    texts = [letters[rng.integers(0, len(letters), 4000)].tobytes().decode() for _ in range(2000)]
+    columns = [pa.array(range(2000)), pa.array(texts), pa.array(rng.random(2000) < 0.9)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "training"])
+
+    largest, peak = peak_mb(lambda: max(b.num_rows for b in _counted(DEPTH)([batch])))
+    assert peak < 250  # 445 with two MB of text and two million entries at a time
+    assert largest <= SENT
+    sent = list(_counted(DEPTH)([batch]))
+    got = pa.Table.from_batches(sent).group_by(["kind", "key"]).aggregate([("seen", "sum"), ("n", "sum")]).to_pydict()
+    words = Counter()
+    for text, learned in zip(texts, columns[2].to_pylist(), strict=True):
+        for w in text.split():
+            words[w, 0] += 1
+            words[w, 1] += learned
+    spelled = sorted({w for w, _ in words})
+    found = {key: (seen, n) for kind, key, seen, n in zip(*got.values(), strict=True) if kind == WORDS}
+    assert found == {int(h): (words[w, 0], words[w, 1]) for w, h in zip(spelled, hashed_words(spelled).view(np.int64), strict=True)}
+
+    keys = np.unique(rng.integers(0, 1 << 48, 1000).astype(np.uint64))
+    shared = SimpleNamespace(value=(keys, np.ones(len(keys)), np.ones(len(keys), bool), Lookup(keys, np.ones(len(keys)))))
+    scored, peak = peak_mb(lambda: sum(b.num_rows for b in _scored(shared, 0.0, True, DEPTH)([batch])))
+    assert scored == 2000 and peak < 100  # 215 before
+
+
+def test_tallies_equal_a_plain_count():
+    rng = np.random.default_rng(9)
+    for size, share in ((0, 0.5), (1, 0.0), (1, 1.0), (5000, 0.0), (5000, 0.3), (5000, 1.0)):
+        keys, learned = rng.integers(0, 900, size).astype(np.uint64), rng.random(size) < share
+        distinct, counts = tallied(keys, learned)
+        every, some = Counter(keys.tolist()), Counter(keys[learned].tolist())
+        assert distinct.tolist() == sorted(every)
+        assert counts.tolist() == [[every[k], some[k]] for k in distinct.tolist()]
+
+
 def test_lookup_holds_what_it_returns():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 48, 20_000).astype(np.uint64))
