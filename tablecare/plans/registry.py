@@ -78,15 +78,17 @@ def rollback_rows(versions: DataFrame, to_version: int) -> DataFrame:
 
 
 def suite_diff(versions: DataFrame, older: int, newer: int) -> DataFrame:
-    """Items added and removed between two versions."""
-    names = ["item_id", "kind", "column", "params"]
-    a = version_rows(versions, older).select(*names).distinct()
-    b = version_rows(versions, newer).select(*names).distinct()
-    return (
-        b.exceptAll(a)
-        .withColumn("change", F.lit("added"))
-        .unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+    """Items added and removed between two versions.
+
+    One pass: an item meets itself in one count over both versions, combined before the shuffle,
+    so a task holds each of its items once.
+    """
+    both = versions.filter(F.col("version").isin(older, newer) & (F.col("ord") > HEADER))
+    items = both.groupBy("item_id", "kind", "column", "params").agg(
+        F.max(F.col("version") == older).alias("before"), F.max(F.col("version") == newer).alias("after")
     )
+    change = F.when(F.col("after"), F.lit("added")).otherwise(F.lit("removed"))
+    return items.filter(F.col("before") != F.col("after")).withColumn("change", change).drop("before", "after")
 
 
 def latest_status(events: DataFrame, status: str | None = None) -> DataFrame:

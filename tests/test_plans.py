@@ -126,3 +126,9 @@ def test_a_run_shuffles_an_untouched_key_once(spark, sf_dir, tmp_path, monkeypat
     assert asked.count(("order_id",)) == 1 and asked.count(("customer_id", "k")) == 2
     flagged = attribute(dirty(spark, sf_dir), rules, rules, kept=snapshot(dirty(spark, sf_dir), rules).keys)
     assert "hashpartitioning" not in plan_of(flagged)
+
+
+def test_versions_are_compared_in_one_pass(spark, sf_dir):
+    # both versions were read, made distinct and met twice, three tables of items in one task
+    plan = plan_of(queries()["suite_diff"](spark, sf_dir))
+    assert plan.count("FileScan") == 1 and plan.count("hashpartitioning") == 1 and "Union" not in plan

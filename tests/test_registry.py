@@ -106,3 +106,15 @@ def test_two_writers_of_one_version_are_found(spark, tmp_path):
     assert (clash.version, clash.writers, clash.actor) == (2, 2, "user:ann")
     assert first.candidates("pending").count() == 1  # the refused promotion left no event
     assert version_clashes(first.versions("fix")).isEmpty()
+
+
+def test_versions_are_compared_as_sets(spark):
+    rows = [(1, 0, "a", None, "x"), (1, 1, "a", None, "x"), (1, 2, "b", "k", None), (1, -1, "h", "k", "x"), (3, 0, "z", "k", "x")]
+    rows += [(2, 0, "a", None, "x"), (2, 0, "c", "k", "x"), (2, 1, "c", "k", "x"), (2, None, "n", "k", "x"), (None, 0, "v", "k", "x")]
+    versions = spark.createDataFrame(rows, "version bigint, ord int, item_id string, kind string, column string")
+    versions = versions.selectExpr("*", "'{}' AS params")
+    got = suite_diff(versions, 1, 2)
+    assert got.columns == ["item_id", "kind", "column", "params", "change"]
+    assert sorted((r["item_id"], r["change"]) for r in got.collect()) == [("b", "removed"), ("c", "added")]
+    assert suite_diff(versions, 1, 1).isEmpty()
+    assert {(r["item_id"], r["change"]) for r in suite_diff(versions, 9, 1).collect()} == {("a", "added"), ("b", "added")}
