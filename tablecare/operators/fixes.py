@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.typed import any_of, col, field_of, is_numeric, is_time, replacement, typed_literal
-from tablecare.operators.keyflags import duplicate_keys, flag_by_keys
+from tablecare.operators.keyflags import broadcastable, duplicate_keys, flag_by_keys, kept_keys, keys_present
 from tablecare.operators.profile import ColumnProfile
 from tablecare.operators.rules import row_check
 from tablecare.operators.sizing import MAX_BROADCAST_BYTES
@@ -103,21 +103,27 @@ def keep_first(
 ) -> DataFrame:
     """Keep the first row of every key; rows without a full key are all kept.
 
-    Only rows of keys that really repeat are ranked. All other rows pass through unmoved when
-    the repeated keys fit a broadcast. The rank filter is applied per task before the shuffle
-    as well, so a key holding a third of the table sends one row per task.
+    When the repeated keys fit a broadcast, only their rows are ranked and all others pass through
+    unmoved. Else all rows with a key are ranked, so that each moves once. The rank filter is
+    applied per task before the shuffle as well, so a key holding a third of the table sends one
+    row per task; what breaks ties is one number, so columns that nobody asks for do not move.
     """
-    flagged = flag_by_keys(df, key, duplicate_keys(df, key), "__repeated", max_broadcast_bytes)
+    repeated = kept_keys(duplicate_keys(df, key), key)
+    if broadcastable(repeated, max_broadcast_bytes):
+        flagged = flag_by_keys(df, key, repeated, "__repeated", max_broadcast_bytes)
+        rest, ranked = flagged.filter(~F.col("__repeated")), flagged.filter(F.col("__repeated"))
+    else:
+        rest, ranked = df.filter(~keys_present(key)), df.filter(keys_present(key))
     names = [col(c) for c in df.columns]
     hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    ordering = [col(c).asc_nulls_last() for c in order] + [F.xxhash64(*hashable)]
+    ordering = [col(c).asc_nulls_last() for c in order] + [F.col("__tie")]
     first = (
-        flagged.filter(F.col("__repeated"))
+        ranked.withColumn("__tie", F.xxhash64(*hashable))
         .withColumn("__rank", F.row_number().over(Window.partitionBy(*[col(k) for k in key]).orderBy(*ordering)))
         .filter(F.col("__rank") <= 1)
         .select(*names)
     )
-    return flagged.filter(~F.col("__repeated")).select(*names).unionByName(first)
+    return rest.select(*names).unionByName(first)
 
 
 def quarantine_where(df: DataFrame, predicate: str) -> tuple[DataFrame, DataFrame]:

@@ -70,6 +70,10 @@ def kept_keys(bad: DataFrame, keys: Sequence[str]) -> BadKeys:
     return BadKeys(saved, size["keys"], size["rows"], size["payload"])
 
 
+def broadcastable(size: BadKeys, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    return size.keys * ROW_OVERHEAD_BYTES + size.payload <= max_broadcast_bytes
+
+
 def flag_by_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,7 +89,7 @@ def flag_by_keys(
 
     renamed = [col(k).alias(f"__b{i}") for i, k in enumerate(keys)]
     on = all_of([col(k) == F.col(f"__b{i}") for i, k in enumerate(keys)])
-    if size.keys * ROW_OVERHEAD_BYTES + size.payload <= max_broadcast_bytes:
+    if broadcastable(size, max_broadcast_bytes):
         small = F.broadcast(saved.select(*renamed, F.lit(True).alias("__hit")))
         return df.join(small, on, "left").select(
             *[col(c) for c in df.columns], F.coalesce("__hit", F.lit(False)).alias(flag)

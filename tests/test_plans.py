@@ -132,3 +132,15 @@ def test_versions_are_compared_in_one_pass(spark, sf_dir):
     # both versions were read, made distinct and met twice, three tables of items in one task
     plan = plan_of(queries()["suite_diff"](spark, sf_dir))
     assert plan.count("FileScan") == 1 and plan.count("hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_rows_to_rank_move_once_and_without_idle_columns(spark, sf_dir):
+    key, price = ["l_orderkey", "l_linenumber"], ["l_extendedprice"]
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_orderkey", F.expr("CASE WHEN l_partkey % 9 > 0 THEN l_orderkey % 500 END"))
+    many, few = keep_first(lines, key, price, 0), keep_first(lines, key, price)
+    plan = plan_of(many.select(*key, *price))
+    # joined with the repeated keys before, each row as wide as the table
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+    assert "l_shipdate" not in plan[: plan.index("hashpartitioning")] and "BroadcastHashJoin" in plan_of(few)
+    assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()
+    assert 0 < many.count() < lines.count()
