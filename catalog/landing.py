@@ -272,6 +272,13 @@ def key_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 ARRIVAL_RULES = [not_null("customer_id"), in_set("payment_method", ["CARD", "TRANSFER", "VOUCHER", "WALLET"]), unique("order_id")]
 ARRIVAL_SLOTS = 10
+ARRIVAL_ROWS = 250_000  # rows of a landing file, about
+
+
+def land(rows: DataFrame, folder: str, files: int) -> None:
+    """Rows as CSV files, dealt by key and in order, so that equal rows give files of equal bytes."""
+    dealt = rows.repartition(files, "k").sortWithinPartitions("k", *ORDER_COLUMNS)
+    dealt.select(*ORDER_COLUMNS).write.option("header", "true").csv(folder)
 
 
 @query(
@@ -289,28 +296,28 @@ SELECT run, slot, CAST(count(*) AS BIGINT) AS row_count, CAST(count_if(bad) AS B
 FROM rows GROUP BY run, slot""",
 )
 def arrivals_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten folders land and go through one run; later a folder with new and with known keys, and a copy."""
+    """Ten folders of files land and go through one run; later a folder with new and with known keys, and a copy."""
     root = scratch_path(spark, "arrival")
     folder, registry = f"{root}/landing", Registry(spark, f"{root}/registry")
     registry.seed(ARRIVAL_RULES)
     ledger = KeyLedger.of(spark, root, ORDERS, buckets=16)
     options = RunOptions(repair_not_drop=True, loop_until_clean=False)
     rows, runs = dirty(spark, sf), []
+    # the copy of a folder needs as many files as the folder
+    files = 1 + table(spark, sf, "orders").count() // (ARRIVAL_SLOTS * ARRIVAL_ROWS)
     for late in (False, True):
         if late:
-            landing = rows.filter("k % 4 = 0 OR k % 50 = 1").select(*ORDER_COLUMNS)
-            landing.coalesce(1).write.option("header", "true").csv(f"{folder}/late")
-            again = rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = 3").orderBy("k", "customer_id").select(*ORDER_COLUMNS)
-            again.coalesce(1).write.option("header", "true").csv(f"{folder}/copy-of-3")
+            land(rows.filter("k % 4 = 0 OR k % 50 = 1"), f"{folder}/late", 4 * files)
+            land(rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = 3"), f"{folder}/copy-of-3", files)
         else:
             for slot in range(ARRIVAL_SLOTS):
-                part = rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = {slot}").orderBy("k", "customer_id").select(*ORDER_COLUMNS)
-                part.coalesce(1).write.option("header", "true").csv(f"{folder}/{slot}")
+                land(rows.filter(f"k % 4 <> 0 AND k % {ARRIVAL_SLOTS} = {slot}"), f"{folder}/{slot}", files)
         run_on_arrival(spark, ORDERS, registry, root, folder, key_ledger=ledger, options=options).awaitTermination()
         recorded = read_runs(spark, root).select("run_id", "total_rows").collect()
         runs += [(len(runs) + 1, r["run_id"], r["total_rows"]) for r in recorded if r["run_id"] not in {x[1] for x in runs}]
     known = spark.createDataFrame(runs, "run int, run_id string, total_rows bigint")
     sources = read_report(spark, root, "sources").withColumn("slot", F.regexp_extract("source_file", r"/landing/([^/]+)/", 1))
-    return sources.join(F.broadcast(known), "run_id").select(
+    counts = [F.sum(c).alias(c) for c in ("row_count", "quarantined_rows")]
+    return sources.join(F.broadcast(known), "run_id").groupBy("run", "slot", "total_rows").agg(*counts).select(
         "run", "slot", "row_count", "quarantined_rows", "total_rows", F.lit(len(runs) // 2).cast("bigint").alias("runs")
     )

@@ -8,6 +8,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import catalog.landing
+from catalog.fixture import ORACLES
 from tablecare.operators.validate import attribute
 from tablecare.plans.registry import Registry
 from tablecare.plans.run import revalidate
@@ -25,6 +27,7 @@ from tablecare.streaming.arrivals import (
 )
 from tablecare.streaming.key_ledger import KeyLedger
 from tablecare.streaming.watch import run_on_arrival
+from tests.oracle import connect, difference
 
 SPEC = TableSpec("landing", ("id",), schema_of([("id", "integer"), ("x", "double")]))
 RULES = [not_null("x"), between("x", 0, 10)]
@@ -260,3 +263,21 @@ def test_a_batch_of_part_files_is_read_whole(spark, landing):
 def test_streams_need_a_schema(spark, landing):
     with pytest.raises(ValueError):
         arrivals(spark, TableSpec("t", ("id",)), str(landing))
+
+
+def test_landed_folders_hold_files_of_bounded_size(spark, sf_dir, monkeypatch):
+    # a folder was one file, sorted and written by one task
+    landed = []
+    monkeypatch.setattr(catalog.landing, "ARRIVAL_ROWS", 50)
+    monkeypatch.setattr(catalog.landing, "land", lambda rows, folder, files, plain=catalog.landing.land: landed.append((folder, files)) or plain(rows, folder, files))
+    got = catalog.landing.arrivals_run(spark, sf_dir)
+    assert difference(got, connect(sf_dir), ORACLES["run_on_arrival"]) is None
+    by_name = {folder.rsplit("/", 1)[1]: (folder, files) for folder, files in landed}
+    bodies = {}
+    for name in ("3", "copy-of-3"):
+        folder, files = by_name[name]
+        found = spark.read.text(f"{folder}/*.csv", wholetext=True).collect()
+        assert files > 1 and len(found) == files
+        assert max(r["value"].count("\n") for r in found) < 100
+        bodies[name] = sorted(r["value"] for r in found)
+    assert bodies["3"] == bodies["copy-of-3"]
