@@ -16,13 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.llm.frames import append_columns, extended, fresh, labelled_texts
-from tablecare.llm.textnum import byte_table, each_chunk, hashed_words
+from tablecare.llm.textnum import byte_table, each_chunk, hashed_words, ranges
 
 # Terms that name a group, in sets whose members may stand for each other.
 IDENTITY_SETS = [
@@ -39,6 +38,8 @@ IDENTITY_SETS = [
     ["immigrants", "refugees", "foreigners", "natives"],
     ["american", "mexican", "chinese", "russian", "german", "french", "spanish", "indian"],
 ]
+# Entries (a word of a text) that the fit spreads out at a time; it holds 12 bytes of each throughout, 20 while it sorts.
+PIECE = 1 << 18
 WORD_TABLE = byte_table(blank="!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -76,13 +77,21 @@ def _distinct_words(text: str):
     return rows
 
 
+def _in_pieces(row, col):
+    for at in range(0, len(col), PIECE):
+        yield row[at : at + PIECE], col[at : at + PIECE]
+
+
 def _telling(y, row, col, width: int) -> np.ndarray:
     """Per feature, how far its number of toxic texts lies from the expected one, in variances.
 
     A word that few texts hold cannot lie far off, so its scale is small and it learns slowly.
     """
     rate = y.mean()
-    total, toxic = np.bincount(col, minlength=width), np.bincount(col, y[row], width)
+    total, toxic = np.zeros(width), np.zeros(width)
+    for r, c in _in_pieces(row, col):
+        total += np.bincount(c, minlength=width)
+        toxic += np.bincount(c, y[r], width)
     return (toxic - total * rate) ** 2 / (total * rate * (1 - rate) + 1) / 16
 
 
@@ -93,6 +102,29 @@ def _starts(ascending: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _summed(values: np.ndarray, index: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sums of ``values[index]`` from each start to the next."""
+    out = np.zeros(len(start))
+    edge = np.append(start, len(index))
+    for lo, hi in ranges(edge, PIECE):
+        out[lo:hi] = np.add.reduceat(values[index[edge[lo] : edge[hi]]], start[lo:hi] - edge[lo])
+    return out
+
+
+def _by_feature(row, col, texts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in the order of their features, the features in use and where each begins."""
+    both = col.astype(np.int64)
+    both *= texts
+    both += row
+    both.sort()
+    out, total = np.empty(len(both), np.int32), np.zeros(width, np.int64)
+    for at in range(0, len(both), PIECE):
+        out[at : at + PIECE] = both[at : at + PIECE] % texts
+        total += np.bincount(both[at : at + PIECE] // texts, minlength=width)
+    used = np.flatnonzero(total)
+    return out, used, np.cumsum(total[used]) - total[used]
+
+
 def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float, ridge: float, steps: int):
     """Weights and bias by full-batch Adam on log loss, ridge and counterfactual penalty.
 
@@ -101,14 +133,14 @@ def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float,
     """
     scale = _telling(y, row, col, width)
     # the swap moves each text by (weight of the other term - weight of its own)
-    named = np.flatnonzero(np.isin(col, list(twins)))
-    pairs = zip(row[named].tolist(), col[named].tolist(), strict=True)
-    own = [(i, f, twins[f][i % len(twins[f])]) for i, f in pairs]
+    term = np.zeros(width, bool)
+    term[list(twins)] = True
+    own = []
+    for r, c in _in_pieces(row, col):
+        named = np.flatnonzero(term[c])
+        own += [(i, f, twins[f][i % len(twins[f])]) for i, f in zip(r[named].tolist(), c[named].tolist(), strict=True)]
     cr, cf, ct = (np.array(v, np.int64) for v in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(col, kind="stable")
-    by_feature, start = row[order], _starts(col[order])
-    used = col[order[start]]
-    del order
+    by_feature, used, start = _by_feature(row, col, len(y), width)
     first = _starts(row)
     filled = row[first]
     w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
@@ -116,14 +148,12 @@ def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float,
     n, grad, z = len(y), np.zeros(width), np.zeros(len(y))
     for t in range(1, steps + 1):
         scaled = w * scale
-        if len(used):
-            z[filled] = np.add.reduceat(scaled[col], first)
+        z[filled] = _summed(scaled, col, first)
         error = (1 / (1 + np.exp(-np.clip(b + z, -40, 40))) - y) / n
         shift = np.bincount(cr, scaled[ct] - scaled[cf], n)
         pull = 2 * fairness * shift[cr] / n
         grad[:] = np.bincount(ct, pull, width) - np.bincount(cf, pull, width)
-        if len(used):
-            grad[used] += np.add.reduceat(error[by_feature], start)
+        grad[used] += _summed(error, by_feature, start)
         grad = grad * scale + ridge * w
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -133,6 +163,37 @@ def _fit(y, row, col, width: int, twins: dict[int, list[int]], fairness: float,
     return w * scale, b
 
 
+def _word_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _features(batches: list[pa.RecordBatch], sets: list[np.ndarray]):
+    """Labels in the order of the ties, rows, features and the vocabulary of ``_distinct_words`` batches, which it uses up."""
+    tie = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
+    y = np.concatenate([np.zeros(0), *(b.column(1).to_numpy() for b in batches)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(b.column(2).value_lengths().to_numpy() for b in batches)])
+    vocabulary = np.unique(np.concatenate(sets))
+    for batch in batches:
+        hashes = _word_hashes(batch)
+        for at in range(0, len(hashes), PIECE):
+            vocabulary = np.union1d(vocabulary, hashes[at : at + PIECE])
+    order = np.argsort(tie, kind="stable")
+    begin = np.zeros(len(order), np.int64)
+    begin[order] = np.cumsum(sizes[order]) - sizes[order]
+    col, text = np.empty(int(sizes.sum()), np.int32), 0
+    batches.reverse()
+    while batches:
+        batch = batches.pop()
+        hashes, at = _word_hashes(batch), 0
+        for i in range(text, text + len(batch)):
+            col[begin[i] : begin[i] + sizes[i]] = np.searchsorted(vocabulary, hashes[at : at + sizes[i]])
+            at += sizes[i]
+        text += len(batch)
+        del batch, hashes
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes[order])
+    return y[order], row, col, vocabulary
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -148,21 +209,15 @@ def fit_toxicity(
     joined = labelled_texts(docs, labels, doc_id, text, label, max_train_rows)
     joined = joined.select(F.xxhash64("doc_id", "text").alias("tie"), "text", "label")
     # bounded by ``max_train_rows`` texts; the order does not depend on the tasks
-    got = joined.mapInArrow(_distinct_words("text"), "tie long, label int, words array<long>").toArrow()
-    got = got.sort_by("tie")
-    y = got["label"].to_numpy().astype(np.float64)
-    sizes = pc.list_value_length(got["words"]).to_numpy().astype(np.int64)
-    hashes = pc.list_flatten(got["words"]).to_numpy().view(np.uint64) if len(y) else np.zeros(0, np.uint64)
-    del got
+    batches = joined.mapInArrow(_distinct_words("text"), "tie long, label int, words array<long>").toArrow().to_batches()
     sets = [hashed_words(s, WORD_TABLE) for s in IDENTITY_SETS]
-    vocabulary = np.unique(np.concatenate([hashes, *sets]))
+    y, row, col, vocabulary = _features(batches, sets)
+    pa.default_memory_pool().release_unused()
     if not len(y) or y.min() == y.max():
         bias = 30.0 if len(y) and y[0] == 1 else -30.0
         return ToxicityModel(vocabulary, np.zeros(len(vocabulary)), bias)
     place = {int(h): i for h in np.concatenate(sets) for i in [int(np.searchsorted(vocabulary, h))]}
     twins = {place[int(h)]: [place[int(o)] for o in s if o != h] for s in sets for h in s}
-    row, col = np.repeat(np.arange(len(y)), sizes), np.searchsorted(vocabulary, hashes)
-    del hashes
     weights, bias = _fit(y, row, col, len(vocabulary), twins, fairness, ridge, steps)
     return ToxicityModel(vocabulary, weights, bias)
 

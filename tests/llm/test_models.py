@@ -25,7 +25,7 @@ from tablecare.llm.frames import crc_fold, labelled_texts
 from tablecare.llm.quality import fit_quality, score_quality
 from tablecare.llm.queries import QUERIES
 from tablecare.llm.textnum import LOWER, Words, hashed_words, raw
-from tablecare.llm.toxicity import IDENTITY_SETS, _fit, _telling, fit_toxicity, score_toxicity
+from tablecare.llm.toxicity import IDENTITY_SETS, _features, _fit, _telling, fit_toxicity, score_toxicity
 from tests.llm.tables import LOWER as LOWERED
 from tests.llm.tables import TEXTS, WORD, awkward, empty, shingles
 
@@ -319,3 +319,30 @@ def test_a_labelled_id_with_many_texts_is_one_row(spark):
     got = labelled_texts(docs, marks, "doc_id", "text", "toxic", 10).orderBy("doc_id").collect()
     assert [(r.doc_id, r.label) for r in got] == [(1, 1), (2, 0), (3, 1)]
     assert got[1].text == "" and labelled_texts(docs, marks, "doc_id", "text", "toxic", 2).count() <= 2
+
+
+def test_the_fit_holds_few_bytes_of_each_word_of_a_text(spark):
+    word = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", i), F.lit(50_000))))
+    docs = spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", word))
+    labels = docs.select("doc_id", F.pmod("doc_id", F.lit(5)).cast("int").alias("toxic")).where("toxic < 2")
+    labels = labels.union(docs.selectExpr("doc_id", "0 AS toxic").where("doc_id % 5 > 1"))
+    model, peak = peak_mb(lambda: fit_toxicity(docs, labels, steps=3))
+    assert len(model.vocabulary) > 50_000 and peak < 32  # 43 before
+
+
+def test_features_are_those_of_the_batches_in_the_order_of_the_ties():
+    rng = np.random.default_rng(12)
+    sets = [np.array([5, 900], np.uint64), np.array([7], np.uint64)]
+    ties = rng.permutation(40)
+    texts = [np.unique(rng.integers(0, 300, rng.integers(0, 30)).astype(np.uint64) << np.uint64(55)) for _ in ties]
+    batches = []
+    for part in (slice(0, 0), slice(0, 1), slice(1, 25), slice(25, 40)):
+        words = pa.array([t.view(np.int64).tolist() for t in texts[part]], pa.list_(pa.int64()))
+        columns = [pa.array(ties[part], pa.int64()), pa.array(ties[part] % 2, pa.int32()), words]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=["tie", "label", "words"]))
+    y, row, col, vocabulary = _features(batches, sets)
+    assert not batches and set(vocabulary.tolist()) == {5, 7, 900, *(int(h) for t in texts for h in t)}
+    assert y.tolist() == [i % 2 for i in range(40)]
+    want = [(i, int(h)) for i, k in enumerate(np.argsort(ties)) for h in texts[k]]
+    assert list(zip(row.tolist(), vocabulary[col].tolist(), strict=True)) == want
+    assert [len(v) for v in _features([], sets)] == [0, 0, 0, 3]
