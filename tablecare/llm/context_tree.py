@@ -265,50 +265,52 @@ def entry_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: Trunk) -> np.
     return out
 
 
-def _subtrees(batches, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys as given and nearest first, and training counts, of some whole subtrees at a time."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+def _subtrees(batches, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Keys nearest first, training counts, and the other columns after the keys as given, of some whole subtrees at a time."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
-    given, n = (np.concatenate(v) for v in zip(*parts, strict=True))
+    given, n, *others = (np.concatenate(v) for v in zip(*parts, strict=True))
     keys = nearest_first(given.view(np.uint64), depth)
     order = np.argsort(keys)
-    given, keys, n = given[order], keys[order], n[order].astype(np.float64)
+    keys, n, columns = keys[order], n[order].astype(np.float64), [c[order] for c in (given, *others)]
     root = keys >> np.uint64(8 * (depth - TOP + 1))
     ends = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(keys))
     lo = 0
     while lo < len(keys):
         fits = ends[(ends > lo) & (ends <= lo + SLICE)]
         hi = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, lo, "right")])
-        yield given[lo:hi], keys[lo:hi], n[lo:hi]
+        yield keys[lo:hi], n[lo:hi], [c[lo:hi] for c in columns]
         lo = hi
 
 
 def _rooted(depth: int):
     def roots(batches):
-        for _, keys, n in _subtrees(batches, depth):
+        for keys, n, _ in _subtrees(batches, depth):
             last, node, *numbers = subtree_roots(keys, n, depth)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (last, node, *numbers)], names=["last", "node", "zeros", "ones", "mixed"])
 
     return roots
 
 
-def _entries(depth: int, shared):
+def _entries(depth: int, shared, beside: list[str]):
     def entries(batches):
-        for given, keys, n in _subtrees(batches, depth):
+        for keys, n, (given, *others) in _subtrees(batches, depth):
             values = entry_scores(keys, n, depth, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(given), pa.array(values)], names=["key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (given, values, *others)], names=["key", "value", *beside])
 
     return entries
 
 
-def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value): log10 of the probability of each byte in its context, from counts (key, n); n may be 0."""
+def context_tree(grams: DataFrame, depth: int = DEPTH, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, value): log10 of the probability of each byte in its context, from counts (key, n); n may be 0.
+
+    The long columns ``beside`` go along.
+    """
     if not TOP <= depth <= 7:
         raise ValueError(f"depth must lie between {TOP} and 7")
     root = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
-    dealt = grams.select("key", "n").repartition(root)
-    roots = dealt.mapInArrow(_rooted(depth), "last long, node long, zeros double, ones double, mixed double")
+    roots = grams.select("key", "n").repartition(root).mapInArrow(_rooted(depth), "last long, node long, zeros double, ones double, mixed double")
     # at most 256 last bytes by 255 decisions
     sums = roots.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "mixed"))).toArrow()
     last, node, *numbers = (sums.column(c).to_numpy() for c in ("last", "node", "zeros", "ones", "mixed"))
@@ -316,7 +318,8 @@ def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     for table, values in zip(tables, numbers, strict=True):
         table[last, node] = values
     shared = grams.sparkSession.sparkContext.broadcast(trunk(*tables))
-    return dealt.mapInArrow(_entries(depth, shared), "key long, value double")
+    schema = ", ".join(["key long, value double", *(f"{c} long" for c in beside)])
+    return grams.select("key", "n", *beside).repartition(root).mapInArrow(_entries(depth, shared, list(beside)), schema)
 
 
 class Lookup:
@@ -350,7 +353,7 @@ class Lookup:
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest ``seen``, at most ``most``; rows of about equal ``seen`` come together or not at all."""
+    """The rows of a written table with the largest ``seen``, at most ``most``; rows of about equal ``seen`` come together or not at all."""
     size = F.floor(F.log2("seen") * BINS_PER_DOUBLING).cast("int")
     bins = counts.groupBy(size.alias("bin")).agg(F.count("*").alias("rows")).orderBy(F.desc("bin")).collect()
     kept, least = 0, None
@@ -362,6 +365,12 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(size >= least) if least is not None else counts.limit(0)
 
 
+def _totals(plain: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, seen, n) of every word and byte; a task has merged its own, so they meet in the shuffle, in no table before it."""
+    counts = plain.select("text", "training").mapInArrow(_counted(depth), "kind int, key long, seen long, n long")
+    return counts.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n"))
+
+
 def _scored(shared, end_score: float, end_known: bool, depth: int):
     """Per text: tokens, the scores of its frequent words and bytes, and its other words (with their counts) and bytes."""
 
@@ -412,8 +421,7 @@ def language_model_scores(
     spark = docs.sparkSession
     marked = F.coalesce(training, F.lit(False))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), marked.alias("training"))
-    counts = plain.select("text", "training").mapInArrow(_counted(depth), "kind int, key long, seen long, n long")
-    counts = durable(counts.groupBy("kind", "key").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n")), "counts")
+    counts = durable(_totals(plain, depth), "counts")
     grams = counts.where(F.col("kind") == GRAMS)
     words = counts.where(F.col("kind") == WORDS)
     # every text ends once, so the ends are counted with the bytes
@@ -423,15 +431,16 @@ def language_model_scores(
     scale = train_tokens + 0.1 * (total["v"] + (ends > 0) + 1)
     share = F.log10((F.col("n") + 0.1) / scale)
     values = words.select("kind", "key", share.alias("value"), (F.col("n") > 0).alias("seen_before"))
-    bytes_of = durable(context_tree(grams, depth), "context-tree").select(F.lit(GRAMS).alias("kind"), "key", "value", F.lit(True).alias("seen_before"))
+    tree = durable(context_tree(grams, depth, ("seen",)), "context-tree")
+    bytes_of = tree.select(F.lit(GRAMS).alias("kind"), "key", "value", F.lit(True).alias("seen_before"))
     top = _most_frequent(words, max_frequent_words).select("key", "n").toArrow()
     top_words, top_counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(top_words)
     # at most max_frequent_grams rows of 16 bytes
-    often = F.broadcast(_most_frequent(grams, max_frequent_grams).select("key"))
-    top_grams = bytes_of.join(often, "key").select("key", "value").toArrow()
+    top_grams = _most_frequent(tree, max_frequent_grams).select("key", "value").toArrow()
     lookup = Lookup(top_grams.column(0).to_numpy().view(np.uint64), top_grams.column(1).to_numpy())
     top_scores = np.log10((top_counts[order] + 0.1) / scale)
+    del top_grams
     shared = spark.sparkContext.broadcast((top_words[order], top_scores, top_counts[order] > 0, lookup))
     end_score = float(np.log10((ends + 0.1) / scale))
     id_type = plain.schema["doc_id"].dataType.simpleString()

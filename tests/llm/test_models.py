@@ -16,6 +16,7 @@ from tablecare.llm.context_tree import (
     _block,
     _counted,
     _scored,
+    _totals,
     context_tree,
     language_model_scores,
     log_gamma,
@@ -346,3 +347,17 @@ def test_features_are_those_of_the_batches_in_the_order_of_the_ties():
     want = [(i, int(h)) for i, k in enumerate(np.argsort(ties)) for h in texts[k]]
     assert list(zip(row.tolist(), vocabulary[col].tolist(), strict=True)) == want
     assert [len(v) for v in _features([], sets)] == [0, 0, 0, 3]
+
+
+def test_frequent_bytes_need_no_join_and_counts_no_table_before_the_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 7}") for i in range(40)], "doc_id long, text string")
+    plan = _totals(docs.withColumn("training", F.lit(True)), DEPTH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan.split("Exchange")[1]
+
+    def unwanted(_):
+        raise AssertionError("a broadcast table")
+
+    want = {r.doc_id: r.score for r in language_model_scores(docs, F.col("doc_id") > 3, max_frequent_grams=0).collect()}
+    monkeypatch.setattr(F, "broadcast", unwanted)
+    got = {r.doc_id: r.score for r in language_model_scores(docs, F.col("doc_id") > 3).collect()}
+    assert len(got) == 40 and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
