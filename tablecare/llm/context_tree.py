@@ -37,7 +37,7 @@ DEPTH = 5
 END = 0xFF  # no byte of UTF-8
 WORDS, GRAMS = 0, 1
 FLUSH = 1_000_000  # entries that a task holds before it merges them, and passes them on if that leaves as many
-TEXT_BYTES = 512 * 1024  # bytes of text that are worked on at a time: a byte takes some hundred bytes of arrays
+TEXT_BYTES = 256 * 1024  # bytes of text that are worked on at a time: a byte takes some hundred bytes of arrays
 SENT = 131_072  # entries that leave a task in one piece
 BINS_PER_DOUBLING = 16
 TOP = 2  # contexts of this many bytes are the roots of the subtrees
